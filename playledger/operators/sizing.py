@@ -1,0 +1,12 @@
+"""Choosing a join by a measured size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from .. import constants as C
+
+
+def rows_up_to(df: DataFrame, limit: int = C.BROADCAST_ROWS) -> int:
+    """Row count, stopping at ``limit + 1``."""
+    return df.limit(limit + 1).count()
