@@ -62,13 +62,13 @@ def trend(plays: DataFrame, by: Sequence[str] = PROFILE) -> DataFrame:
         .groupBy(*by, "year", "year_month")
         .agg(F.sum("msPlayed").alias("msPlayed"))
     )
-    grains = base.select(
-        *by, "msPlayed",
-        F.inline(F.array(
-            F.struct(F.lit("month").alias("grain"), F.col("year_month").alias("period")),
-            F.struct(F.lit("year"), F.col("year").cast("string")),
-        )),
-    ).where(F.col("period").isNotNull())
+    periods = [
+        F.struct(F.lit(grain).alias("grain"), F.col(key).cast("string").alias("period"))
+        for grain, key in (("month", "year_month"), ("year", "year"))
+    ]
+    grains = base.select(*by, "msPlayed", F.inline(F.array(*periods))).where(
+        F.col("period").isNotNull()
+    )
     totals = grains.groupBy(*by, "grain", "period").agg(total_minutes())
     # One row per period of a profile reaches this window: years and months.
     months = F.count(F.when(F.col("grain") == "month", 1)).over(Window.partitionBy(*by))
