@@ -11,7 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_SPACE = " \t\r\n"
 # Appended to a text before parsing. The parser stops at the end of the first
 # value, so only a text without trailing junk still ends in this mark.
 _END = "\u0003end"
@@ -42,17 +41,13 @@ def with_document(docs: DataFrame, text: str = "value", name: str = "doc") -> Da
 def with_elements(docs: DataFrame, text: str = "value", name: str = "items") -> DataFrame:
     """Add the text parsed to ARRAY<VARIANT>, NULL where it is not one JSON list.
 
-    The last element is always the end mark, a string that readers of records
-    drop as they drop any other non-object. Elements are parsed one by one, so
-    the size limit of a VARIANT holds for a record and not for the file.
+    Elements are parsed one by one, so the size limit of a VARIANT holds for a
+    record and not for the file.
     """
-    body = F.rtrim(F.col(text), F.lit(_SPACE))
-    head = F.substring(body, F.lit(1), F.length(body) - 1)
-    comma = F.when(F.btrim(head, F.lit(_SPACE)) == "[", "").otherwise(",")
-    marked = F.when(body.endswith("]"), F.concat(head, comma, F.lit(f"{_END_JSON}]")))
-    parsed = once(docs, _items=F.from_json(marked, "array<variant>"))
-    last = F.try_variant_get(F.try_element_at("_items", F.lit(-1)), "$", "string")
-    return parsed.withColumn(name, F.when(last == _END, F.col("_items"))).drop("_items")
+    wrapped = F.concat(F.lit("["), F.col(text), F.lit(f",[{_END_JSON}]]"))
+    parsed = once(docs, _lists=F.from_json(wrapped, "array<array<variant>>"))
+    end = F.try_variant_get(F.get(F.get("_lists", 1), 0), "$", "string")
+    return parsed.withColumn(name, F.when(end == _END, F.get("_lists", 0))).drop("_lists")
 
 
 def record(value: Column | str, fields: Sequence[str]) -> Column:
@@ -75,22 +70,22 @@ def records(
     ``per_file`` keeps every ``max(1, n // per_file)``-th element of a file.
     ``keep_unreadable`` adds a row with NULL ``pos`` for a file that is no list.
     """
-    # Elements without the end mark; the stride is known before the explode.
-    count = F.size("items") - 1
     step = F.lit(1)
     if per_file is not None:
-        step = F.greatest(F.lit(1), F.floor(count / per_file).cast("int"))
+        # Known before the explode: no window over the records of a file.
+        step = F.greatest(F.lit(1), F.floor(F.size("items") / per_file).cast("int"))
     kept = [c for c in docs.columns if c != "value"]
     exploded = with_elements(docs).select(
-        *kept, step.alias("_step"), F.posexplode_outer("items").alias("pos", "_item")
+        *kept, F.col("items").isNull().alias("_unreadable"), step.alias("_step"),
+        F.posexplode_outer("items").alias("pos", "_item"),
     )
     if per_file is not None:
-        exploded = exploded.where(F.col("pos").isNull() | (F.col("pos") % F.col("_step") == 0))
-    typed = once(exploded, rec=record("_item", fields)).drop("_item", "_step")
+        exploded = exploded.where(F.col("_unreadable") | (F.col("pos") % F.col("_step") == 0))
+    typed = once(exploded, rec=record("_item", fields))
     wanted = F.col("rec").isNotNull()
     if keep_unreadable:
-        wanted = wanted | F.col("pos").isNull()
-    return typed.where(wanted)
+        wanted = wanted | F.col("_unreadable")
+    return typed.where(wanted).drop("_item", "_step", "_unreadable")
 
 
 def text(value: Column) -> Column:
@@ -98,23 +93,28 @@ def text(value: Column) -> Column:
     return F.try_variant_get(value, "$", "string")
 
 
-def filled(value: Column) -> Column:
-    """A VARIANT as text, NULL where it is empty: null, '', 0, false, [] or {}."""
+def first_filled(*values: Column) -> Column:
+    """The first VARIANT that is not empty (null, '', 0, false, [] or {}), as text.
+
+    The higher-order form keeps the generated code of wide projections small enough
+    for the JVM to compile; spelled out as nested conditions they run interpreted.
+    """
+    return F.get(F.transform(F.filter(F.array(*values), _filled), text), 0)
+
+
+def _filled(value: Column) -> Column:
     as_text = text(value)
-    empty_text = as_text == ""
-    empty_other = as_text.isin("0", "0.0", "-0.0", "false", "[]", "{}") & (
-        F.schema_of_variant(value) != "STRING"
-    )
-    return F.when(~(empty_text | empty_other), as_text)
+    # Texts of empty values; the same texts in quotes are not empty.
+    maybe = as_text.isin("0", "0.0", "-0.0", "false", "[]", "{}")
+    empty = (as_text == "") | (maybe & (F.schema_of_variant(value) != "STRING"))
+    return as_text.isNotNull() & ~empty
 
 
 def number(value: Column) -> Column:
     """A VARIANT as DOUBLE: numbers, true/false and numeric texts; NULL for others."""
     # Casting accepts Java's type suffixes ("12d"), which are not numbers here.
-    suffixed = text(value).rlike(r"[dDfF]\s*$") & (F.schema_of_variant(value) == "STRING")
-    return F.when(
-        ~F.coalesce(suffixed, F.lit(False)), F.try_variant_get(value, "$", "double")
-    )
+    suffixed = F.coalesce(text(value).rlike(r"[0-9.][dDfF]\s*$"), F.lit(False))
+    return F.when(~suffixed, F.try_variant_get(value, "$", "double"))
 
 
 def text_or(value: Column, default: str, null_text: str) -> Column:

@@ -24,9 +24,8 @@ _PLAYLIST_FIELDS = ("name", "items", "collaborative", "lastModifiedDate", "descr
 
 def play_time(rec: Column) -> Column:
     """Time text of a play from either dialect, unwrapping ``{"$date": ...}``."""
-    own = J.filled(rec["ts"])
-    wrapped = F.try_variant_get(rec["ts"], "$", "struct<`$date`: variant>")
-    inner = wrapped["$date"]
+    own = J.first_filled(rec["ts"])
+    inner = F.try_variant_get(rec["ts"], "$['$date']", "variant")
     unwrapped = F.when(inner.isNotNull(), J.text(inner)).otherwise(own)
     end = F.when(rec["endTime"].isNull(), "").otherwise(J.text(rec["endTime"]))
     return F.when(own.isNotNull(), unwrapped).otherwise(end)
@@ -34,13 +33,13 @@ def play_time(rec: Column) -> Column:
 
 def play_ms(rec: Column) -> Column:
     """Milliseconds of a play; NULL where the value given is no number."""
-    own, other = rec["ms_played"], rec["msPlayed"]
-    fallback = F.when(other.isNull(), F.lit(0.0)).otherwise(J.number(other))
-    return F.when(J.filled(own).isNotNull(), J.number(own)).otherwise(fallback)
+    other = F.when(rec["msPlayed"].isNull(), 0.0).otherwise(J.number(rec["msPlayed"]))
+    own = J.first_filled(rec["ms_played"])
+    return F.when(own.isNotNull(), J.number(rec["ms_played"])).otherwise(other)
 
 
 def _name(rec: Column, *keys: str) -> Column:
-    found = F.coalesce(*[J.filled(rec[k]) for k in keys], F.lit(C.UNKNOWN))
+    found = F.coalesce(J.first_filled(*[rec[k] for k in keys]), F.lit(C.UNKNOWN))
     return V.cut(found, C.NAME_CHARS)
 
 
@@ -65,29 +64,24 @@ def plays(
     rows = J.records(
         docs.where(F.col("kind") == "plays"), _PLAY_FIELDS, max_rows_per_file, keep_unreadable
     )
-    base = J.once(
-        rows,
-        trackName=_name(rec, "master_metadata_track_name", "trackName"),
-        artistName=_name(rec, "master_metadata_album_artist_name", "artistName"),
-        albumName=_name(rec, "master_metadata_album_album_name", "albumName"),
-        msPlayed=play_ms(rec),
-        ts=play_time(rec),
-        platform=attribute("platform", C.PLATFORM_CHARS),
-        skipped=J.flag(rec["skipped"]),
-        shuffle=J.flag(rec["shuffle"]),
-        offline=J.flag(rec["offline"]),
-        reason_start=attribute("reason_start", C.REASON_CHARS),
-        reason_end=attribute("reason_end", C.REASON_CHARS),
-        conn_country=attribute("conn_country", C.COUNTRY_CHARS),
+    named = rows.select(
+        "profile", F.col("file_name").alias("source_file"), "pos",
+        play_ms(rec).alias("msPlayed"), play_time(rec).alias("ts"),
+        _name(rec, "master_metadata_track_name", "trackName").alias("trackName"),
+        _name(rec, "master_metadata_album_artist_name", "artistName").alias("artistName"),
+        _name(rec, "master_metadata_album_album_name", "albumName").alias("albumName"),
+        attribute("platform", C.PLATFORM_CHARS).alias("platform"),
+        *[J.flag(rec[f]).alias(f) for f in ("skipped", "shuffle", "offline")],
+        attribute("reason_start", C.REASON_CHARS).alias("reason_start"),
+        attribute("reason_end", C.REASON_CHARS).alias("reason_end"),
+        attribute("conn_country", C.COUNTRY_CHARS).alias("conn_country"),
     )
-    wanted = F.col("msPlayed").isNotNull() & (F.length("trackName") > 0)
+    wanted = F.col("msPlayed").isNotNull()
     if keep_unreadable:
         wanted = wanted | F.col("pos").isNull()
-    return with_derived(
-        base.where(wanted)
-        .withColumnRenamed("file_name", "source_file")
-        .withColumn("year", V.year_of("ts"))
-    ).select(*schemas.columns(schemas.PLAYS))
+    # A missing name reads "Unknown", so no track name is ever empty here.
+    dated = named.where(wanted).withColumn("year", V.year_of("ts"))
+    return with_derived(dated).select(*schemas.columns(schemas.PLAYS))
 
 
 def with_derived(rows: DataFrame) -> DataFrame:
@@ -112,7 +106,9 @@ def searches(
     time_is_text = time.isNull() | F.is_variant_null(time) | (F.schema_of_variant(time) == "STRING")
     links = F.when(uris.isNull(), F.lit(0)).otherwise(F.size(J.items(uris)))
     rows = J.once(
-        J.records(docs.where(F.col("kind") == "searches"), _SEARCH_FIELDS, max_rows_per_file),
+        J.records(
+            docs.where(F.col("kind") == "searches"), _SEARCH_FIELDS, per_file=max_rows_per_file
+        ),
         searchTime=F.when(time.isNull(), "").otherwise(J.text(time)),
         platform=V.cut(
             J.text_or(rec["platform"], C.UNKNOWN, null_text or C.UNKNOWN), C.SEARCH_PLATFORM_CHARS

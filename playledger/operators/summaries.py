@@ -206,7 +206,7 @@ def identifiers(docs: DataFrame) -> DataFrame:
     return _objects(docs, "identifiers", *keys).select(
         "profile",
         *[_text(d[key]).alias(name) for key, name in keys.items()],
-        *[J.filled(d[key]).isNotNull().alias(name) for key, name in has.items()],
+        *[J.first_filled(d[key]).isNotNull().alias(name) for key, name in has.items()],
     )
 
 
