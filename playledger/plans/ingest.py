@@ -35,9 +35,9 @@ def ingest(
 ) -> int:
     """Bring every table under ``dst`` up to date with the files under ``src``.
 
-    Returns the number of profiles rewritten. The manifest is written last, so a
-    run that stops half-way is simply repeated; every write replaces whole
-    profiles and may be repeated. Each table's job opens the files of its kind
+    Returns the number of changed profiles (counted up to the broadcast limit). The
+    manifest is written last, so a run that stops half-way is simply repeated; every
+    write replaces whole profiles and may be repeated. Each table's job opens the files of its kind
     only. If more profiles changed than may be broadcast, all are rebuilt, which
     gives the same rows without joining documents.
     """
@@ -47,16 +47,15 @@ def ingest(
     known = current.select("profile").unionByName(previous.select("profile")).distinct()
     changed = known if force else changed_profiles(current, previous)
 
-    # The list of work, written once, so that every job below reads the same one.
-    work_path = f"{dst}/_work"
-    changed.write.mode("overwrite").parquet(work_path)
-    work = spark.read.schema("profile STRING").parquet(work_path)
+    # The list of work is written once: every job below reads the same one, and
+    # none of them reads the manifest that the last one replaces.
+    work = _stored(changed, f"{dst}/_work")
     size = rows_up_to(work)
     if size == 0:
         return 0
     everything = force or size > C.BROADCAST_ROWS
-    if everything:
-        work = known
+    if everything and not force:
+        work = _stored(known, f"{dst}/_work_all")
     only = None if everything else F.broadcast(work)
 
     def docs(*kinds: str) -> DataFrame:
@@ -79,12 +78,18 @@ def ingest(
 
     mine = files if only is None else files.join(only, "profile", "left_semi")
     put(mine, "files")
-    unread = unreadable_plays(spark, dst).join(F.broadcast(work) if only is not None else work,
-                                               "profile", "left_semi")
+    unread = unreadable_plays(spark, dst)
+    if only is not None:
+        unread = unread.join(only, "profile", "left_semi")
     small = rejected_files(docs(*[k for k in C.KINDS if k not in ("plays", "catalogued")]))
     put(small.unionByName(unread), "rejected_files")
     put(current if only is None else current.join(only, "profile", "left_semi"), "manifest")
-    return rows_up_to(work) if everything else size
+    return size
+
+
+def _stored(profiles: DataFrame, path: str) -> DataFrame:
+    profiles.write.mode("overwrite").parquet(path)
+    return profiles.sparkSession.read.schema("profile STRING").parquet(path)
 
 
 def write_plays(read: DataFrame, dst: str, profiles: DataFrame) -> None:
