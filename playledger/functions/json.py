@@ -7,6 +7,7 @@ each list element becomes its own VARIANT, so a bad element drops alone.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 _END = "\u0003end"
 _END_JSON = '"\\u0003end"'
 
+# Texts of empty values; the same texts in quotes are not empty.
+_EMPTY = ("0", "0.0", "-0.0", "false", "[]", "{}")
+
 
 def once(df: DataFrame, **columns: Column) -> DataFrame:
     """Add columns that are computed a single time per row.
@@ -38,16 +42,51 @@ def with_document(docs: DataFrame, text: str = "value", name: str = "doc") -> Da
     ).drop("_wrapped")
 
 
-def with_elements(docs: DataFrame, text: str = "value", name: str = "items") -> DataFrame:
-    """Add the text parsed to ARRAY<VARIANT>, NULL where it is not one JSON list.
+def with_records(
+    docs: DataFrame, fields: Sequence[str], texts: Sequence[str] = (), names: Sequence[str] = ()
+) -> DataFrame:
+    """Add ``items``: the text parsed to a list of records, NULL where it is no list.
+
+    Each record is a struct, NULL for an element that is no object. ``fields`` are
+    VARIANTs: a missing key is SQL NULL, a JSON null is a VARIANT null. ``texts`` and
+    ``names`` are plain text with NULL for both; an empty value that is not a text
+    (0, false, [] or {}) is NULL in ``names``.
 
-    Elements are parsed one by one, so the size limit of a VARIANT holds for a
-    record and not for the file.
+    Parsing straight to the struct is several times cheaper than going through a
+    VARIANT per element, but one element that is no object voids the file, and a
+    name cannot be told from an empty value that reads the same. Files with such
+    elements are parsed again the slow way.
     """
-    wrapped = F.concat(F.lit("["), F.col(text), F.lit(f",[{_END_JSON}]]"))
-    parsed = once(docs, _lists=F.from_json(wrapped, "array<array<variant>>"))
-    end = F.try_variant_get(F.get(F.get("_lists", 1), 0), "$", "string")
-    return parsed.withColumn(name, F.when(end == _END, F.get("_lists", 0))).drop("_lists")
+    flat = ", ".join(
+        [f"`{f}`: variant" for f in fields] + [f"`{t}`: string" for t in (*texts, *names)]
+    )
+    end = F.lit(f',[{{"_end":{_END_JSON}}}]]')
+    wrapped = F.concat(F.lit("["), F.col("value"), end)
+    fast = once(docs, _fast=F.from_json(
+        wrapped, f"array<array<struct<{flat}, `_end`: string>>>"))
+    whole = F.get(F.get("_fast", 1), 0)["_end"] == _END
+    # Few files hold such a text at all, as a name or as an empty value.
+    unclear = F.exists(F.get("_fast", 0), lambda r: F.coalesce(
+        reduce(lambda a, b: a | b, [r[n].isin(*_EMPTY) for n in names], F.lit(False)),
+        F.lit(False)))
+    fast = once(fast, _ok=F.coalesce(whole & ~unclear, F.lit(False)))
+    fast_ok = F.col("_ok")
+    slow = once(fast, _slow=F.from_json(F.when(~fast_ok, wrapped), "array<array<variant>>"))
+    slow_ok = F.try_variant_get(F.get(F.get("_slow", 1), 0), "$._end", "string") == _END
+
+    def as_record(x: Column) -> Column:
+        key = lambda k: F.try_variant_get(x, f"$.{k}", "variant")
+        return F.when(F.schema_of_variant(x).startswith("OBJECT"), F.struct(
+            *[key(f).alias(f) for f in fields],
+            *[text(key(t)).alias(t) for t in texts],
+            *[F.when(_filled(key(n)), text(key(n))).alias(n) for n in names],
+            F.lit(None).cast("string").alias("_end"),
+        ))
+
+    items = F.when(fast_ok, F.get("_fast", 0)).when(
+        slow_ok, F.transform(F.get("_slow", 0), as_record)
+    )
+    return slow.withColumn("items", items).drop("_fast", "_ok", "_slow")
 
 
 def record(value: Column | str, fields: Sequence[str]) -> Column:
@@ -62,30 +101,32 @@ def record(value: Column | str, fields: Sequence[str]) -> Column:
 def records(
     docs: DataFrame,
     fields: Sequence[str],
+    texts: Sequence[str] = (),
+    names: Sequence[str] = (),
     per_file: int | None = None,
     keep_unreadable: bool = False,
 ) -> DataFrame:
     """One row per object of every list document: ``pos`` and ``rec``.
 
-    ``per_file`` keeps every ``max(1, n // per_file)``-th element of a file.
-    ``keep_unreadable`` adds a row with NULL ``pos`` for a file that is no list.
+    See :func:`with_records` for the fields. ``per_file`` keeps every
+    ``max(1, n // per_file)``-th element of a file. ``keep_unreadable`` adds a row
+    with NULL ``pos`` for a file that is no list.
     """
     step = F.lit(1)
     if per_file is not None:
         # Known before the explode: no window over the records of a file.
         step = F.greatest(F.lit(1), F.floor(F.size("items") / per_file).cast("int"))
     kept = [c for c in docs.columns if c != "value"]
-    exploded = with_elements(docs).select(
+    exploded = with_records(docs, fields, texts, names).select(
         *kept, F.col("items").isNull().alias("_unreadable"), step.alias("_step"),
-        F.posexplode_outer("items").alias("pos", "_item"),
+        F.posexplode_outer("items").alias("pos", "rec"),
     )
     if per_file is not None:
         exploded = exploded.where(F.col("_unreadable") | (F.col("pos") % F.col("_step") == 0))
-    typed = once(exploded, rec=record("_item", fields))
     wanted = F.col("rec").isNotNull()
     if keep_unreadable:
         wanted = wanted | F.col("_unreadable")
-    return typed.where(wanted).drop("_item", "_step", "_unreadable")
+    return exploded.where(wanted).drop("_step", "_unreadable")
 
 
 def text(value: Column) -> Column:
@@ -104,17 +145,19 @@ def first_filled(*values: Column) -> Column:
 
 def _filled(value: Column) -> Column:
     as_text = text(value)
-    # Texts of empty values; the same texts in quotes are not empty.
-    maybe = as_text.isin("0", "0.0", "-0.0", "false", "[]", "{}")
-    empty = (as_text == "") | (maybe & (F.schema_of_variant(value) != "STRING"))
+    empty = (as_text == "") | (as_text.isin(*_EMPTY) & (F.schema_of_variant(value) != "STRING"))
     return as_text.isNotNull() & ~empty
 
 
+def is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
+
+
 def number(value: Column) -> Column:
     """A VARIANT as DOUBLE: numbers, true/false and numeric texts; NULL for others."""
     # Casting accepts Java's type suffixes ("12d"), which are not numbers here.
-    suffixed = F.coalesce(text(value).rlike(r"[0-9.][dDfF]\s*$"), F.lit(False))
-    return F.when(~suffixed, F.try_variant_get(value, "$", "double"))
+    suffixed = F.lower(F.right(F.trim(text(value)), F.lit(1))).isin("d", "f")
+    return F.when(~is_text(value) | ~suffixed, F.try_variant_get(value, "$", "double"))
 
 
 def text_or(value: Column, default: str, null_text: str) -> Column:

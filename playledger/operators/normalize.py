@@ -10,13 +10,14 @@ from .. import schemas
 from ..functions import values as V
 from ..functions import json as J
 
-# Keys of a play record.
-_PLAY_FIELDS = (
-    "ts", "endTime", "ms_played", "msPlayed", "master_metadata_track_name",
-    "trackName", "master_metadata_album_artist_name", "artistName",
-    "master_metadata_album_album_name", "albumName", "platform", "skipped",
-    "shuffle", "offline", "reason_start", "reason_end", "conn_country",
+# Keys of a play record. Names skip empty values of any type; the
+# fields need to tell a missing key from null or a number from a text.
+_PLAY_NAMES = (
+    "ts", "master_metadata_track_name", "trackName", "master_metadata_album_artist_name",
+    "artistName", "master_metadata_album_album_name", "albumName",
 )
+_PLAY_FIELDS = ("endTime", "ms_played", "msPlayed", "skipped", "shuffle", "offline")
+_PLAY_ATTRIBUTES = ("platform", "reason_start", "reason_end", "conn_country")
 # Keys of a search record and of a playlist.
 _SEARCH_FIELDS = ("searchTime", "platform", "searchQuery", "searchInteractionURIs")
 _PLAYLIST_FIELDS = ("name", "items", "collaborative", "lastModifiedDate", "description")
@@ -24,22 +25,29 @@ _PLAYLIST_FIELDS = ("name", "items", "collaborative", "lastModifiedDate", "descr
 
 def play_time(rec: Column) -> Column:
     """Time text of a play from either dialect, unwrapping ``{"$date": ...}``."""
-    own = J.first_filled(rec["ts"])
-    inner = F.try_variant_get(rec["ts"], "$['$date']", "variant")
+    own = F.when(~rec["ts"].isin("", "{}"), rec["ts"])
+    inner = F.try_variant_get(F.try_parse_json(own), "$['$date']", "variant")
     unwrapped = F.when(inner.isNotNull(), J.text(inner)).otherwise(own)
     end = F.when(rec["endTime"].isNull(), "").otherwise(J.text(rec["endTime"]))
-    return F.when(own.isNotNull(), unwrapped).otherwise(end)
+    return F.when(own.startswith("{"), unwrapped).when(own.isNotNull(), own).otherwise(end)
 
 
 def play_ms(rec: Column) -> Column:
     """Milliseconds of a play; NULL where the value given is no number."""
+    own = rec["ms_played"]
+    given = F.try_variant_get(own, "$", "double")
     other = F.when(rec["msPlayed"].isNull(), 0.0).otherwise(J.number(rec["msPlayed"]))
-    own = J.first_filled(rec["ms_played"])
-    return F.when(own.isNotNull(), J.number(rec["ms_played"])).otherwise(other)
+    # A number needs one look; texts and other values are told apart with more care.
+    return (
+        F.when(own.isNull(), other)
+        .when((given != 0) & ~J.is_text(own), given)
+        .when(J.first_filled(own).isNotNull(), J.number(own))
+        .otherwise(other)
+    )
 
 
 def _name(rec: Column, *keys: str) -> Column:
-    found = F.coalesce(J.first_filled(*[rec[k] for k in keys]), F.lit(C.UNKNOWN))
+    found = F.coalesce(*[F.when(rec[k] != "", rec[k]) for k in keys], F.lit(C.UNKNOWN))
     return V.cut(found, C.NAME_CHARS)
 
 
@@ -55,14 +63,20 @@ def plays(
     stride sampling. ``strict_none`` writes ``None`` for an explicit JSON null.
     ``keep_unreadable`` keeps a row with NULL ``pos`` per file that is no list.
     """
-    null_text = "None" if strict_none else C.UNKNOWN
+    # Only the strict form has to tell null from a missing key.
+    fields, texts = _PLAY_FIELDS, _PLAY_ATTRIBUTES
+    if strict_none:
+        fields, texts = _PLAY_FIELDS + _PLAY_ATTRIBUTES, ()
 
     def attribute(key: str, chars: int) -> Column:
-        return V.cut(J.text_or(rec[key], C.UNKNOWN, null_text), chars)
+        if strict_none:
+            return V.cut(J.text_or(rec[key], C.UNKNOWN, "None"), chars)
+        return V.cut(F.coalesce(rec[key], F.lit(C.UNKNOWN)), chars)
 
     rec = F.col("rec")
     rows = J.records(
-        docs.where(F.col("kind") == "plays"), _PLAY_FIELDS, max_rows_per_file, keep_unreadable
+        docs.where(F.col("kind") == "plays"), fields, texts, _PLAY_NAMES,
+        max_rows_per_file, keep_unreadable,
     )
     named = rows.select(
         "profile", F.col("file_name").alias("source_file"), "pos",
