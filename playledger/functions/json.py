@@ -74,18 +74,18 @@ def with_records(
     slow = once(fast, _slow=F.from_json(F.when(~fast_ok, wrapped), "array<array<variant>>"))
     slow_ok = F.try_variant_get(F.get(F.get("_slow", 1), 0), "$._end", "string") == _END
 
-    def as_record(x: Column) -> Column:
-        key = lambda k: F.try_variant_get(x, f"$.{k}", "variant")
-        return F.when(F.schema_of_variant(x).startswith("OBJECT"), F.struct(
-            *[key(f).alias(f) for f in fields],
-            *[text(key(t)).alias(t) for t in texts],
-            *[F.when(_filled(key(n)), text(key(n))).alias(n) for n in names],
+    def as_record(r: Column) -> Column:
+        return F.when(r.isNotNull(), F.struct(
+            *[r[f].alias(f) for f in fields],
+            *[text(r[t]).alias(t) for t in texts],
+            *[F.when(_filled(r[n]), text(r[n])).alias(n) for n in names],
             F.lit(None).cast("string").alias("_end"),
         ))
 
-    items = F.when(fast_ok, F.get("_fast", 0)).when(
-        slow_ok, F.transform(F.get("_slow", 0), as_record)
+    careful = F.transform(
+        F.transform(F.get("_slow", 0), lambda x: record(x, (*fields, *texts, *names))), as_record
     )
+    items = F.when(fast_ok, F.get("_fast", 0)).when(slow_ok, careful)
     return slow.withColumn("items", items).drop("_fast", "_ok", "_slow")
 
 
@@ -117,9 +117,13 @@ def records(
         # Known before the explode: no window over the records of a file.
         step = F.greatest(F.lit(1), F.floor(F.size("items") / per_file).cast("int"))
     kept = [c for c in docs.columns if c != "value"]
-    exploded = with_records(docs, fields, texts, names).select(
-        *kept, F.col("items").isNull().alias("_unreadable"), step.alias("_step"),
-        F.posexplode_outer("items").alias("pos", "rec"),
+    # What depends on the whole list comes first: next to the explode it would make
+    # every exploded row carry the list.
+    sized = with_records(docs, fields, texts, names).select(
+        *kept, F.col("items").isNull().alias("_unreadable"), step.alias("_step"), "items"
+    )
+    exploded = sized.select(
+        *kept, "_unreadable", "_step", F.posexplode_outer("items").alias("pos", "rec")
     )
     if per_file is not None:
         exploded = exploded.where(F.col("_unreadable") | (F.col("pos") % F.col("_step") == 0))

@@ -141,10 +141,8 @@ def searches(
 def _playlists(docs: DataFrame) -> DataFrame:
     """One row per playlist object: ``profile, p`` with its fields as VARIANTs."""
     lists = J.with_document(docs)
-    rows = lists.select(
-        "profile", F.posexplode(F.try_variant_get("doc", "$.playlists", "array<variant>"))
-        .alias("_pos", "_playlist")
-    )
+    found = F.try_variant_get("doc", "$.playlists", "array<variant>")
+    rows = lists.select("profile", F.explode_outer(found).alias("_playlist"))
     return J.once(rows, p=J.record("_playlist", _PLAYLIST_FIELDS)).where("p IS NOT NULL")
 
 
@@ -175,23 +173,25 @@ def playlists(docs: DataFrame, strict_none: bool = False) -> DataFrame:
 def playlist_items(docs: DataFrame) -> DataFrame:
     """One row per usable song of every playlist; a bad item is dropped alone."""
     p, song = F.col("p"), F.col("_song")
+    # The name is taken before the explode, so that no song row carries the playlist.
+    named = _playlists(docs.where(F.col("file_name").contains("Playlist"))).select(
+        "profile",
+        J.text_or(p["name"], C.UNKNOWN, C.UNKNOWN).alias("playlistName"),
+        J.items(p["items"]).alias("_items"),
+    )
     songs = J.once(
-        _playlists(docs.where(F.col("file_name").contains("Playlist"))).select(
-            "profile",
-            J.text_or(p["name"], C.UNKNOWN, C.UNKNOWN).alias("playlistName"),
-            F.posexplode(J.items(p["items"])).alias("_pos", "_item"),
-        ),
+        named.select("profile", "playlistName", F.explode_outer("_items").alias("_item")),
         _song=F.try_variant_get(
             "_item", "$.track", "struct<trackName: variant, artistName: variant>"
         ),
     )
-    named = J.once(
+    titled = J.once(
         songs,
         trackName=_stripped(J.text(song["trackName"])),
         artistName=_stripped(J.text(song["artistName"])),
     )
     usable = V.known("trackName", "artistName", unknown=C.UNKNOWN_ITEM_NAMES)
-    return named.where(usable).select(*schemas.columns(schemas.PLAYLIST_ITEMS))
+    return titled.where(usable).select(*schemas.columns(schemas.PLAYLIST_ITEMS))
 
 
 def _stripped(name: Column) -> Column:
