@@ -283,7 +283,8 @@ ORACLE: dict[str, str] = {
                 'Unknown' AS reason_end, l_returnflag AS conn_country
             FROM {_SOLD}
             UNION ALL
-            SELECT l_linestatus, 'Streaming_History_Audio_' || l_orderkey || '.json', 2,
+            SELECT l_linestatus, 'Streaming_History_Audio_' || l_orderkey || '.json',
+                CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END,
                 {_SHOWN}, s_name, 'Unknown', CAST(year(l_shipdate) AS INT),
                 CAST(CAST(l_quantity AS INT) AS DOUBLE), {_DAY} || ' 10:00', 'Unknown', false,
                 false, false, 'Unknown', 'Unknown', 'Unknown'

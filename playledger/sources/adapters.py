@@ -140,8 +140,9 @@ def _objects(make) -> Column:
 
 
 def play_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A streaming-history file per line item: an extended record, a broken one and
-    an account record."""
+    """A streaming-history file per line item: an extended record and an account
+    record; files of returned items have a broken element between them, so that
+    both ways of parsing are used."""
     day = F.substring(F.col("l_shipdate").cast("string"), 1, 10)
     cols = dict(zip(
         ("track", "artist", "album", "year", "ms", "ts", "skipped"), _play_columns()
@@ -167,7 +168,11 @@ def play_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(
         _sold(spark, sf_dir), F.col("l_linestatus"),
         F.concat(F.lit("Streaming_History_Audio_"), F.col("l_orderkey"), F.lit(".json")),
-        F.concat(F.lit("["), extended, F.lit(',"broken", '), account, F.lit(" ]\n")),
+        F.concat(
+            F.lit("["), extended,
+            F.when(F.col("l_returnflag") == "R", ',"broken", ').otherwise(", "),
+            account, F.lit(" ]\n"),
+        ),
     )
 
 
