@@ -25,6 +25,8 @@ def stream_plays(
     never rewritten; for replaced files use the batch ingest, which compares
     fingerprints. ``once`` processes what is there and stops.
     """
+    # As in the batch scan: a repeated key in one record must not cost the file.
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     name = F.col("_metadata.file_name")
     docs = (
         spark.readStream.schema("value STRING, profile STRING")

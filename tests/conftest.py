@@ -30,8 +30,6 @@ def spark():
 @pytest.fixture
 def docs(spark):
     """Raw documents from (profile, file name, text)."""
-    from pyspark.sql import functions as F
-
     from playledger.sources import file_kind
 
     def make(*rows):
