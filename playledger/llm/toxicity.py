@@ -11,9 +11,11 @@ by the length of the text.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import labelled_sample, stored
 
 #: Labelled rows of either class that lexicon and scale are fitted on, at most.
-PER_CLASS = 5000
+PER_CLASS = 3000
 CUT = 0.3
 #: A lexicon word is in this many different toxic texts at least, and has this log ratio.
 TEXTS, LEAST_RATIO = 8, 2.0
@@ -169,26 +171,40 @@ def _alike(own: list[str]) -> int:
     return min(zlib.crc32(r.encode("utf-8", "replace")) for r in runs)
 
 
-def _contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Distinct words of each row, with its label and what it shares with its copies."""
+def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        seen = set()
-        for label, text in zip(batch["label"], batch["text"]):
-            own = words(text)
-            group = _alike(own)
-            kinds = set(own)
-            seen.update((label, group, w) for w in kinds)
-            seen.update((label, group, f"{w[:n]}*") for w in kinds for n in STEMS if len(w) > n)
-        yield pd.DataFrame(list(seen), columns=["label", "text_group", "word"])
+        yield pd.DataFrame({"label": batch["label"], "text": batch["text"],
+                            "text_group": [_alike(words(t)) for t in batch["text"]]})
+
+
+def _entries(text: str, wanted: set[str] | None) -> set[str]:
+    """The distinct words and stems of a text, or those that are wanted."""
+    kinds = set(words(text))
+    found = kinds | {f"{w[:n]}*" for w in kinds for n in STEMS if len(w) > n}
+    return found if wanted is None else found & wanted
+
+
+def _counted(wanted: set[str] | None = None):
+    """(word, label, n): groups of alike texts that hold each entry. A group's rows are in one
+    partition, so sums over partitions count every group once."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[tuple[int, int], set[str]] = {}
+        for batch in batches:
+            for label, group, text in zip(batch["label"], batch["text_group"], batch["text"]):
+                seen.setdefault((label, group), set()).update(_entries(text, wanted))
+        counts = Counter((w, label) for (label, _), found in seen.items() for w in found)
+        yield pd.DataFrame([(w, label, n) for (w, label), n in counts.items()], columns=["word", "label", "n"])
+
+    return run
 
 
 def _phrases(found: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             seen = set()
-            for label, text in zip(batch["label"], batch["text"]):
+            for label, group, text in zip(batch["label"], batch["text_group"], batch["text"]):
                 own = words(text)
-                group = _alike(own)
                 seen.update((label, group, f"{a} {b}") for a, b in zip(own, own[1:]) if a in found or b in found)
             yield pd.DataFrame(list(seen), columns=["label", "text_group", "phrase"])
 
@@ -210,25 +226,34 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PE
     Words are counted by different texts; near copies of one text count as one, mostly. Without
     rows of both classes the lexicon is empty and every text scores below `CUT`.
     """
-    rows = stored(labelled_sample(docs, labels, "toxic", train, per_class))
-    seen = stored(rows.mapInPandas(_contexts, "label INT, text_group BIGINT, word STRING").distinct())
+    sample = labelled_sample(docs, labels, "toxic", train, per_class)
+    rows = stored(sample.mapInPandas(_grouped, "label INT, text STRING, text_group BIGINT").repartition("text_group"))
     both = [F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")]
-    sums = seen.select("label", "text_group").distinct().agg(*both).first()
+    sums = rows.select("label", "text_group").distinct().agg(*both).first()
     if not sums["toxic"] or not sums["clean"]:
         return Lexicon({})
-    ratio = F.log((F.col("toxic") + 0.5) / sums["toxic"]) - F.log((F.col("clean") + 0.5) / sums["clean"])
-    strong = (
-        seen.groupBy("word").agg(*both).where((F.col("toxic") >= TEXTS) & (F.length("word") > 2))
-        .withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO)
-        .orderBy(F.desc("ratio"), "word").limit(WORDS).collect()
+    form = "word STRING, label INT, n BIGINT"
+    # Only entries of enough toxic texts are counted in the clean ones.
+    frequent = (
+        rows.where("label = 1").repartition("text_group").mapInPandas(_counted(), form)
+        .groupBy("word").agg(F.sum("n").alias("toxic")).where((F.col("toxic") >= TEXTS) & (F.length("word") > 2))
+        .orderBy(F.desc("toxic"), "word").limit(20 * WORDS)
     )
-    found = _specific([(r["word"], int(r["toxic"]), float(r["ratio"])) for r in strong])
+    toxic = {r["word"]: int(r["toxic"]) for r in frequent.collect()}
+    clean = {r["word"]: int(r["n"]) for r in (
+        rows.where("label = 0").repartition("text_group").mapInPandas(_counted(set(toxic)), form)
+        .groupBy("word").agg(F.sum("n").alias("n")).collect())}
+    ratio = {w: math.log((n + 0.5) / sums["toxic"]) - math.log((clean.get(w, 0) + 0.5) / sums["clean"])
+             for w, n in toxic.items()}
+    strong = sorted(((w, n, ratio[w]) for w, n in toxic.items() if ratio[w] >= LEAST_RATIO),
+                    key=lambda x: (-x[2], x[0]))[:WORDS]
+    found = _specific(strong)
     lexicon = Lexicon(found)
     if found:
         listed = {w for w in found if not w.endswith("*")}
         phrases = rows.mapInPandas(_phrases(listed), "label INT, text_group BIGINT, phrase STRING").distinct()
-        clean = phrases.groupBy("phrase").agg(*both).where("toxic = 0 AND clean >= 2")
-        lexicon.exceptions = {r["phrase"] for r in clean.orderBy(F.desc("clean"), "phrase").limit(10 * WORDS).collect()}
+        kept = phrases.groupBy("phrase").agg(*both).where("toxic = 0 AND clean >= 2")
+        lexicon.exceptions = {r["phrase"] for r in kept.orderBy(F.desc("clean"), "phrase").limit(10 * WORDS).collect()}
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
