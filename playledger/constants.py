@@ -24,17 +24,10 @@ SPAN_WITHOUT_DATES = 365
 DAYS_PER_YEAR = 365.25
 MONTHS_FOR_TREND = 5
 
-# Longest texts kept.
+# Length to which a list of options or a table may cut the names it shows. Stored names are whole.
 NAME_CHARS = 100
-PLATFORM_CHARS = 50
-REASON_CHARS = 30
-COUNTRY_CHARS = 10
-SEARCH_PLATFORM_CHARS = 20
-QUERY_CHARS = 100
-DESCRIPTION_CHARS = 200
 
 # Sizes of lists and reports.
-SAVED_ITEMS = 500
 RECENT_PROMPTS = 10
 RECENT_PAYMENTS = 5
 FAVOURITES = 3
@@ -50,8 +43,6 @@ TOP_PLAYLISTS = 10
 NAMES_SAMPLED = 3
 OPTION_PREVIEW = 100
 SUGGESTIONS = 5
-PLAYS_PER_FILE = 100000
-SEARCHES_PER_FILE = 5000
 
 # Columns that may hold the time of a play, in order of preference.
 TIMESTAMP_COLUMNS = (
@@ -94,6 +85,8 @@ KINDS = (
 # Engine limits. These steer plans and never change a result.
 # ---------------------------------------------------------------------------
 
+# Buckets that profiles are dealt to by a hash of their name, in every stored table.
+BUCKETS = 256
 # A side of a join is broadcast only after a count shows at most this many rows.
 BROADCAST_ROWS = 200000
 # Longest value list written into a predicate; longer lists become a semi-join.

@@ -6,8 +6,8 @@ each list element becomes its own VARIANT, so a bad element drops alone.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,10 +52,11 @@ def with_records(
     ``names`` are plain text with NULL for both; an empty value that is not a text
     (0, false, [] or {}) is NULL in ``names``.
 
-    Parsing straight to the struct is several times cheaper than going through a
-    VARIANT per element, but one element that is no object voids the file, and a
-    name cannot be told from an empty value that reads the same. Files with such
-    elements are parsed again the slow way.
+    Parsing straight to the struct is several times cheaper than going through a VARIANT per
+    element, but one element that is no object voids the file, and a value under a text key that
+    is neither text nor null (a number, a list, an object) is written in its own spelling. Files
+    with such elements or values are parsed again the slow way. A record with such a value is
+    read the slow way in any file, so no record depends on its neighbours.
     """
     flat = ", ".join(
         [f"`{f}`: variant" for f in fields] + [f"`{t}`: string" for t in (*texts, *names)]
@@ -65,11 +66,10 @@ def with_records(
     fast = once(docs, _fast=F.from_json(
         wrapped, f"array<array<struct<{flat}, `_end`: string>>>"))
     whole = F.get(F.get("_fast", 1), 0)["_end"] == _END
-    # Few files hold such a text at all, as a name or as an empty value.
-    unclear = F.exists(F.get("_fast", 0), lambda r: F.coalesce(
-        reduce(lambda a, b: a | b, [r[n].isin(*_EMPTY) for n in names], F.lit(False)),
-        F.lit(False)))
-    fast = once(fast, _ok=F.coalesce(whole & ~unclear, F.lit(False)))
+    keys = "|".join(re.escape(k) for k in (*texts, *names))
+    # A wrapped date is unwrapped alike on both ways.
+    other = F.col("value").rlike(rf'"(?:{keys})"\s*:\s*(?!\{{\s*"\$date"\s*:)[^"n\s]') if keys else F.lit(False)
+    fast = once(fast, _ok=F.coalesce(whole & ~other, F.lit(False)))
     fast_ok = F.col("_ok")
     slow = once(fast, _slow=F.from_json(F.when(~fast_ok, wrapped), "array<array<variant>>"))
     slow_ok = F.try_variant_get(F.get(F.get("_slow", 1), 0), "$._end", "string") == _END

@@ -26,10 +26,11 @@ _PLAYLIST_FIELDS = ("name", "items", "collaborative", "lastModifiedDate", "descr
 def play_time(rec: Column) -> Column:
     """Time text of a play from either dialect, unwrapping ``{"$date": ...}``."""
     own = F.when(~rec["ts"].isin("", "{}"), rec["ts"])
-    inner = F.try_variant_get(F.try_parse_json(own), "$['$date']", "variant")
-    unwrapped = F.when(inner.isNotNull(), J.text(inner)).otherwise(own)
     end = F.when(rec["endTime"].isNull(), "").otherwise(J.text(rec["endTime"]))
-    return F.when(own.startswith("{"), unwrapped).when(own.isNotNull(), own).otherwise(end)
+    chosen = F.coalesce(own, end)
+    inner = F.try_variant_get(F.try_parse_json(chosen), "$['$date']", "variant")
+    unwrapped = F.when(inner.isNotNull(), J.text(inner)).otherwise(chosen)
+    return F.when(chosen.startswith("{"), unwrapped).otherwise(chosen)
 
 
 def play_ms(rec: Column) -> Column:
@@ -47,8 +48,7 @@ def play_ms(rec: Column) -> Column:
 
 
 def _name(rec: Column, *keys: str) -> Column:
-    found = F.coalesce(*[F.when(rec[k] != "", rec[k]) for k in keys], F.lit(C.UNKNOWN))
-    return V.cut(found, C.NAME_CHARS)
+    return F.coalesce(*[F.when(rec[k] != "", rec[k]) for k in keys], F.lit(C.UNKNOWN))
 
 
 def plays(
@@ -59,8 +59,8 @@ def plays(
 ) -> DataFrame:
     """Normalise streaming-history documents to one row per play.
 
-    A record that cannot be read is dropped alone. ``max_rows_per_file`` turns on
-    stride sampling. ``strict_none`` writes ``None`` for an explicit JSON null.
+    A record that cannot be read is dropped alone. Texts are kept whole. ``max_rows_per_file``
+    turns on stride sampling, for looking at a part of large files; the ingest never does. ``strict_none`` writes ``None`` for an explicit JSON null.
     ``keep_unreadable`` keeps a row with NULL ``pos`` per file that is no list.
     """
     # Only the strict form has to tell null from a missing key.
@@ -68,10 +68,10 @@ def plays(
     if strict_none:
         fields, texts = _PLAY_FIELDS + _PLAY_ATTRIBUTES, ()
 
-    def attribute(key: str, chars: int) -> Column:
+    def attribute(key: str) -> Column:
         if strict_none:
-            return V.cut(J.text_or(rec[key], C.UNKNOWN, "None"), chars)
-        return V.cut(F.coalesce(rec[key], F.lit(C.UNKNOWN)), chars)
+            return J.text_or(rec[key], C.UNKNOWN, "None").alias(key)
+        return F.coalesce(rec[key], F.lit(C.UNKNOWN)).alias(key)
 
     rec = F.col("rec")
     rows = J.records(
@@ -84,11 +84,9 @@ def plays(
         _name(rec, "master_metadata_track_name", "trackName").alias("trackName"),
         _name(rec, "master_metadata_album_artist_name", "artistName").alias("artistName"),
         _name(rec, "master_metadata_album_album_name", "albumName").alias("albumName"),
-        attribute("platform", C.PLATFORM_CHARS).alias("platform"),
+        attribute("platform"),
         *[J.flag(rec[f]).alias(f) for f in ("skipped", "shuffle", "offline")],
-        attribute("reason_start", C.REASON_CHARS).alias("reason_start"),
-        attribute("reason_end", C.REASON_CHARS).alias("reason_end"),
-        attribute("conn_country", C.COUNTRY_CHARS).alias("conn_country"),
+        *[attribute(key) for key in ("reason_start", "reason_end", "conn_country")],
     )
     wanted = F.col("msPlayed").isNotNull()
     if keep_unreadable:
@@ -118,16 +116,21 @@ def searches(
     rec = F.col("rec")
     time, uris = rec["searchTime"], rec["searchInteractionURIs"]
     time_is_text = time.isNull() | F.is_variant_null(time) | (F.schema_of_variant(time) == "STRING")
-    links = F.when(uris.isNull(), F.lit(0)).otherwise(F.size(J.items(uris)))
+    kind = F.schema_of_variant(uris)
+    # The length of a list, a text or an object; other values have none and drop the record.
+    links = (
+        F.when(uris.isNull(), 0)
+        .when(kind.startswith("ARRAY"), F.size(J.items(uris)))
+        .when(kind == "STRING", F.length(J.text(uris)))
+        .when(kind.startswith("OBJECT"), F.size(F.try_variant_get(uris, "$", "map<string, variant>")))
+    )
     rows = J.once(
         J.records(
             docs.where(F.col("kind") == "searches"), _SEARCH_FIELDS, per_file=max_rows_per_file
         ),
         searchTime=F.when(time.isNull(), "").otherwise(J.text(time)),
-        platform=V.cut(
-            J.text_or(rec["platform"], C.UNKNOWN, null_text or C.UNKNOWN), C.SEARCH_PLATFORM_CHARS
-        ),
-        searchQuery=V.cut(J.text_or(rec["searchQuery"], "", null_text or ""), C.QUERY_CHARS),
+        platform=J.text_or(rec["platform"], C.UNKNOWN, null_text or C.UNKNOWN),
+        searchQuery=J.text_or(rec["searchQuery"], "", null_text or ""),
         _links=F.when(time_is_text, links),
     )
     return (
@@ -158,13 +161,11 @@ def playlists(docs: DataFrame, strict_none: bool = False) -> DataFrame:
         trackCount=tracks,
         collaborative=J.flag(p["collaborative"]),
         lastModified=F.when(modified.isNull(), "").otherwise(J.text(modified)),
-        description=V.cut(
-            J.text_or(p["description"], "", null_text or ""), C.DESCRIPTION_CHARS
-        ),
+        description=J.text_or(p["description"], "", null_text or ""),
     )
     return (
         rows.where((F.col("trackCount") > 0) & (F.col("_name") != C.UNKNOWN_PLAYLIST))
-        .withColumn("playlistName", V.cut("_name", C.NAME_CHARS))
+        .withColumnRenamed("_name", "playlistName")
         .withColumn("totalMinutes", V.playlist_minutes("trackCount"))
         .select(*schemas.columns(schemas.PLAYLISTS))
     )

@@ -21,9 +21,9 @@ def songs_in_most_playlists(
 ) -> DataFrame:
     """Songs found in more than one playlist (by name), most playlists first.
 
-    A song's playlists are counted and never gathered: the sample of names comes
-    from a window cut to three rows per song before its shuffle, so a song in
-    millions of playlists costs each task three rows.
+    A song's playlists are counted and never gathered: the sample of names, of the
+    top songs only, comes from a window cut to three rows per song before its
+    shuffle, so a song in millions of playlists costs each task three rows.
     """
     song = [*by, *_SONG]
     pairs = items.select(*song, "playlistName").distinct()
@@ -31,7 +31,8 @@ def songs_in_most_playlists(
     top = top_k(counts.where(F.col("playlistCount") > 1), k, "playlistCount", _SONG, by)
     first = Window.partitionBy(*song).orderBy("playlistName")
     samples = (
-        pairs.withColumn("_n", F.row_number().over(first))
+        pairs.join(top.select(*song), song, "left_semi")
+        .withColumn("_n", F.row_number().over(first))
         .where(F.col("_n") <= C.NAMES_SAMPLED)
         .groupBy(*song)
         .agg(F.collect_list("playlistName").alias("_names"))

@@ -81,7 +81,7 @@ def account(docs: DataFrame, as_of: date | str | None = None) -> DataFrame:
 
 
 def library(docs: DataFrame) -> DataFrame:
-    """Seven list sizes and the first five hundred saved tracks and albums."""
+    """Seven list sizes and all saved tracks and albums."""
     d = F.col("d")
     # The lists counted and the names of their counts.
     counted = {
@@ -96,14 +96,10 @@ def library(docs: DataFrame) -> DataFrame:
 
     def saved(key: str, *names: str) -> Column:
         def entry(x: Column) -> Column:
-            cut = [
-                V.cut(F.coalesce(_get(x, n), F.lit(C.UNKNOWN)), C.NAME_CHARS).alias(n)
-                for n in names
-            ]
-            return F.struct(*cut, F.coalesce(_get(x, "uri"), F.lit("")).alias("uri"))
+            own = [F.coalesce(_get(x, n), F.lit(C.UNKNOWN)).alias(n) for n in names]
+            return F.struct(*own, F.coalesce(_get(x, "uri"), F.lit("")).alias("uri"))
 
-        first = F.slice(J.items(d[key]), 1, C.SAVED_ITEMS)
-        return F.coalesce(F.transform(first, entry), F.array())
+        return F.coalesce(F.transform(J.items(d[key]), entry), F.array())
 
     return _objects(docs, "library", *counted).select(
         "profile",
@@ -162,13 +158,13 @@ def follow(docs: DataFrame) -> DataFrame:
 
 
 def prompts(docs: DataFrame) -> DataFrame:
-    """Number, types and first ten prompts."""
+    """Number, types and all prompts."""
     xs = F.col("xs")
     return _lists(docs, "prompts").select(
         "profile",
         F.size(xs).alias("total_prompts"),
         _distinct(xs, "type", "unknown").alias("prompt_types"),
-        _json(F.slice(xs, 1, C.RECENT_PROMPTS)).alias("recent_prompts"),
+        _json(xs).alias("prompts"),
     )
 
 
@@ -199,7 +195,7 @@ def identifiers(docs: DataFrame) -> DataFrame:
     d = F.col("d")
     # Key of each id and the name of its column.
     keys = {
-        "spotifyId": "spotify_id", "facebookId": "facebook_id",
+        "spotifyId": "service_id", "facebookId": "facebook_id",
         "appleId": "apple_id", "googleId": "google_id",
     }
     has = {"facebookId": "has_facebook", "appleId": "has_apple", "googleId": "has_google"}
@@ -243,17 +239,26 @@ def purchases_by_currency(docs: DataFrame) -> DataFrame:
 
 
 def payments(docs: DataFrame) -> DataFrame:
-    """Number, methods and last five payments."""
+    """Number, methods and all payments."""
     xs = F.col("xs")
-    start = F.greatest(F.size(xs) - (C.RECENT_PAYMENTS - 1), F.lit(1))
     return _lists(docs, "payments").select(
         "profile",
         F.size(xs).alias("total_payments"),
         _distinct(xs, "method", "unknown").alias("payment_methods"),
-        _json(F.slice(xs, start, F.lit(C.RECENT_PAYMENTS))).alias("recent_payments"),
+        _json(xs).alias("payments"),
     )
 
 
+def first_prompts(n: int = C.RECENT_PROMPTS) -> Column:
+    """The first ``n`` prompts of a row of the prompts table, as shown."""
+    return F.slice("prompts", 1, n)
+
+
+def last_payments(n: int = C.RECENT_PAYMENTS) -> Column:
+    """The last ``n`` payments of a row of the payments table, as shown."""
+    return F.slice("payments", F.greatest(F.size("payments") - (n - 1), F.lit(1)), F.lit(n))
+
+
 # Summaries by table name, which is also the kind of file they read.
 SUMMARIES: dict[str, Callable[..., DataFrame]] = {
     "account": account,

@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Names used by the filter queries, from the rule the tables name suppliers by.
 FIRST_ARTISTS = [f"Supplier#{i:09d}" for i in range(60)]
-MANY_ARTISTS = [f"Supplier#{i:09d}" for i in range(1500)]
+MANY_ARTISTS = [f"Supplier#{2 * i + 1:09d}" for i in range(1500)]
 SELECTION = Selection(
     years=(1996, 1997, 1998), artists=FIRST_ARTISTS,
     albums=[f"Brand#{i}" for i in range(1, 20)],
@@ -186,8 +186,9 @@ def profiles_changed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def report_of_ingest(spark: SparkSession, sf: str) -> DataFrame:
+    files = A.order_files(spark, sf)
     return ingest_report(
-        A.order_files(spark, sf), A.customer_plays(spark, sf), A.searches(spark, sf)
+        files, A.customer_plays(spark, sf), A.searches(spark, sf), files.where("file_size % 3 = 0")
     )
 
 
@@ -220,22 +221,25 @@ def follow_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 def prompts_summary(spark: SparkSession, sf: str) -> DataFrame:
     prompts = summaries.prompts(A.word_docs(spark, sf, "UserPrompts.json"))
-    texts = F.transform("recent_prompts", lambda p: F.get_json_object(p, "$.text"))
+    text = lambda column: F.array_join(
+        F.transform(column, lambda p: F.get_json_object(p, "$.text")), "|")
     return prompts.select(
-        "profile", "total_prompts", _joined("prompt_types"),
-        F.array_join(texts, "|").alias("recent_prompts"),
+        "profile", "total_prompts", _joined("prompt_types"), text("prompts").alias("prompts"),
+        text(summaries.first_prompts()).alias("recent_prompts"),
     )
 
 
 def podcast_summary(spark: SparkSession, sf: str) -> DataFrame:
     polls = summaries.podcasts(A.word_docs(spark, sf, "PodcastInteractivityVotedPollOption.json"))
-    return polls.withColumn("poll_votes", F.size("poll_votes"))
+    shows = F.transform("poll_votes", lambda p: F.get_json_object(p, "$.showName"))
+    return polls.withColumn("poll_votes", F.array_join(shows, "|"))
 
 
 def address_summary(spark: SparkSession, sf: str) -> DataFrame:
     found = summaries.addresses(A.word_docs(spark, sf, "UserAddress.json"))
+    own = F.transform("addresses", lambda p: F.get_json_object(p, "$.country"))
     return found.select(
-        "profile", F.size("addresses").alias("addresses"), "address_count", _joined("countries")
+        "profile", F.array_join(own, "|").alias("addresses"), "address_count", _joined("countries")
     )
 
 
@@ -257,10 +261,11 @@ def purchases_by_currency(spark: SparkSession, sf: str) -> DataFrame:
 
 def payments_recent(spark: SparkSession, sf: str) -> DataFrame:
     found = summaries.payments(A.word_docs(spark, sf, "Payments.json"))
-    notes = F.transform("recent_payments", lambda p: F.get_json_object(p, "$.note"))
+    notes = lambda column: F.array_join(
+        F.transform(column, lambda p: F.get_json_object(p, "$.note")), "|")
     return found.select(
-        "profile", "total_payments", _joined("payment_methods"),
-        F.array_join(notes, "|").alias("recent_payments"),
+        "profile", "total_payments", _joined("payment_methods"), notes("payments").alias("payments"),
+        notes(summaries.last_payments()).alias("recent_payments"),
     )
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,17 +13,27 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from .. import schemas
 from ..operators import normalize
-from ..operators.sizing import rows_up_to
+from ..operators.loyalty import artist_days
 from ..operators.summaries import SUMMARIES
 from ..sources.files import documents, fingerprints, list_files, rejected_files
-from ..sources.tables import read_table, write_table
+from ..sources.tables import (
+    bucket_of, commit_runs, current_runs, read_run, stored_rows, write_table,
+)
+from .rollup import play_rollup
 
 
-def changed_profiles(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Profiles whose fingerprint is new, different or gone."""
+def profile_states(current: DataFrame, previous: DataFrame, force: bool = False) -> DataFrame:
+    """``profile, status``: changed (or new), same or gone, by fingerprints."""
     old = previous.select("profile", F.col("fingerprint").alias("_old"))
     both = current.select("profile", "fingerprint").join(old, "profile", "full")
-    return both.where(~F.col("fingerprint").eqNullSafe(F.col("_old"))).select("profile")
+    same = F.lit(False) if force else F.col("fingerprint").eqNullSafe(F.col("_old"))
+    status = F.when(F.col("fingerprint").isNull(), "gone").when(same, "same").otherwise("changed")
+    return both.select("profile", status.alias("status"))
+
+
+def changed_profiles(current: DataFrame, previous: DataFrame) -> DataFrame:
+    """Profiles whose fingerprint is new, different or gone."""
+    return profile_states(current, previous).where("status <> 'same'").select("profile")
 
 
 def ingest(
@@ -29,88 +42,87 @@ def ingest(
     dst: str,
     force: bool = False,
     as_of: date | str | None = None,
-    max_rows_per_file: int | None = None,
-    max_searches_per_file: int | None = None,
     strict_none: bool = False,
 ) -> int:
     """Bring every table under ``dst`` up to date with the files under ``src``.
 
-    Returns the number of changed profiles (counted up to the broadcast limit). The
-    manifest is written last, so a run that stops half-way is simply repeated; every
-    write replaces whole profiles and may be repeated. Each table's job opens the files of its kind
-    only. If more profiles changed than may be broadcast, all are rebuilt, which
-    gives the same rows without joining documents.
+    Returns the number of changed profiles (new, changed and gone). The file listing is written
+    once and everything reads that copy, so a file that changes meanwhile has its old stamp in
+    the manifest and the next run takes it up. Only changed profiles' files are opened, however
+    many changed; only the buckets of changed profiles are rewritten. Nothing is visible until
+    the last step, and a run that stops before is simply repeated.
     """
-    files = list_files(spark, src)
+    run = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    held = current_runs(spark, dst)
+    files = _stored(list_files(spark, src), f"{dst}/work/{run}/files")
     current = fingerprints(files)
-    previous = read_table(spark, dst, "manifest")
-    known = current.select("profile").unionByName(previous.select("profile")).distinct()
-    changed = known if force else changed_profiles(current, previous)
-
-    # The list of work is written once: every job below reads the same one, and
-    # none of them reads the manifest that the last one replaces.
-    work = _stored(changed, f"{dst}/_work")
-    size = rows_up_to(work)
+    previous = stored_rows(spark, dst, "manifest", held)
+    states = _stored(
+        profile_states(current, previous, force).withColumn("bucket", bucket_of("profile")),
+        f"{dst}/work/{run}/profiles")
+    counts = {r["status"]: r["count"] for r in states.groupBy("status").count().collect()}
+    changed = counts.get("changed", 0)
+    size = changed + counts.get("gone", 0)
     if size == 0:
         return 0
-    everything = force or size > C.BROADCAST_ROWS
-    if everything and not force:
-        work = _stored(known, f"{dst}/_work_all")
-    only = None if everything else F.broadcast(work)
+    touched = [r[0] for r in states.where("status <> 'same'").select("bucket").distinct().collect()]
 
-    def docs(*kinds: str) -> DataFrame:
-        found = documents(spark, src, *kinds)
-        return found if only is None else found.join(only, "profile", "left_semi")
+    every = documents(spark, src)
+    mine = only_changed(every, states, changed)
+    staying = states.where(F.col("bucket").isin(touched) & (F.col("status") == "same")).select("profile")
+    old_runs = {bucket: held[bucket] for bucket in touched if bucket in held}
 
     def put(rows: DataFrame, name: str) -> None:
-        write_table(rows, dst, name, work)
+        kept = stored_rows(spark, dst, name, old_runs).join(staying, "profile", "left_semi")
+        write_table(rows, dst, name, run, kept if old_runs else None)
+
+    def docs(*kinds: str) -> DataFrame:
+        return mine.where(F.col("kind").isin(*kinds))
 
-    read = normalize.plays(
-        docs("plays"), max_rows_per_file, strict_none, keep_unreadable=True
-    )
-    write_plays(read, dst, work)
-    put(normalize.searches(docs("searches"), max_searches_per_file, strict_none), "searches")
+    # Files that are no list stay in the plays as rows without a place, so that finding them
+    # takes no second parse of the largest files.
+    put(normalize.plays(docs("plays"), strict_none=strict_none, keep_unreadable=True), "plays")
+    put(normalize.searches(docs("searches"), strict_none=strict_none), "searches")
     put(normalize.playlists(docs("playlists"), strict_none), "playlists")
     put(normalize.playlist_items(docs("wrapped", "playlists")), "playlist_items")
     for name, summary in SUMMARIES.items():
         found = docs(name)
         put(summary(found, as_of) if name == "account" else summary(found), name)
 
-    mine = files if only is None else files.join(only, "profile", "left_semi")
-    put(mine, "files")
-    unread = unreadable_plays(spark, dst)
-    if only is not None:
-        unread = unread.join(only, "profile", "left_semi")
+    # The rollups of whole touched buckets come from the plays just written.
+    plays = read_run(spark, dst, "plays", run)
+    read = plays.where(F.col("pos").isNotNull())
+    write_table(play_rollup(read), dst, "play_rollup", run)
+    write_table(artist_days(read), dst, "artist_days", run)
+
+    of_changed = states.where("status = 'changed'").select("profile")
+    unread = plays.where(F.col("pos").isNull()).select(
+        "profile", F.col("source_file").alias("file_name"), F.lit("plays").alias("kind"))
     small = rejected_files(docs(*[k for k in C.KINDS if k not in ("plays", "catalogued")]))
-    put(small.unionByName(unread), "rejected_files")
-    put(current if only is None else current.join(only, "profile", "left_semi"), "manifest")
+    put(small.unionByName(unread.join(of_changed, "profile", "left_semi")), "rejected_files")
+    put(files.join(of_changed, "profile", "left_semi"), "files")
+    put(current.join(of_changed, "profile", "left_semi"), "manifest")
+    commit_runs(spark, dst, held | dict.fromkeys(touched, run), run)
     return size
 
 
-def _stored(profiles: DataFrame, path: str) -> DataFrame:
-    profiles.write.mode("overwrite").parquet(path)
-    return profiles.sparkSession.read.schema("profile STRING").parquet(path)
-
-
-def write_plays(read: DataFrame, dst: str, profiles: DataFrame) -> None:
-    """Write plays; files that were no list stay as marker rows, so that finding
-    them does not take a second parse of the largest files."""
-    markers = profiles.select("profile", F.lit(False).alias("_live"))
-    rows = read.withColumn("_live", F.col("pos").isNotNull())
-    (
-        rows.unionByName(markers, allowMissingColumns=True)
-        .hint("rebalance", F.col("profile"))
-        .sortWithinPartitions("profile", "year")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("profile")
-        .parquet(f"{dst}/plays")
-    )
-
-
-def unreadable_plays(spark: SparkSession, dst: str) -> DataFrame:
-    """Streaming files found to be no list when the plays were written."""
-    stored = spark.read.schema(f"{schemas.PLAYS}, _live BOOLEAN").parquet(f"{dst}/plays")
-    return stored.where(~F.col("_live") & F.col("source_file").isNotNull()).select(
-        "profile", F.col("source_file").alias("file_name"), F.lit("plays").alias("kind")
-    )
+def only_changed(docs: DataFrame, states: DataFrame, changed: int) -> DataFrame:
+    """Documents of changed profiles, from their own folders alone.
+
+    A broadcast list of profiles prunes the folders to open at run time. A list longer than may
+    be broadcast is cut into parts by a hash, each of which prunes for itself.
+    """
+    parts = max(1, -(-changed // C.BROADCAST_ROWS))
+    part = F.pmod(F.xxhash64("profile", F.lit(1)), F.lit(parts))
+    found = [
+        docs.join(
+            F.broadcast(states.where((F.col("status") == "changed") & (part == i)).select("profile")),
+            "profile", "left_semi")
+        for i in range(parts)
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

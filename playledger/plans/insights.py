@@ -86,14 +86,23 @@ def insights_summary(
     )
 
 
-def ingest_report(files: DataFrame, plays: DataFrame, searches: DataFrame) -> DataFrame:
-    """Records of each profile and which kinds of file it has."""
-    present = (
+def ingest_report(
+    files: DataFrame, plays: DataFrame, searches: DataFrame, rejected: DataFrame | None = None
+) -> DataFrame:
+    """Records of each profile and which kinds of file were read for it.
+
+    Files listed in ``rejected`` (the table of unreadable files) don't count."""
+    everyone = files.select("profile").distinct()
+    if rejected is not None:
+        files = files.join(rejected.select("profile", "file_name").distinct(), ["profile", "file_name"], "left_anti")
+    read = (
         files.groupBy("profile").pivot("kind", list(C.KINDS)).count().select(
             "profile",
             *[F.coalesce(F.col(k) > 0, F.lit(False)).alias(f"has_{k}") for k in C.KINDS],
         )
     )
+    flags = [c for c in read.columns if c != "profile"]
+    present = everyone.join(read, "profile", "left").fillna(False, flags)
     rows = {
         name: table.groupBy("profile").agg(F.count(F.lit(1)).alias(name))
         for name, table in (("streaming_records", plays), ("search_records", searches))

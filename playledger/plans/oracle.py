@@ -163,7 +163,8 @@ _KIND = """CASE
     WHEN file_name = 'Payments.json' THEN 'payments'
     WHEN file_name = 'Marquee.json' THEN 'catalogued'
     ELSE 'other' END"""
-_FILES = f"""named AS (SELECT 'c' || o_custkey AS profile, {_FILE_NAME} AS file_name FROM orders),
+_FILES = f"""named AS (SELECT 'c' || o_custkey AS profile, {_FILE_NAME} AS file_name,
+        o_orderkey AS file_size, o_orderdate AS modified FROM orders),
     files AS (SELECT *, {_KIND} AS kind FROM named)"""
 _KINDS = (
     "plays account library searches wrapped playlists follow prompts podcasts addresses "
@@ -291,17 +292,17 @@ ORACLE: dict[str, str] = {
             FROM {_SOLD})
         SELECT *, {_DERIVED} FROM records""",
     "stride_sample": f"""WITH {_EACH} SELECT profile, CAST(pos AS INT) AS pos,
-            substr(CASE WHEN w = '' THEN 'Unknown' ELSE w END, 1, 100) AS trackName,
+            CASE WHEN w = '' THEN 'Unknown' ELSE w END AS trackName,
             CAST(length(w) AS DOUBLE) AS msPlayed
         FROM each WHERE pos % greatest(1, n // 100) = 0""",
     "searches_normalized": """SELECT 'c' || user_id AS profile,
             CAST(ts AS VARCHAR) AS searchTime, CAST(year(ts) AS INT) AS year,
-            substr(event_type, 1, 20) AS platform, substr(props, 1, 100) AS searchQuery,
+            event_type AS platform, props AS searchQuery,
             value > 10 AS hasInteractions FROM events""",
     "playlists_normalized": """SELECT lang AS profile, source || '-' || doc_id AS playlistName,
             len(string_split(text, ' ')) * 3.5::DOUBLE AS totalMinutes,
             CAST(len(string_split(text, ' ')) AS INT) AS trackCount, false AS collaborative,
-            lang AS lastModified, substr(text, 1, 200) AS description FROM documents""",
+            lang AS lastModified, text AS description FROM documents""",
     "playlist_items_normalized": """WITH songs AS (SELECT lang AS profile,
             source || '-' || doc_id AS playlistName, source AS artistName,
             unnest(string_split(text, ' ')) AS w FROM documents),
@@ -317,14 +318,23 @@ ORACLE: dict[str, str] = {
     "route_files": f"""WITH {_FILES} SELECT kind, file_name, count(*) AS files FROM files
         GROUP BY ALL""",
     "profiles_listed": "SELECT DISTINCT 'c' || o_custkey AS profile FROM orders",
+    "profile_fingerprints": f"""WITH {_FILES}, stamps AS (SELECT profile,
+            file_name || ':' || epoch_us(modified) || ':' || file_size AS stamp FROM files),
+        sums AS (SELECT profile, count(*) AS files,
+            sum(CAST('0x' || substr(md5(stamp), 1, 15) AS BIGINT)) AS a,
+            sum(CAST('0x' || substr(md5('2' || stamp), 1, 15) AS BIGINT)) AS b
+            FROM stamps GROUP BY profile)
+        SELECT profile, md5(files || ':' || a || ':' || b) AS fingerprint, files FROM sums""",
     "profiles_changed": """SELECT DISTINCT 'c' || o_custkey AS profile FROM orders
         WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
     "ingest_report": f"""WITH {_FILES}, {_CUSTOMER_PLAYS}, {_SEARCHES},
         played AS (SELECT profile, count(*) AS n FROM plays GROUP BY profile),
         searched AS (SELECT profile, count(*) AS n FROM searches GROUP BY profile),
+        readable AS (SELECT *, (profile, file_name) NOT IN (
+            SELECT (profile, file_name) FROM files WHERE file_size % 3 = 0) AS ok FROM files),
         present AS (SELECT profile,
-            {', '.join(f"bool_or(kind = '{k}') AS has_{k}" for k in _KINDS)}
-            FROM files GROUP BY profile)
+            {', '.join(f"bool_or(kind = '{k}' AND ok) AS has_{k}" for k in _KINDS)}
+            FROM readable GROUP BY profile)
         SELECT present.*, coalesce(played.n, 0) AS streaming_records,
             coalesce(searched.n, 0) AS search_records
         FROM present LEFT JOIN played USING (profile) LEFT JOIN searched USING (profile)""",
@@ -365,11 +375,11 @@ ORACLE: dict[str, str] = {
             0 AS followed_shows_count, 0 AS saved_episodes_count,
             CAST(len(list_filter(ws, lambda w: length(w) = 1)) AS INT) AS banned_tracks_count,
             0 AS banned_artists_count,
-            array_to_string(list_transform(ws[1:500], lambda w: source || '/Unknown/' ||
-                substr(CASE WHEN w = '' THEN 'Unknown' ELSE w END, 1, 100) || '/' || w), '|')
+            array_to_string(list_transform(ws, lambda w: source || '/Unknown/' ||
+                CASE WHEN w = '' THEN 'Unknown' ELSE w END || '/' || w), '|')
                 AS saved_tracks,
-            array_to_string(list_transform(ws[1:500], lambda w:
-                'Unknown/' || substr(repeat(w, 30), 1, 100) || '/'), '|') AS saved_albums
+            array_to_string(list_transform(ws, lambda w:
+                'Unknown/' || repeat(w, 30) || '/'), '|') AS saved_albums
         FROM words""",
     "follow_counts": f"""WITH {_WORDS} SELECT profile, CAST(len(ws) AS INT) AS following_count,
             CAST(len(list_filter(ws, lambda w: length(w) > 4)) AS INT) AS followers_count,
@@ -380,19 +390,21 @@ ORACLE: dict[str, str] = {
     "prompts_summary": f"""WITH {_WORDS} SELECT profile, CAST(len(ws) AS INT) AS total_prompts,
             {_sorted("list_transform(ws, lambda w: CASE WHEN w = '' THEN 'unknown' ELSE substr(w, 1, 1) END)")}
                 AS prompt_types,
-            array_to_string(ws[1:10], '|') AS recent_prompts
+            array_to_string(ws, '|') AS prompts, array_to_string(ws[1:10], '|') AS recent_prompts
         FROM words""",
     "podcast_summary": f"""WITH {_WORDS} SELECT profile, CAST(len(ws) AS INT) AS total_interactions,
-            CAST(len(ws) AS INT) AS poll_votes,
+            array_to_string(list_transform(ws, lambda w: CASE WHEN length(w) > 3 THEN w ELSE '' END), '|')
+                AS poll_votes,
             CAST(len(list_distinct(list_filter(ws, lambda w: length(w) > 3))) AS INT)
                 AS shows_interacted
         FROM words""",
-    "address_summary": f"""WITH {_WORDS} SELECT profile, CAST(len(ws) AS INT) AS addresses,
+    "address_summary": f"""WITH {_WORDS} SELECT profile,
+            array_to_string(list_transform(ws, lambda w: substr(w, 1, 2)), '|') AS addresses,
             CAST(len(ws) AS INT) AS address_count,
             {_sorted("list_transform(list_filter(ws, lambda w: w <> ''), lambda w: substr(w, 1, 2))")}
                 AS countries
         FROM words""",
-    "identifiers_summary": """SELECT 'c' || c_custkey AS profile, c_name AS spotify_id,
+    "identifiers_summary": """SELECT 'c' || c_custkey AS profile, c_name AS service_id,
             CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE '' END AS facebook_id,
             CASE WHEN c_nationkey > 12 THEN CAST(c_nationkey AS VARCHAR) ELSE '' END AS apple_id,
             '' AS google_id, c_acctbal > 0 AS has_facebook, c_nationkey > 12 AS has_apple,
@@ -414,7 +426,7 @@ ORACLE: dict[str, str] = {
             CAST(sum(amount) AS DOUBLE) AS total_amount FROM bought GROUP BY ALL""",
     "payments_recent": f"""WITH {_WORDS} SELECT profile, CAST(len(ws) AS INT) AS total_payments,
             {_sorted("list_transform(ws, lambda w: substr(w, 1, 1))")} AS payment_methods,
-            array_to_string(ws[-5:], '|') AS recent_payments
+            array_to_string(ws, '|') AS payments, array_to_string(ws[-5:], '|') AS recent_payments
         FROM words""",
     "wrapped_summary": """SELECT 'p' || p_partkey AS profile,
             CAST(p_size + 2000 AS VARCHAR) AS year,

@@ -1,4 +1,4 @@
-"""Fixed schemas of the tables the engine writes (``profile`` partitions them all).
+"""Fixed schemas of the tables the engine writes (in buckets by a hash of ``profile``).
 
 They are DDL texts, so that importing them needs no running session.
 """
@@ -58,7 +58,7 @@ FOLLOW = """
 
 PROMPTS = """
     profile STRING, total_prompts INT, prompt_types ARRAY<STRING>,
-    recent_prompts ARRAY<STRING>
+    prompts ARRAY<STRING>
 """
 
 PODCASTS = """
@@ -72,7 +72,7 @@ ADDRESSES = """
 """
 
 IDENTIFIERS = """
-    profile STRING, spotify_id STRING, facebook_id STRING, apple_id STRING,
+    profile STRING, service_id STRING, facebook_id STRING, apple_id STRING,
     google_id STRING, has_facebook BOOLEAN, has_apple BOOLEAN, has_google BOOLEAN
 """
 
@@ -83,7 +83,7 @@ PURCHASES = """
 
 PAYMENTS = """
     profile STRING, total_payments INT, payment_methods ARRAY<STRING>,
-    recent_payments ARRAY<STRING>
+    payments ARRAY<STRING>
 """
 
 MANIFEST = """
@@ -99,8 +99,19 @@ REJECTED = """
     profile STRING, file_name STRING, kind STRING
 """
 
+PLAY_ROLLUP = """
+    profile STRING, year INT, year_month STRING, artistName STRING, albumName STRING,
+    trackName STRING, msPlayed DOUBLE, plays BIGINT
+"""
+
+ARTIST_DAYS = """
+    profile STRING, artistName STRING, ts STRING, msPlayed DOUBLE, plays BIGINT
+"""
+
 TABLES = {
     "plays": PLAYS,
+    "play_rollup": PLAY_ROLLUP,
+    "artist_days": ARTIST_DAYS,
     "searches": SEARCHES,
     "playlists": PLAYLISTS,
     "playlist_items": PLAYLIST_ITEMS,

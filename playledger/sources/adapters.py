@@ -165,8 +165,10 @@ def play_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         trackName=cols["track"], ms_played=F.lit(0),
         msPlayed=F.col("l_quantity").cast("int").cast("string"),
     )
+    # A table of one row group is one task's read: its rows are dealt out before the parsing.
+    rows = _sold(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
     return _docs(
-        _sold(spark, sf_dir), F.col("l_linestatus"),
+        rows, F.col("l_linestatus"),
         F.concat(F.lit("Streaming_History_Audio_"), F.col("l_orderkey"), F.lit(".json")),
         F.concat(
             F.lit("["), extended,

@@ -1,65 +1,107 @@
-"""Parquet tables partitioned by profile, rewritten one profile at a time.
+"""Parquet tables in buckets of profiles, replaced one bucket at a time.
 
-A rewrite replaces exactly the partitions that occur in the written rows. Each
-rewrite therefore carries one marker row (``_live`` false) per rewritten profile;
-a profile whose rows are gone gets its old rows replaced by the marker. Readers
-skip markers through Parquet statistics.
+A profile belongs to the bucket that a hash of its name gives, so the number of files depends
+on buckets and data and not on profiles. A run writes the touched buckets of a table to
+``<table>/run=<run>/bucket=<n>`` and names the run of every bucket in ``commits`` when all
+tables are written. Readers follow the last commit: a run that stops half-way changes nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from .. import schemas
 
 
-def write_table(rows: DataFrame, dst: str, name: str, profiles: DataFrame) -> None:
-    """Replace the rows of ``profiles`` in table ``name``.
+def bucket_of(profile: Column | str) -> Column:
+    return F.pmod(F.xxhash64(profile), F.lit(C.BUCKETS)).cast("int")
 
-    The rebalance puts a profile's rows into files of a sensible size: small
-    profiles share a task, a hot profile is split over many.
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def current_runs(spark: SparkSession, dst: str) -> dict[int, str]:
+    """The run that holds each bucket; at most ``BUCKETS`` entries."""
+    commits = _read(spark, f"{dst}/commits", "bucket INT, held STRING, commit STRING")
+    last = commits.agg(F.max("commit")).first()[0] if commits is not None else None
+    if last is None:
+        return {}
+    return {r["bucket"]: r["held"] for r in commits.where(F.col("commit") == last).collect()}
+
+
+def commit_runs(spark: SparkSession, dst: str, runs: dict[int, str], run: str) -> None:
+    """Make a run's buckets the ones that readers see."""
+    rows = spark.createDataFrame(sorted(runs.items()), "bucket INT, held STRING").coalesce(1)
+    rows.write.mode("overwrite").parquet(f"{dst}/commits/commit={run}")
+
+
+def write_table(rows: DataFrame, dst: str, name: str, run: str, kept: DataFrame | None = None) -> None:
+    """Write a run's buckets of a table: new rows, and ``kept`` rows of other profiles.
+
+    The rebalance gives files of a sensible size: small buckets share a task, a hot one is
+    split over many. Rows are sorted by profile, so statistics skip most of a bucket's files.
     """
-    schema = schemas.TABLES[name]
-    live = rows.select(*schemas.columns(schema), F.lit(True).alias("_live"))
-    markers = profiles.select("profile", F.lit(False).alias("_live"))
+    live = rows.select(*schemas.columns(schemas.TABLES[name]))
+    if kept is not None:
+        live = live.unionByName(kept.select(*live.columns))
     (
-        live.unionByName(markers, allowMissingColumns=True)
-        .hint("rebalance", F.col("profile"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("profile")
-        .parquet(f"{dst}/{name}")
+        live.withColumn("bucket", bucket_of("profile"))
+        .hint("rebalance", F.col("bucket"))
+        .sortWithinPartitions("bucket", "profile")
+        .write.mode("overwrite").partitionBy("bucket").parquet(f"{dst}/{name}/run={run}")
     )
 
 
-def read_table(spark: SparkSession, dst: str, name: str) -> DataFrame:
-    """A table's rows; an empty frame of the same schema when it does not exist."""
+def read_run(spark: SparkSession, dst: str, name: str, run: str) -> DataFrame:
+    """What one run has written of a table, committed or not."""
     schema = schemas.TABLES[name]
-    try:
-        stored = spark.read.schema(f"{schema}, _live BOOLEAN").parquet(f"{dst}/{name}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
+    found = _read(spark, f"{dst}/{name}/run={run}", f"{schema}, bucket INT")
+    return spark.createDataFrame([], schema) if found is None else found.drop("bucket")
+
+
+def stored_rows(
+    spark: SparkSession, dst: str, name: str, runs: dict[int, str] | None = None
+) -> DataFrame:
+    """All rows of a table's live buckets; of plays also a row for each unreadable file."""
+    schema = schemas.TABLES[name]
+    runs = current_runs(spark, dst) if runs is None else runs
+    found = _read(spark, f"{dst}/{name}", f"{schema}, run STRING, bucket INT") if runs else None
+    if found is None:
         return spark.createDataFrame([], schema)
-    return stored.where("_live").select(*schemas.columns(schema))
+    # A condition on folder names alone: other folders are never listed as files to read.
+    live = F.concat_ws("/", "run", "bucket").isin([f"{run}/{bucket}" for bucket, run in runs.items()])
+    return found.where(live).select(*schemas.columns(schema))
+
+
+def read_table(spark: SparkSession, dst: str, name: str) -> DataFrame:
+    """A table's rows; an empty frame of the same schema when it does not exist.
+
+    Plays include those that a stream has landed beside the table."""
+    rows = stored_rows(spark, dst, name)
+    if name != "plays":
+        return rows
+    rows = rows.where(F.col("pos").isNotNull())
+    landed = _read(spark, f"{dst}/plays_landed", f"{schemas.PLAYS}, bucket INT")
+    return rows if landed is None else rows.unionByName(landed.drop("bucket"))
 
 
 def table_exists(spark: SparkSession, dst: str, name: str) -> bool:
     """Whether a table was ever written (a listing of its folder, no data read)."""
-    try:
-        spark.read.schema(schemas.TABLES[name]).parquet(f"{dst}/{name}")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-    return True
+    return _read(spark, f"{dst}/{name}", schemas.TABLES[name]) is not None
 
 
 def read_plays(spark: SparkSession, dst: str, src: str | None = None) -> DataFrame:
     """The plays table; built from ``src`` first when it does not exist yet."""
-    if src is not None and not table_exists(spark, dst, "plays"):
+    if src is not None and not table_exists(spark, dst, "commits"):
         from ..plans.ingest import ingest
 
         ingest(spark, src, dst)
@@ -67,6 +109,25 @@ def read_plays(spark: SparkSession, dst: str, src: str | None = None) -> DataFra
 
 
 def read_dimensions(spark: SparkSession, dst: str) -> dict[str, DataFrame]:
-    """Every table besides the plays, by name; missing ones are empty."""
-    names = [n for n in schemas.TABLES if n not in ("plays", "manifest")]
-    return {name: read_table(spark, dst, name) for name in names}
+    """Every table besides the plays and their rollups, by name; missing ones are empty."""
+    others = ("plays", "manifest", "play_rollup", "artist_days")
+    return {name: read_table(spark, dst, name) for name in schemas.TABLES if name not in others}
+
+
+def remove_old_runs(spark: SparkSession, dst: str) -> int:
+    """Delete the folders of buckets that no reader of the last commit needs; their number.
+
+    Only for times when no other run or older reader is at work."""
+    runs = current_runs(spark, dst)
+    if not runs:
+        return 0
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(dst).getFileSystem(spark._jsc.hadoopConfiguration())
+    gone = 0
+    for name in schemas.TABLES:
+        for folder in files.globStatus(path(f"{dst}/{name}/run=*/bucket=*")) or []:
+            own = folder.getPath()
+            bucket = int(own.getName().split("=")[1])
+            if runs.get(bucket) != own.getParent().getName().split("=", 1)[1]:
+                gone += bool(files.delete(own, True))
+    return gone

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import normalize
 from ..sources.files import file_kind
+from ..sources.tables import bucket_of
 
 
 def stream_plays(
@@ -18,7 +19,9 @@ def stream_plays(
     files_per_batch: int = 10000,
     once: bool = True,
 ) -> StreamingQuery:
-    """Append the plays of every new streaming-history file to ``dst``.
+    """Append the plays of every new streaming-history file to the tables under ``dst``.
+
+    They land beside the plays table, and ``read_plays`` reads both.
 
     The file source and the Parquet sink track progress in the checkpoint, so each
     file counts exactly once across restarts. Files are expected to be added and
@@ -38,10 +41,10 @@ def stream_plays(
         .select("profile", name.alias("file_name"), file_kind(name).alias("kind"), "value")
     )
     writer = (
-        normalize.plays(docs)
+        normalize.plays(docs).withColumn("bucket", bucket_of("profile"))
         .writeStream.format("parquet")
-        .option("path", dst)
+        .option("path", f"{dst}/plays_landed")
         .option("checkpointLocation", checkpoint)
-        .partitionBy("profile")
+        .partitionBy("bucket")
     )
     return (writer.trigger(availableNow=True) if once else writer).start()

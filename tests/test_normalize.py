@@ -58,7 +58,7 @@ def test_names(docs):
         {"artistName": "B", "albumName": "C"},
     ])
     assert [r["trackName"] for r in rows] == [
-        "B", "Unknown", "é" * 100, "0", "0", "7", "Unknown", "Unknown"]
+        "B", "Unknown", "é" * 120, "0", "0", "7", "Unknown", "Unknown"]
     assert [r["artistName"] for r in rows][-2:] == ["A", "B"]
     assert rows[-1]["albumName"] == "C"
 
@@ -143,3 +143,25 @@ def test_playlist_items(docs):
     assert sorted((r.playlistName, r.trackName, r.artistName) for r in rows) == [
         ("Mix", "Song", "Band"), ("Mix", "Song", "Band"), ("Mix", "null", "Band"),
         ("Unknown", "S", "B")]
+
+
+def test_a_record_does_not_depend_on_its_neighbours(docs):
+    odd = {"ts": "2020-01-01", "ms_played": 5, "platform": {"b": 1, "a": 2}, "reason_end": 1.50, "trackName": "t"}
+    alone, beside = (
+        normalize.plays(docs(("p", "StreamingHistory0.json", json.dumps(value)))).first()
+        for value in ([odd], [odd, "broken"]))
+    assert alone == beside and alone.platform == '{"a":2,"b":1}'
+
+
+def test_wrapped_time_of_the_other_dialect(docs):
+    rows = [{"endTime": {"$date": "2020-05-05T01:02:03Z"}, "msPlayed": 1, "trackName": "t"}]
+    row = normalize.plays(docs(("p", "StreamingHistory0.json", json.dumps(rows)))).first()
+    assert (row.ts, row.year) == ("2020-05-05T01:02:03Z", 2020)
+
+
+def test_links_of_any_kind_with_a_length(docs):
+    links = ["spot:1", "", {"a": 1}, {}, [], ["x"], None, 3]
+    value = json.dumps([{"searchQuery": str(i), "searchInteractionURIs": x} for i, x in enumerate(links)])
+    rows = normalize.searches(docs(("p", "SearchQueries.json", value))).collect()
+    assert {r.searchQuery: r.hasInteractions for r in rows} == {
+        "0": True, "1": False, "2": True, "3": False, "4": False, "5": True}

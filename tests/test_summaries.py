@@ -41,9 +41,9 @@ def test_library(docs):
     tracks = [{"artist": "a" * 120, "track": str(i)} for i in range(600)]
     text = json.dumps({"tracks": tracks, "albums": [{"uri": "u"}], "shows": [1, 2], "episodes": None})
     row = S.library(docs(("p", "YourLibrary.json", text))).first()
-    assert (row.saved_tracks_count, len(row.saved_tracks), row.followed_shows_count) == (600, 500, 2)
+    assert (row.saved_tracks_count, len(row.saved_tracks), row.followed_shows_count) == (600, 600, 2)
     assert (row.saved_episodes_count, row.banned_tracks_count) == (0, 0)
-    assert row.saved_tracks[0].artist == "a" * 100 and row.saved_tracks[499].track == "499"
+    assert row.saved_tracks[0].artist == "a" * 120 and row.saved_tracks[599].track == "599"
     assert row.saved_albums[0].asDict() == {"artist": "Unknown", "album": "Unknown", "uri": "u"}
 
 
@@ -67,8 +67,8 @@ def test_follow(docs):
 def test_prompts(docs):
     text = json.dumps([{"type": "b"}, {}, {"type": "a"}] + [{"type": "a", "i": i} for i in range(12)])
     row = S.prompts(docs(("p", "UserPrompts.json", text))).first()
-    assert (row.total_prompts, row.prompt_types, len(row.recent_prompts)) == (15, ["a", "b", "unknown"], 10)
-    assert json.loads(row.recent_prompts[0]) == {"type": "b"}
+    assert (row.total_prompts, row.prompt_types, len(row.prompts)) == (15, ["a", "b", "unknown"], 15)
+    assert json.loads(row.prompts[0]) == {"type": "b"}
     other = S.prompts(docs(("p", "UserPrompts.json", "{}"))).first()
     assert (other.total_prompts, other.prompt_types) == (0, [])
 
@@ -103,9 +103,11 @@ def test_purchases(docs):
 def test_payments(docs):
     def last(n):
         text = json.dumps([{"method": "card", "n": i} for i in range(n)])
-        row = S.payments(docs(("p", "Payments.json", text))).first()
+        row = S.payments(docs(("p", "Payments.json", text))).withColumn(
+            "last", S.last_payments()).first()
         assert row.total_payments == n and row.payment_methods == (["card"] if n else [])
-        return [json.loads(p)["n"] for p in row.recent_payments]
+        assert [json.loads(p)["n"] for p in row.payments] == list(range(n))
+        return [json.loads(p)["n"] for p in row.last]
 
     assert last(0) == [] and last(3) == [0, 1, 2] and last(8) == [3, 4, 5, 6, 7]
 
