@@ -56,10 +56,12 @@ def suggest_options(
         alike.select(*by, "value").withColumn("_same", F.lit(0)),
         C.SUGGESTIONS, "_same", ["value"], by,
     ).drop("_same")
-    found = chosen.where(_matches(term)).select(*by).distinct()
+    found = chosen.where(_matches(term))
     if not by:
-        return first.limit(0) if not chosen.where(_matches(term)).isEmpty() else first
-    return first.join(found, list(by), "left_anti")
+        # One row at most says whether anything matches.
+        any_found = F.broadcast(found.select(F.lit(1).alias("_found")).limit(1))
+        return first.join(any_found, F.lit(True), "left_anti")
+    return first.join(found.select(*by).distinct(), list(by), "left_anti")
 
 
 def selection_frame(options: DataFrame, selection: Mapping[str, Sequence]) -> DataFrame:

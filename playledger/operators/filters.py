@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .facets import FACETS, PROFILE
-from .sizing import rows_up_to
 
 
 @dataclass(frozen=True)
@@ -58,11 +57,10 @@ def apply_filters(
 ) -> DataFrame:
     """Selected rows; a profile with none keeps all its rows instead.
 
-    Profiles without a hit are counted first (one pass over the filtered columns,
-    stopping at the broadcast limit). Usually there are none and the plan is the
-    plain filter. A few are broadcast: with plays partitioned by profile the
-    second scan then reads only their folders. For many, both sides are shuffled
-    on the profile and a salt, so that a hot profile is spread over tasks.
+    Everything is one plan and no job runs while it is built. A profile without a hit shows in
+    one grouped pass over the filtered columns; the rows of such profiles are joined in again,
+    where the runtime re-plans: without such profiles that side is empty, few are broadcast, and
+    a hot one is split.
 
     ``profiles`` may name the profiles to look at (one row each); else they are
     taken from the plays.
@@ -71,24 +69,10 @@ def apply_filters(
         return plays
     hits = select_rows(plays, selection)
     if not by:
-        return plays if hits.isEmpty() else hits
+        # One row at most says whether anything was found.
+        found = F.broadcast(hits.select(F.lit(1).alias("_found")).limit(1))
+        return hits.unionByName(plays.join(found, F.lit(True), "left_anti"))
     keys = list(by)
     everyone = (plays if profiles is None else profiles).select(*keys).distinct()
     missed = everyone.join(hits.select(*keys).distinct(), keys, "left_anti")
-    count = rows_up_to(missed)
-    if count == 0:
-        return hits
-    if count <= C.BROADCAST_ROWS:
-        return hits.unionByName(plays.join(F.broadcast(missed), keys, "left_semi"))
-    return hits.unionByName(_salted_semi_join(plays, missed, keys))
-
-
-def _salted_semi_join(plays: DataFrame, missed: DataFrame, keys: list[str]) -> DataFrame:
-    """Semi-join on the keys with each key spread over ``SALTS`` sub-groups."""
-    spread = F.pmod(F.xxhash64("trackName", "msPlayed"), F.lit(C.SALTS)).cast("int")
-    copies = missed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(C.SALTS - 1))))
-    return (
-        plays.withColumn("_salt", spread)
-        .join(copies, [*keys, "_salt"], "left_semi")
-        .drop("_salt")
-    )
+    return hits.unionByName(plays.join(missed, keys, "left_semi"))

@@ -94,14 +94,9 @@ def read_table(spark: SparkSession, dst: str, name: str) -> DataFrame:
     return rows if landed is None else rows.unionByName(landed.drop("bucket"))
 
 
-def table_exists(spark: SparkSession, dst: str, name: str) -> bool:
-    """Whether a table was ever written (a listing of its folder, no data read)."""
-    return _read(spark, f"{dst}/{name}", schemas.TABLES[name]) is not None
-
-
 def read_plays(spark: SparkSession, dst: str, src: str | None = None) -> DataFrame:
     """The plays table; built from ``src`` first when it does not exist yet."""
-    if src is not None and not table_exists(spark, dst, "commits"):
+    if src is not None and not current_runs(spark, dst):
         from ..plans.ingest import ingest
 
         ingest(spark, src, dst)

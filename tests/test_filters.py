@@ -48,7 +48,7 @@ def test_no_hit_at_all_falls_back(plays_of):
 
 @pytest.mark.parametrize("rows,inline", [(C.BROADCAST_ROWS, 0), (0, 0), (0, C.INLINE_VALUES)])
 def test_joins_beyond_the_limits_give_the_same(plays_of, monkeypatch, rows, inline):
-    """Long lists by join; many profiles without a hit by the salted join."""
+    """Long lists by join, broadcast or not."""
     monkeypatch.setattr(C, "BROADCAST_ROWS", rows)
     monkeypatch.setattr(C, "INLINE_VALUES", inline)
     plays = plays_of(*ROWS, *[("s", "S", f"t{i}", "2022-01-01", 1.0) for i in range(300)])

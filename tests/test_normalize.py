@@ -67,12 +67,12 @@ def test_missing_and_null_attributes(docs):
     records = [{"trackName": "a"}, {"trackName": "b", "platform": None, "skipped": None},
                {"trackName": "c", "platform": "x" * 60, "skipped": True, "conn_country": "y" * 20}]
     rows = run(docs, records)
-    assert [r["platform"] for r in rows] == ["Unknown", "Unknown", "x" * 50]
+    assert [r["platform"] for r in rows] == ["Unknown", "Unknown", "x" * 60]
     assert [r["skipped"] for r in rows] == [False, None, True]
     assert [r["completion"] for r in rows] == ["Completed", "Completed", "Skipped"]
-    assert rows[2]["conn_country"] == "y" * 10
+    assert rows[2]["conn_country"] == "y" * 20
     strict = run(docs, records, strict_none=True)
-    assert [r["platform"] for r in strict] == ["Unknown", "None", "x" * 50]
+    assert [r["platform"] for r in strict] == ["Unknown", "None", "x" * 60]
 
 
 def test_bad_elements_drop_alone(docs):
@@ -112,7 +112,7 @@ def test_searches(docs):
     rows = normalize.searches(frame).orderBy("searchQuery", "searchTime").collect()
     assert [(r.searchTime, r.year, r.platform, r.hasInteractions) for r in rows] == [
         (None, 2023, "Unknown", False), ("20", 2023, "Unknown", False),
-        ("2021-01-01T00:00", 2021, "p" * 20, True)]
+        ("2021-01-01T00:00", 2021, "p" * 30, True)]
     strict = normalize.searches(frame, strict_none=True)
     assert strict.where("searchQuery = 'None'").count() == 1
 
@@ -134,7 +134,7 @@ def test_playlists(docs):
     rows = normalize.playlists(frame).orderBy("trackCount").collect()
     assert [(r.playlistName, r.trackCount, r.totalMinutes) for r in rows] == [
         ("Mix", 1, 3.5), ("Mix", 5, 17.5)]
-    assert rows[1].collaborative is True and len(rows[1].description) == 200
+    assert rows[1].collaborative is True and len(rows[1].description) == 300
 
 
 def test_playlist_items(docs):
