@@ -150,15 +150,15 @@ class Scanner:
         return sorted(whole, key=lambda x: (x[2], x[0]))
 
     def _best_alignment(self, listed: list[str], template: list[str]) -> list[tuple[int, int]]:
-        """A notice repeated in one stretch leaves no word unique to both: then each stretch
-        from one first word to the next is aligned by itself."""
-        pairs = align(listed, template)
+        """A notice repeated in one stretch leaves no word unique to both: each stretch from one
+        first word to the next is aligned by itself, too. Of alignments of as many words the
+        closest counts."""
+        tries = [align(listed, template)]
         starts = [i for i, w in enumerate(listed) if w == template[0]]
-        if len(pairs) < len(template) and len(starts) > 1:
+        if len(starts) > 1:
             for a, b in zip(starts, [*starts[1:], len(listed)]):
-                own = [(i + a, j) for i, j in align(listed[a:b], template)]
-                pairs = max(pairs, own, key=len)
-        return pairs
+                tries.append([(i + a, j) for i, j in align(listed[a:b], template)])
+        return max(tries, key=lambda p: (len(p), p[0][0] - p[-1][0]) if p else (0, 0))
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None,

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
 
-ROUNDS = 3
+ROUNDS = 4
 #: Rows of one bucket of a rank, about.
 BUCKET = 4096
 
@@ -39,17 +39,24 @@ def numbered(rows: DataFrame, by: str, first: str, total: int) -> DataFrame:
     )
 
 
-def _wishes(state: DataFrame, members: DataFrame) -> DataFrame:
-    """(row, group, shard, wish): where most of a linked row's neighbours are, itself not counted."""
-    placed = members.join(state, "row")
-    counts = placed.groupBy("group", "shard").agg(F.count("*").alias("n"))
-    ranked = counts.groupBy("group").agg(
-        F.max(F.struct("n", F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 20)).alias("tie"), "shard")).alias("top"))
-    best = ranked.select("group", F.col("top.shard").alias("wish"), F.col("top.n").alias("there"))
-    own = placed.join(best, "group").join(counts, ["group", "shard"])
-    gain = own.withColumn("gain", F.col("there") - (F.col("n") - 1)).where(
-        (F.col("wish") != F.col("shard")) & (F.col("gain") > 0))
-    return gain.groupBy("row").agg(
+def _wishes(state: DataFrame, linked: DataFrame, share: int, open_shards: list[int]) -> DataFrame:
+    """(row, group, shard, wish): of the shards with room, where most of a linked row's
+    neighbours are, itself not counted. A group above a shard's share has as many such shards
+    as it needs, and its rows are dealt to them."""
+    placed = linked.join(state, "row")
+    counts = placed.groupBy("group", "size", "shard").agg(F.count("*").alias("n"))
+    tie = F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 20))
+    # One entry for each shard at most.
+    tops = counts.where(F.col("shard").isin(open_shards)).groupBy("group").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("n"), tie.alias("tie"), F.col("shard"))), asc=False).alias("tops"))
+    own = placed.join(tops, "group").join(counts.drop("size"), ["group", "shard"])
+    needed = F.least(F.ceil(F.col("size") / share), F.size("tops"))
+    best = F.element_at("tops", (F.pmod(F.xxhash64("row", F.lit(5)), needed) + 1).cast("int"))
+    asked = own.withColumn("_best", best).select(
+        "row", "group", "shard", F.col("_best.shard").alias("wish"),
+        (F.col("_best.n") - (F.col("n") - 1)).alias("gain")
+    ).where((F.col("wish") != F.col("shard")) & (F.col("gain") > 0))
+    return asked.groupBy("row").agg(
         F.max(F.struct("gain", "wish", "group")).alias("best"), F.first("shard").alias("shard")).select(
         "row", F.col("best.group").alias("group"), "shard", F.col("best.wish").alias("wish"))
 
@@ -64,12 +71,14 @@ def balanced_shards(rows: DataFrame, members: DataFrame, shards: int = 16,
     """
     groups = members.where(F.col("group").isNotNull() & F.col("row").isNotNull()).distinct()
     sizes = groups.groupBy("group").agg(F.count("*").alias("_size")).where("_size > 1")
-    linked = stored(groups.join(sizes, "group").select("row", "group"))
+    linked = stored(groups.join(sizes, "group").select("row", "group", F.col("_size").alias("size")))
     state = stored(rows.select("row", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")))
     total = state.count()
     share = -(-total // shards)
     for _ in range(rounds):
-        wishes = stored(_wishes(state, linked))
+        held = linked.select("row").distinct().join(state, "row").groupBy("shard").count()
+        full = {r["shard"] for r in held.collect() if r["count"] >= share}
+        wishes = stored(_wishes(state, linked, share, [s for s in range(shards) if s not in full]))
         # Quotas by whole groups: a group's movers ask together, the larger the first.
         asked = wishes.groupBy("wish", "group").agg(F.count("*").alias("n"))
         taken = _granted(asked, state, linked, share)
