@@ -29,8 +29,9 @@ from .common import labelled_sample, stored
 #: Labelled rows of either class that lexicon and scale are fitted on, at most.
 PER_CLASS = 3000
 CUT = 0.3
-#: A lexicon word is in this many different toxic texts at least, and has this log ratio.
-TEXTS, LEAST_RATIO = 8, 2.0
+#: A lexicon word is in this many different toxic texts at least, and its log ratio is above
+#: this by two standard errors.
+TEXTS, LEAST_RATIO = 4, 0.5
 #: Lengths of stems.
 STEMS = (4, 5, 6, 7)
 #: A lexicon has no more words than this (the strongest stay).
@@ -245,7 +246,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PE
         .groupBy("word").agg(F.sum("n").alias("n")).collect())}
     ratio = {w: math.log((n + 0.5) / sums["toxic"]) - math.log((clean.get(w, 0) + 0.5) / sums["clean"])
              for w, n in toxic.items()}
-    strong = sorted(((w, n, ratio[w]) for w, n in toxic.items() if ratio[w] >= LEAST_RATIO),
+    error = {w: math.sqrt(1 / (n + 0.5) + 1 / (clean.get(w, 0) + 0.5)) for w, n in toxic.items()}
+    strong = sorted(((w, n, ratio[w]) for w, n in toxic.items() if ratio[w] - 2 * error[w] >= LEAST_RATIO),
                     key=lambda x: (-x[2], x[0]))[:WORDS]
     found = _specific(strong)
     lexicon = Lexicon(found)
