@@ -71,7 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_toxicity, op9_near_duplicates, op10_pieces)
 }
 
-#: Whole scores of all queries and vectors, in one statement.
+#: Whole scores of all queries and vectors; all pairs of documents that share a shingle, and
+#: what is reachable over their links.
 ORACLE: dict[str, str] = {
     "op2_topk": """
         WITH valid AS (
@@ -88,4 +89,30 @@ ORACLE: dict[str, str] = {
             FROM scores
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5""",
+    "op9_near_duplicates": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE
+                WHEN len(w) = 0 THEN []
+                WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+                END AS s
+            FROM words
+        ), each_one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+        links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b
+            FROM each_one a JOIN each_one b ON a.x = b.x AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n
+            HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), reached AS (
+            SELECT doc_id, doc_id AS other FROM sets
+            UNION
+            SELECT reached.doc_id, links.b FROM reached JOIN links ON links.a = reached.other
+        ), least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM sets JOIN least USING (doc_id)""",
 }
