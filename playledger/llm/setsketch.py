@@ -6,7 +6,7 @@ A document's set holds its distinct shingles of five words (a shorter text is on
    distributed hash values of the set, rounded down on a logarithmic scale of base `BASE` and
    cut to 16 bits. Registers of a union are the larger registers of its parts.
 3. Four registers in a row are a band. Nodes that share a band are candidates: two sets of
-   similarity 0.75 share none of the 64 bands with a probability below 1e-10.
+   similarity 0.75 share none of the 40 bands with a probability below 3e-7.
 4. Candidates are compared by the likelihood of their registers' order, given both set
    sizes. Those whose best similarity is below `LIKELY` go (five standard errors below 0.75).
 5. What is left is grouped into connected candidates, and within each group full sets are
@@ -29,7 +29,8 @@ from .components import connected_components
 from .wordhash import shingle_set, word_hashes
 
 REGISTERS, BASE, RATE, ROWS = 256, 1.001, 20.0, 4
-BANDS = REGISTERS // ROWS
+#: Bands that are compared, of the 64 that all registers make.
+BANDS = 40
 LIKELY = 0.62
 #: Buckets up to this size list their pairs (so each member has fewer partners than this).
 SMALL = 24
@@ -153,14 +154,16 @@ def _likely_in_bucket(percent: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         n = len(rows)
         own = np.stack(rows["bands"].to_numpy()).astype(np.int64).view(np.uint16).reshape(n, REGISTERS)
-        count, node = rows["n_shingles"].to_numpy(), rows["node"].to_numpy()
+        count, node, group = (rows[c].to_numpy() for c in ("n_shingles", "node", "group"))
+        fits = (group[:, None] != group[None, :]) & _sizes_fit(count[:, None], count[None, :], percent)
+        left, right = np.nonzero(np.triu(fits, 1))
+        near = np.zeros(len(left))
+        for at in range(0, len(left), 4096):
+            x, y = left[at:at + 4096], right[at:at + 4096]
+            larger, smaller = (own[x] > own[y]).sum(axis=1), (own[x] < own[y]).sum(axis=1)
+            near[at:at + 4096] = estimated(larger, smaller, count[x], count[y])
         links = np.zeros((n, n), dtype=bool)
-        for i in range(n - 1):
-            rest = slice(i + 1, n)
-            larger, smaller = (own[i] > own[rest]).sum(axis=1), (own[i] < own[rest]).sum(axis=1)
-            size = np.full(n - i - 1, count[i])
-            links[i, rest] = _sizes_fit(size, count[rest], percent) & (
-                estimated(larger, smaller, size, count[rest]) >= LIKELY)
+        links[left, right] = near >= LIKELY
         pairs = _forest(links | links.T)
         return pd.DataFrame({"a": [node[i] for i, _ in pairs], "b": [node[j] for _, j in pairs]},
                             dtype="int64")
@@ -176,38 +179,53 @@ def _likely_pairs(percent: int):
             left, right = (
                 np.stack(batch[c].to_numpy()).astype(np.int64).view(np.uint16).reshape(-1, REGISTERS)
                 for c in ("bands_a", "bands_b"))
-            near = estimated((left > right).sum(axis=1), (left < right).sum(axis=1),
-                             batch["n_a"].to_numpy(), batch["n_b"].to_numpy())
-            yield batch.loc[near >= LIKELY, ["a", "b"]]
+            n_a, n_b = batch["n_a"].to_numpy(), batch["n_b"].to_numpy()
+            near = estimated((left > right).sum(axis=1), (left < right).sum(axis=1), n_a, n_b)
+            yield batch.loc[(near >= LIKELY) & _sizes_fit(n_a, n_b, percent), ["a", "b"]]
 
     return run
 
 
 def candidate_links(nodes: DataFrame, percent: int = 75) -> DataFrame:
-    """Links (a, b) that connect all nodes which may be near; `nodes`: node, n_shingles, bands."""
+    """Links (a, b) that connect all nodes which may be near; `nodes`: node, n_shingles, bands.
+
+    First every member of a bucket is compared with the bucket's first node. Most buckets then
+    lie in one group of linked nodes, where no further pair can join anything. In the others,
+    members of different groups are compared with each other.
+    """
     banded = nodes.where("n_shingles > 0").select(
-        "node", "n_shingles", F.posexplode("bands").alias("band", "value"))
-    crowded = banded.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
+        "node", "n_shingles", F.posexplode(F.slice("bands", 1, BANDS)).alias("band", "value"))
+    crowded = banded.groupBy("band", "value").agg(
+        F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
     members = stored(banded.join(crowded, ["band", "value"]))
-    small = members.where(F.col("size") <= SMALL)
-    other = small.select("band", "value", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
-    pairs = (
-        small.select("band", "value", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
-        .join(other, ["band", "value"])
-        .where((F.col("a") < F.col("b")) & (
-            100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")))
-        .select("a", "b", "n_a", "n_b").distinct()
-    )
-    sketch = nodes.select("node", "bands")
-    with_both = (
-        pairs.join(sketch.withColumnsRenamed({"node": "a", "bands": "bands_a"}), "a")
-        .join(sketch.withColumnsRenamed({"node": "b", "bands": "bands_b"}), "b")
-    )
-    likely = with_both.mapInPandas(_likely_pairs(percent), "a BIGINT, b BIGINT")
-    large = members.where(F.col("size") > SMALL).join(sketch, "node")
-    likely_large = _tiles(large, "value", "size").groupBy("band", "value", "_tile").applyInPandas(
+    sketch = nodes.select("node", "n_shingles", "bands")
+
+    def likely(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(
+            sketch.withColumnsRenamed({"node": "a", "n_shingles": "n_a", "bands": "bands_a"}), "a"
+        ).join(sketch.withColumnsRenamed({"node": "b", "n_shingles": "n_b", "bands": "bands_b"}), "b")
+        return both.mapInPandas(_likely_pairs(percent), "a BIGINT, b BIGINT")
+
+    first = stored(likely(members.where("node <> hub").select(
+        F.col("hub").alias("a"), F.col("node").alias("b")).distinct()))
+    groups = connected_components(first).withColumnRenamed("component", "group")
+    placed = stored(members.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node")))
+    mixed = placed.groupBy("band", "value").agg(
+        F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("band", "value")
+    rest = stored(placed.join(mixed, ["band", "value"]))
+    small = rest.where(F.col("size") <= SMALL)
+    left = small.select(
+        "band", "value", "hub", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("group").alias("g_a"))
+    right = small.select(
+        "band", "value", F.col("node").alias("b"), F.col("n_shingles").alias("n_b"), F.col("group").alias("g_b"))
+    pairs = left.join(right, ["band", "value"]).where(
+        (F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & (F.col("a") != F.col("hub"))
+        & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    ).select("a", "b").distinct()
+    large = rest.where(F.col("size") > SMALL).join(sketch.select("node", "bands"), "node")
+    in_large = _tiles(large, "value", "size").groupBy("band", "value", "_tile").applyInPandas(
         _likely_in_bucket(percent), "a BIGINT, b BIGINT")
-    return likely.unionByName(likely_large)
+    return first.unionByName(likely(pairs)).unionByName(in_large)
 
 
 def _exact_links(percent: int):
