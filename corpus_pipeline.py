@@ -43,11 +43,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data replaced by its kind; n_chars is that of the new text."""
     own = docs.select(*COLUMNS)
-    found = pii.personal_data(own).where("spans <> '' AND doc_id IS NOT NULL").select(
-        "doc_id", "spans").distinct()
-    # Rows that repeat a doc_id were made one before; spans are those of that row's text.
+    found = pii.personal_data(own).where("spans <> ''").groupBy("text_key").agg(F.first("spans").alias("spans"))
+    # Spans follow from the text, so rows meet them by it, whatever their ids.
     text = pii.masked(F.col("text"), F.col("spans"))
-    marked = own.join(found, "doc_id", "left").withColumn(
+    marked = own.withColumn("text_key", pii.key_of_text()).join(found, "text_key", "left").withColumn(
         "text", F.when(F.col("spans").isNotNull(), text).otherwise(F.col("text")))
     return marked.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("bigint"))).select(*COLUMNS)
 

@@ -138,6 +138,7 @@ def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = pd.DataFrame(rows, columns=["n_email", "n_ip", "n_card", "n_phone", "base", "base_sha256", "places"])
         out.insert(0, "doc_id", batch["doc_id"].to_numpy())
         out.insert(1, "row_key", batch["row_key"].to_numpy())
+        out.insert(2, "text_key", batch["text_key"].to_numpy())
         yield out
 
 
@@ -165,18 +166,23 @@ def _bootstrapped(edges: DataFrame, seeds: DataFrame, turns: int) -> DataFrame:
     return trusted
 
 
+def key_of_text() -> Column:
+    """md5 of the text, a null one as empty: equal texts have equal spans."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def personal_data(docs: DataFrame, turns: int = TURNS) -> DataFrame:
-    """One row for each row of `docs`: doc_id, row_key, n_email, n_ip, n_card, n_phone, base_sha256,
-    spans, text is not returned.
+    """One row for each row of `docs`: doc_id, row_key, text_key (md5 of the text), n_email, n_ip,
+    n_card, n_phone, base_sha256, spans.
 
     The counts and the hash are of base spans; `spans` has all spans as kind:start:end by start,
     then kind, joined by commas, in code points of the whole text. Null texts count as empty and
     have no spans. Rows that repeat a doc_id are rows of their own; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.monotonically_increasing_id().alias("row_key"),
-                       F.coalesce("text", F.lit("")).alias("text"))
+                       F.coalesce("text", F.lit("")).alias("text"), key_of_text().alias("text_key"))
     return _with_added(stored(rows.mapInPandas(
-        _found, "doc_id BIGINT, row_key BIGINT, n_email BIGINT, n_ip BIGINT, n_card BIGINT, n_phone BIGINT, "
+        _found, "doc_id BIGINT, row_key BIGINT, text_key BINARY, n_email BIGINT, n_ip BIGINT, n_card BIGINT, n_phone BIGINT, "
                 f"base STRING, base_sha256 STRING, places {_PLACES}")), turns)
 
 
@@ -198,7 +204,7 @@ def _with_added(first: DataFrame, turns: int) -> DataFrame:
     text = F.array_join(F.transform(every, lambda s: F.concat_ws(
         ":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return first.join(added, "row_key", "left").select(
-        "doc_id", "row_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
+        "doc_id", "row_key", "text_key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256",
         F.when(F.col("added").isNull(), F.col("base")).otherwise(text).alias("spans"))
 
 

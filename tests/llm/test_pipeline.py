@@ -51,3 +51,11 @@ def test_stages_take_odd_and_no_documents(spark):
         kept = pipeline.near_duplicates(spark, docs, SF_DIR)
         ids = [r.doc_id for r in kept.collect() if r.doc_id is not None]
         assert len(ids) == len(set(ids))
+
+
+def test_masking_follows_the_text_not_the_id(spark):
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+    rows = [(1, "to a@b.cd", "en", "s", 9), (1, "to 1.2.3.4", "en", "s", 10), (None, "to a@b.cd", "en", "s", 9), (2, None, "en", "s", None)]
+    found = pipeline.mask_personal_data(spark, spark.createDataFrame(rows, schema), SF_DIR).collect()
+    assert sorted((r.doc_id or 0, r.text or "", r.n_chars or 0) for r in found) == [
+        (0, "to <EMAIL>", 10), (1, "to <EMAIL>", 10), (1, "to <IP>", 7), (2, "", 0)]
