@@ -151,26 +151,33 @@ def _tiles(members: DataFrame, group: str, size: str) -> DataFrame:
 
 
 def _likely_in_bucket(percent: int):
+    """One of a large bucket's blocks against the bucket's members outside its main group."""
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        n = len(rows)
-        own = np.stack(rows["bands"].to_numpy()).astype(np.int64).view(np.uint16).reshape(n, REGISTERS)
+        asks = rows["_asks"].to_numpy()
+        own = np.stack(rows["bands"].to_numpy()).astype(np.int64).view(np.uint16).reshape(len(rows), REGISTERS)
         count, node, group = (rows[c].to_numpy() for c in ("n_shingles", "node", "group"))
-        fits = (group[:, None] != group[None, :]) & _sizes_fit(count[:, None], count[None, :], percent)
-        left, right = np.nonzero(np.triu(fits, 1))
-        near = np.zeros(len(left))
-        for at in range(0, len(left), 4096):
-            x, y = left[at:at + 4096], right[at:at + 4096]
-            larger, smaller = (own[x] > own[y]).sum(axis=1), (own[x] < own[y]).sum(axis=1)
-            near[at:at + 4096] = estimated(larger, smaller, count[x], count[y])
-        links = np.zeros((n, n), dtype=bool)
-        links[left, right] = near >= LIKELY
-        pairs = _forest(links | links.T)
-        return pd.DataFrame({"a": [node[i] for i, _ in pairs], "b": [node[j] for _, j in pairs]},
-                            dtype="int64")
+        block, out = np.flatnonzero(~asks), []
+        for i in np.flatnonzero(asks):
+            x = block[(group[block] != group[i]) & _sizes_fit(count[block], count[i], percent)]
+            # Similarity is close to the share of equal registers; below a half it can't be likely.
+            x = x[(own[x] == own[i]).sum(axis=1) >= REGISTERS // 2]
+            if not len(x):
+                continue
+            size = np.full(len(x), count[i])
+            near = estimated((own[i] > own[x]).sum(axis=1), (own[i] < own[x]).sum(axis=1), size, count[x])
+            out += [(node[i], n) for n in _one_of_each(node[x], group[x], near)]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return run
 
 
+def _one_of_each(node: np.ndarray, group: np.ndarray, near: np.ndarray) -> list[int]:
+    """The likely nodes, one of each group: a group is linked already."""
+    likely = near >= LIKELY
+    return node[likely][np.unique(group[likely], return_index=True)[1]].tolist()
+
+
 def _likely_pairs(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -222,8 +229,17 @@ def candidate_links(nodes: DataFrame, percent: int = 75) -> DataFrame:
         (F.col("a") < F.col("b")) & (F.col("g_a") != F.col("g_b")) & (F.col("a") != F.col("hub"))
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
     ).select("a", "b").distinct()
-    large = rest.where(F.col("size") > SMALL).join(sketch.select("node", "bands"), "node")
-    in_large = _tiles(large, "value", "size").groupBy("band", "value", "_tile").applyInPandas(
+    large = rest.where(F.col("size") > SMALL)
+    main = large.groupBy("band", "value", "group").agg(F.count("*").alias("_n")).groupBy("band", "value").agg(
+        F.max_by("group", "_n").alias("_main"))
+    # Each member is in one block of its bucket; those outside the main group ask all blocks.
+    blocks = F.ceil(F.col("size") / (8 * BLOCK)).cast("int")
+    marked = large.join(main, ["band", "value"]).join(sketch.select("node", "bands"), "node").withColumn("_blocks", blocks)
+    kept = marked.withColumn("_block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_blocks")).cast("int")).withColumn(
+        "_asks", F.lit(False))
+    asking = marked.where(F.col("group") != F.col("_main")).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_asks", F.lit(True))
+    in_large = kept.unionByName(asking).groupBy("band", "value", "_block").applyInPandas(
         _likely_in_bucket(percent), "a BIGINT, b BIGINT")
     return first.unionByName(likely(pairs)).unionByName(in_large)
 
