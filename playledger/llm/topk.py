@@ -27,7 +27,7 @@ from .common import stored
 
 LISTS = 2
 #: Vectors of a candidate group and of a query group.
-CANDIDATES, QUERIES = 8192, 1024
+CANDIDATES, QUERIES = 4096, 1024
 
 
 def scaled(embedding: Column | str, scale: int = 256) -> Column:
@@ -73,7 +73,7 @@ def _lists(left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
 
 
 def _steps(rows: int, columns: int) -> Iterator[slice]:
-    step = max(1, 2_000_000 // max(1, columns))
+    step = max(1, 250_000 // max(1, columns))
     for at in range(0, rows, step):
         yield slice(at, at + step)
 
