@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -253,9 +253,12 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
     found = asked.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInPandas(
         lambda key, a, b: _list_search(key, a, b, k + 1),
         "query BIGINT, numbers ARRAY<BIGINT>, scores ARRAY<DOUBLE>")
+    best = Window.partitionBy("query").orderBy(F.desc("score"))
     scored = (
         found.select("query", F.explode(F.arrays_zip("numbers", "scores")).alias("e"))
         .groupBy("query", F.col("e.numbers").alias("number")).agg(F.max("e.scores").alias("score"))
+        # Only what can be among the nearest meets its ids; ties stay.
+        .withColumn("_r", F.rank().over(best)).where(F.col("_r") <= k + 1)
         .join(candidates.select("number", "ids"), "number").select("query", "score", "ids")
     )
     return _ranked(scored, query_rows, queries, k)
