@@ -3,7 +3,8 @@
 Anchors are words that occur once in the text and once in the template. The longest sequence
 of anchors in the same order in both is kept; equal words next to an anchor extend it, and the
 gaps between anchors are aligned in the same way, until a gap has no word unique to both.
-Coverage is the share of the template's words that are aligned.
+Coverage is the share of the template's words that are aligned. The words that name a licence
+and its version (`NAMES`) have to be found exactly and side by side, whatever the coverage.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 COVERAGE = 0.8
 #: Words of a text that may lie between two aligned words of one passage.
 GAP = 12
+#: Templates of no more words are looked for around the words that name the licence.
+SHORT = 12
 
 # Opening or complete wording of well-known licences and notices.
 TEMPLATES = {
@@ -54,7 +57,25 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies."),
 }
+#: Words that tell a licence and its version from others: each group side by side in the text.
+#: A short template without an entry has to be found whole.
+NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0",), "Apache-2.0-header": ("Apache License, Version 2.0",),
+    "MIT": ("MIT License",), "GPL-3.0": ("GNU General Public License, version 3",),
+    "GPL-3.0-header": ("GNU General Public License", "version 3"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0",), "CC-BY-4.0": ("CC BY 4.0",),
+}
+#: A word of these groups that may be missing.
+_OPTIONAL = "version"
 _WORD = re.compile(r"[A-Za-z0-9]+(?:\.[0-9]+)*")
+_NUMBER = re.compile(r"v?([0-9]+(?:\.[0-9]+)*?)(?:\.0)*")
+
+
+def _plain(word: str) -> str:
+    """Lower case; version numbers without a v before and .0 behind."""
+    word = word.lower()
+    number = _NUMBER.fullmatch(word) if word[-1].isdigit() else None
+    return number[1] if number else word
 
 
 def longest_rising(values: list[int]) -> list[int]:
@@ -108,57 +129,106 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE):
         self.coverage = coverage
-        self.templates = {k: [w.lower() for w in _WORD.findall(t)] for k, t in (templates or TEMPLATES).items()}
+        self.templates = {k: [_plain(w) for w in _WORD.findall(t)] for k, t in (templates or TEMPLATES).items()}
         self.counts = {k: Counter(t) for k, t in self.templates.items()}
         self.vocabulary = {w for t in self.templates.values() for w in t}
+        #: Places of each template's naming words, as (first, end).
+        self.names = {k: self._named(k, t) for k, t in self.templates.items()}
+
+    def _named(self, name: str, template: list[str]) -> list[tuple[int, int]]:
+        found = []
+        for group in NAMES.get(name, ()):
+            own = [_plain(w) for w in _WORD.findall(group)]
+            at = [i for i in range(len(template)) if template[i:i + len(own)] == own]
+            found += [(i, i + len(own)) for i in at[:1]]
+        return found or ([(0, len(template))] if len(template) <= SHORT else [])
 
     def _windows(self, places: list[int]) -> Iterator[tuple[int, int]]:
         """Stretches of listed words without a gap of more than `GAP` other words."""
         start = 0
         for i in range(1, len(places) + 1):
-            if i == len(places) or places[i] - places[i - 1] > GAP:
+            if i == len(places) or places[i] - places[i - 1] > GAP + 1:
                 yield start, i
                 start = i
 
     def scan(self, text: str) -> list[tuple[str, float, int, int]]:
         """(template, coverage, start, end in characters) of the best match of each template."""
-        matches = [m for m in _WORD.finditer(text) if m[0].lower() in self.vocabulary]
-        if not matches:
-            return []
+        matches, places, listed = [], [], []
+        for i, m in enumerate(_WORD.finditer(text)):
+            word = _plain(m[0])
+            if word in self.vocabulary:
+                matches.append(m)
+                places.append(i)
+                listed.append(word)
         # Words that no template has can't be aligned; they only part stretches.
-        order = [text.count(" ", 0, m.start()) for m in matches[:1]]
-        for left, right in zip(matches, matches[1:]):
-            order.append(order[-1] + 1 + text.count(" ", left.end(), right.start()))
-        best: dict[str, tuple[str, float, int, int]] = {}
-        for start, end in self._windows(order):
-            own = matches[start:end]
-            listed = [m[0].lower() for m in own]
-            have = Counter(listed)
-            for name, template in self.templates.items():
-                # No alignment has more words than text and template share.
-                shared = sum(min(n, have.get(w, 0)) for w, n in self.counts[name].items())
-                if shared < self.coverage * len(template):
-                    continue
-                pairs = self._best_alignment(listed, template)
-                share = len(pairs) / len(template)
-                if share >= self.coverage and share > best.get(name, ("", 0.0))[1]:
-                    best[name] = (name, share, own[pairs[0][0]].start(), own[pairs[-1][0]].end())
-        # A match inside one that aligns more words is part of it.
-        size = {name: share * len(self.templates[name]) for name, share, _, _ in best.values()}
-        whole = [x for x in best.values() if not any(
-            y[2] <= x[2] and x[3] <= y[3] and size[y[0]] > size[x[0]] for y in best.values())]
-        return sorted(whole, key=lambda x: (x[2], x[0]))
-
-    def _best_alignment(self, listed: list[str], template: list[str]) -> list[tuple[int, int]]:
+        have = Counter(listed)
+        best: dict[str, list[tuple[int, int]]] = {}
+        for name, template in self.templates.items():
+            # No alignment has more words than text and template share.
+            if not template or self._shared(name, have) < self.coverage * len(template):
+                continue
+            tries = self._short(name, listed, places) if len(template) <= SHORT else self._long(name, listed, places)
+            for pairs in tries:
+                if len(pairs) >= self.coverage * len(template) and len(pairs) > len(best.get(name, ())):
+                    best[name] = pairs
+        # A match inside one that aligns more words, and some of the same, is part of it.
+        held = {name: {i for i, _ in pairs} for name, pairs in best.items()}
+        whole = [x for x in best if not any(
+            min(held[y]) <= min(held[x]) and max(held[x]) <= max(held[y]) and len(held[y]) > len(held[x])
+            and held[x] & held[y] for y in best)]
+        return sorted(((x, len(best[x]) / len(self.templates[x]), matches[best[x][0][0]].start(),
+                        matches[best[x][-1][0]].end()) for x in whole), key=lambda x: (x[2], x[0]))
+
+    def _shared(self, name: str, have: Counter) -> int:
+        return sum(min(n, have.get(w, 0)) for w, n in self.counts[name].items())
+
+    def _short(self, name: str, listed: list[str], places: list[int]) -> Iterator[list[tuple[int, int]]]:
+        """Alignments around each place that has the naming words side by side."""
+        template, (first, end) = self.templates[name], self.names[name][0]
+        for at in range(len(listed)):
+            if listed[at] != template[first]:
+                continue
+            named, i = [], at
+            for j in range(first, end):
+                if i < len(listed) and listed[i] == template[j] and places[i] - places[at] == i - at:
+                    named.append((i, j))
+                    i += 1
+                elif template[j] != _OPTIONAL or len(template) == end - first:
+                    break
+            else:
+                low = bisect_left(places, places[at] - first - GAP)
+                high = bisect_left(places, places[i - 1] + len(template) - end + GAP + 1) if end < len(template) else i
+                before = [(k + low, j) for k, j in align(listed[low:at], template[:first])]
+                after = [(k + i, j + end) for k, j in align(listed[i:high], template[end:])]
+                yield before + named + after
+
+    def _long(self, name: str, listed: list[str], places: list[int]) -> Iterator[list[tuple[int, int]]]:
+        for start, end in self._windows(places):
+            if self._shared(name, Counter(listed[start:end])) >= self.coverage * len(self.templates[name]):
+                yield [(i + start, j) for i, j in self._best_alignment(name, listed[start:end], places[start:end])]
+
+    def _is_named(self, name: str, pairs: list[tuple[int, int]], places: list[int]) -> bool:
+        template, of = self.templates[name], {j: places[i] for i, j in pairs}
+        for first, end in self.names[name]:
+            if any(j not in of and template[j] != _OPTIONAL for j in range(first, end)):
+                return False
+            own = [of[j] for j in range(first, end) if j in of]
+            if own[-1] - own[0] != len(own) - 1:
+                return False
+        return True
+
+    def _best_alignment(self, name: str, listed: list[str], places: list[int]) -> list[tuple[int, int]]:
         """A notice repeated in one stretch leaves no word unique to both: each stretch from one
         first word to the next is aligned by itself, too. Of alignments of as many words the
-        closest counts."""
+        closest counts; those without the naming words count for nothing."""
+        template = self.templates[name]
         tries = [align(listed, template)]
         starts = [i for i, w in enumerate(listed) if w == template[0]]
         if len(starts) > 1:
             for a, b in zip(starts, [*starts[1:], len(listed)]):
                 tries.append([(i + a, j) for i, j in align(listed[a:b], template)])
-        return max(tries, key=lambda p: (len(p), p[0][0] - p[-1][0]) if p else (0, 0))
+        tries = [p for p in tries if p and self._is_named(name, p, places)]
+        return max(tries, key=lambda p: (len(p), p[0][0] - p[-1][0]), default=[])
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None,

@@ -285,6 +285,25 @@ def test_licenses(documents):
     assert licenses.scan_licenses(documents([])).count() == 0
 
 
+def test_other_licences_are_not_taken_for_listed_ones():
+    scan = licenses.Scanner().scan
+    header = licenses.TEMPLATES["GPL-3.0-header"]
+    for text in (
+        "Released under the BSD License", "Licensed under the Apache License, Version 1.1", "Licensed under CC BY-SA 4.0",
+        "This work is licensed under the GNU General Public License, version 2", "Licensed under CC BY-NC-SA 4.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3", header.replace("version 3", "version 2"),
+        header.replace("GNU General", "GNU Lesser General"), "Released under the MIT Kerberos License", "Licensed under CC BY 3.0",
+    ):
+        assert scan(text) == [], text
+    for name in ("Apache-2.0", "MIT", "GPL-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "GPL-3.0-header", "Apache-2.0-header"):
+        assert [x[:2] for x in scan("Foo. " + licenses.TEMPLATES[name] + " bar")] == [(name, 1.0)]
+    both = "Licensed under the Apache License, Version 1.1, not 2.0. " * 2 + "Licensed under the Apache License, Version 2.0"
+    assert [x[2:] for x in scan(both)] == [(len(both) - 46, len(both))]
+    two = header.replace("version 3", "version 2") + " " + header
+    assert [(x[0], x[2]) for x in scan(two)] == [("GPL-3.0-header", len(header) + 1)]
+    assert [x[0] for x in scan("This program is licensed under the GNU General Public License v3")] == ["GPL-3.0"]
+
+
 def test_alignment():
     assert licenses.longest_rising([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4])
     assert licenses.align("a b c d".split(), "a x c d".split()) == [(0, 0), (2, 2), (3, 3)]
