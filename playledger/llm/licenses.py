@@ -203,9 +203,42 @@ class Scanner:
                 yield before + named + after
 
     def _long(self, name: str, listed: list[str], places: list[int]) -> Iterator[list[tuple[int, int]]]:
-        for start, end in self._windows(places):
-            if self._shared(name, Counter(listed[start:end])) >= self.coverage * len(self.templates[name]):
-                yield [(i + start, j) for i, j in self._best_alignment(name, listed[start:end], places[start:end])]
+        """Alignments with each stretch; where none reaches the coverage, with several together."""
+        needed = self.coverage * len(self.templates[name])
+        windows, found = list(self._windows(places)), False
+        for start, end in windows:
+            if self._shared(name, Counter(listed[start:end])) >= needed:
+                pairs = self._best_alignment(name, listed[start:end], places[start:end])
+                found = found or len(pairs) >= needed
+                yield [(i + start, j) for i, j in pairs]
+        if not found:
+            yield from self._joined(name, listed, places, windows, needed)
+
+    def _joined(self, name: str, listed: list[str], places: list[int], windows: list[tuple[int, int]],
+                needed: float) -> Iterator[list[tuple[int, int]]]:
+        """Alignments with neighbouring stretches, of those that hold three of the template's words
+        side by side: from each stretch on as few as share enough words, then twice as many."""
+        template = self.templates[name]
+        runs = set(zip(template, template[1:], template[2:]))
+        parts = [list(range(a, b)) for a, b in windows if any(
+            places[i + 2] - places[i] == 2 and (listed[i], listed[i + 1], listed[i + 2]) in runs for i in range(a, b - 2))]
+        have = Counter()
+        end = 0
+        for start, part in enumerate(parts):
+            while end < len(parts) and self._shared(name, have) < needed:
+                have.update(listed[i] for i in parts[end])
+                end += 1
+            if self._shared(name, have) < needed:
+                return
+            size = max(end - start, 2)
+            while True:
+                own = [i for x in parts[start:start + size] for i in x]
+                pairs = self._best_alignment(name, [listed[i] for i in own], [places[i] for i in own])
+                yield [(own[i], j) for i, j in pairs]
+                if len(pairs) >= needed or start + size >= len(parts):
+                    break
+                size *= 2
+            have.subtract(listed[i] for i in part)
 
     def _is_named(self, name: str, pairs: list[tuple[int, int]], places: list[int]) -> bool:
         template, of = self.templates[name], {j: places[i] for i, j in pairs}

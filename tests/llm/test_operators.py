@@ -304,6 +304,25 @@ def test_other_licences_are_not_taken_for_listed_ones():
     assert [x[0] for x in scan("This program is licensed under the GNU General Public License v3")] == ["GPL-3.0"]
 
 
+def test_notices_in_parts_are_found():
+    scan = licenses.Scanner().scan
+    text = licenses.TEMPLATES["MIT-text"].split()
+    indented = "\n".join(" " * 14 + " ".join(text[i:i + 8]) for i in range(0, len(text), 8))
+    assert [x[:2] for x in scan(indented)] == [("MIT-text", 1.0)]
+    other = " ".join(f"foreign{i}" for i in range(20))
+    thirds = f" {other} ".join(" ".join(text[i:i + 30]) for i in range(0, len(text), 30))
+    assert [x[:2] for x in scan(thirds)] == [("MIT-text", 1.0)]
+    # Twice, and after a part without the rest.
+    for found in (scan(thirds + f" {other} " + thirds), scan(" ".join(text[:20]) + f" {other} " + thirds)):
+        assert [x[:2] for x in found] == [("MIT-text", 1.0)]
+    inside = " ".join(text[:40]) + f" {other} Released under the MIT License {other} " + " ".join(text[40:])
+    assert {x[0] for x in scan(inside)} == {"MIT-text", "MIT"}
+    for n in (1, 11, 13, 60):
+        blanks = "\n".join(" " * n + w for w in licenses.TEMPLATES["GPL-3.0-header"].split())
+        assert [x[:2] for x in scan(blanks)] == [("GPL-3.0-header", 1.0)]
+    assert scan(f" {other} ".join(" ".join(text[i:i + 30]) for i in (60, 30, 0))) == []
+
+
 def test_alignment():
     assert licenses.longest_rising([3, 1, 2, 5, 4]) in ([1, 2, 3], [1, 2, 4])
     assert licenses.align("a b c d".split(), "a x c d".split()) == [(0, 0), (2, 2), (3, 3)]
