@@ -11,7 +11,6 @@ by the length of the text.
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata
 import zlib
@@ -178,14 +177,13 @@ def _grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                             "text_group": [_alike(words(t)) for t in batch["text"]]})
 
 
-def _entries(text: str, wanted: set[str] | None) -> set[str]:
-    """The distinct words and stems of a text, or those that are wanted."""
+def _entries(text: str) -> set[str]:
+    """The distinct words and stems of a text."""
     kinds = set(words(text))
-    found = kinds | {f"{w[:n]}*" for w in kinds for n in STEMS if len(w) > n}
-    return found if wanted is None else found & wanted
+    return kinds | {f"{w[:n]}*" for w in kinds for n in STEMS if len(w) > n}
 
 
-def _counted(wanted: set[str] | None = None):
+def _counted():
     """(word, label, n): groups of alike texts that hold each entry. A group's rows are in one
     partition, so sums over partitions count every group once."""
 
@@ -193,7 +191,7 @@ def _counted(wanted: set[str] | None = None):
         seen: dict[tuple[int, int], set[str]] = {}
         for batch in batches:
             for label, group, text in zip(batch["label"], batch["text_group"], batch["text"]):
-                seen.setdefault((label, group), set()).update(_entries(text, wanted))
+                seen.setdefault((label, group), set()).update(_entries(text))
         counts = Counter((w, label) for (label, _), found in seen.items() for w in found)
         yield pd.DataFrame([(w, label, n) for (w, label), n in counts.items()], columns=["word", "label", "n"])
 
@@ -234,28 +232,26 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PE
     if not sums["toxic"] or not sums["clean"]:
         return Lexicon({})
     form = "word STRING, label INT, n BIGINT"
-    # Only entries of enough toxic texts are counted in the clean ones.
-    frequent = (
-        rows.where("label = 1").repartition("text_group").mapInPandas(_counted(), form)
-        .groupBy("word").agg(F.sum("n").alias("toxic")).where((F.col("toxic") >= TEXTS) & (F.length("word") > 2))
-        .orderBy(F.desc("toxic"), "word").limit(20 * WORDS)
+    # Counts of both classes meet in Spark, and only entries that are strong enough leave it.
+    counts = rows.repartition("text_group").mapInPandas(_counted(), form).groupBy("word").agg(
+        F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
+        F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
+    shares = [(F.col(c) + 0.5) / F.lit(float(sums[c])) for c in ("toxic", "clean")]
+    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
+    passing = (
+        counts.where((F.col("toxic") >= TEXTS) & (F.length("word") > 2))
+        .withColumn("ratio", F.log(shares[0]) - F.log(shares[1])).where(F.col("ratio") - 2 * error >= LEAST_RATIO)
+        .orderBy(F.desc("ratio"), "word").limit(WORDS)
     )
-    toxic = {r["word"]: int(r["toxic"]) for r in frequent.collect()}
-    clean = {r["word"]: int(r["n"]) for r in (
-        rows.where("label = 0").repartition("text_group").mapInPandas(_counted(set(toxic)), form)
-        .groupBy("word").agg(F.sum("n").alias("n")).collect())}
-    ratio = {w: math.log((n + 0.5) / sums["toxic"]) - math.log((clean.get(w, 0) + 0.5) / sums["clean"])
-             for w, n in toxic.items()}
-    error = {w: math.sqrt(1 / (n + 0.5) + 1 / (clean.get(w, 0) + 0.5)) for w, n in toxic.items()}
-    strong = sorted(((w, n, ratio[w]) for w, n in toxic.items() if ratio[w] - 2 * error[w] >= LEAST_RATIO),
-                    key=lambda x: (-x[2], x[0]))[:WORDS]
+    strong = [(r["word"], int(r["toxic"]), float(r["ratio"])) for r in passing.collect()]
     found = _specific(strong)
     lexicon = Lexicon(found)
     if found:
         listed = {w for w in found if not w.endswith("*")}
         phrases = rows.mapInPandas(_phrases(listed), "label INT, text_group BIGINT, phrase STRING").distinct()
         kept = phrases.groupBy("phrase").agg(*both).where("toxic = 0 AND clean >= 2")
-        lexicon.exceptions = {r["phrase"] for r in kept.orderBy(F.desc("clean"), "phrase").limit(10 * WORDS).collect()}
+        # No more than the sample has words beside the listed ones.
+        lexicon.exceptions = {r["phrase"] for r in kept.select("phrase").collect()}
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

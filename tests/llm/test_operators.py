@@ -249,6 +249,25 @@ def test_toxicity_is_learned_and_folded(spark, documents):
     assert toxicity.scored(documents([]), lexicon).count() == 0
 
 
+def test_rare_toxic_words_and_exceptions_are_not_cut_by_frequency(spark, documents, monkeypatch):
+    monkeypatch.setattr(toxicity, "WORDS", 20)
+    rng = random.Random(9)
+    rows, labels = [], []
+    for i in range(500):
+        own = words(rng, 300, 600).split()
+        if i < 100:
+            own += ["grobian"] + ["schurke"] * (i % 4 == 0)
+        elif i < 180:
+            own += [w for j in range(6) for w in (f"zart{i % 40 * 6 + j}", "grobian")]
+        rows.append((i, " ".join(own)))
+        labels.append((i, 1, int(i < 100)))
+    known = spark.createDataFrame(labels, "doc_id BIGINT, quality INT, toxic INT")
+    lexicon = toxicity.learn(documents(rows), known, F.lit(True))
+    assert {toxicity.folded("grobian"), toxicity.folded("schurke")} <= set(lexicon.weights)
+    # Texts that count as near copies may take a few phrases along.
+    assert len({toxicity.folded(f"zart{i} grobian") for i in range(240)} & lexicon.exceptions) > 210
+
+
 def test_quality_ranks_by_preference(spark, documents):
     rng = random.Random(6)
     rows, labels = [], []
