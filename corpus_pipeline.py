@@ -7,7 +7,7 @@ and reads it again, so a lost executor costs one stage's work at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from playledger.llm import packing, pii, quality, setsketch, toxicity
@@ -29,15 +29,21 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id.
-
-    Rows that repeat a doc_id are one document (the first by its columns stays); rows without a
-    doc_id can't be told apart by it and stay unless they equal each other in all columns."""
-    kept = setsketch.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(kept, "doc_id").select(*COLUMNS)
-    order = Window.partitionBy("doc_id").orderBy("text", "lang", "source", "n_chars")
-    once = named.withColumn("_r", F.row_number().over(order)).where("_r = 1").select(*COLUMNS)
-    return once.unionByName(docs.select(*COLUMNS).where("doc_id IS NULL").distinct())
+    """One row of each group of near copies, whatever their ids: the one with the smallest doc_id
+    (a null one comes last), then by a hash of the text, then by the other columns.
+
+    Texts without shingles are near nothing and stay unless they equal each other in all columns."""
+    own = docs.select(*COLUMNS).withColumn("text_key", pii.key_of_text())
+    groups = stored(setsketch.text_components(own))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "lang", "source", "n_chars")
+    least = own.drop("text").join(groups, "text_key").groupBy("component").agg(F.min(order).alias("_least"))
+    chosen = stored(least.select("_least.*").drop("no_id"))
+    same = own["text_key"] == chosen["text_key"]
+    for c in ("doc_id", "lang", "source", "n_chars"):
+        same = same & own[c].eqNullSafe(chosen[c])
+    # Rows that equal the chosen one in all columns are one.
+    kept = own.join(chosen, same, "left_semi").unionByName(own.join(groups, "text_key", "left_anti"))
+    return kept.select(*COLUMNS).distinct()
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

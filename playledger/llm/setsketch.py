@@ -291,17 +291,8 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """One row for each row of `docs` (doc_id, text, further columns ignored).
-
-    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links of at
-    least `percent` / 100 Jaccard similarity, itself included) and kept (doc_id equals it).
-    Null, empty and blank texts have no shingles and are linked with nothing: each is its own
-    component. A null doc_id never names a component; a component that holds only such rows
-    has a null component_id and keeps none by that name (kept is then true for every row).
-    Rows that repeat a doc_id are rows of their own; equal ones are all kept. An empty table
-    gives no rows.
-    """
+def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The sketched rows, and set_key, n_shingles, least_id, component of each set."""
     rows = stored(sketches(docs))
     key_less = F.coalesce("doc_id", F.lit(-(1 << 63)))
     nodes = stored(
@@ -325,8 +316,29 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = _tiles(texts, "component", "size").groupBy("component", "_tile").applyInPandas(
         _exact_links(percent), "a BIGINT, b BIGINT")
     joined = connected_components(links)
-    named = nodes.join(joined, "node", "left").select(
+    return rows, nodes.join(joined, "node", "left").select(
         "set_key", "n_shingles", "least_id", F.coalesce("component", "node").alias("component"))
+
+
+def text_components(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """(text_key, component) of every distinct text that has shingles, whatever its ids."""
+    rows, named = _components(docs, percent)
+    texts = rows.where("n_shingles > 0").select("text_key", "set_key").distinct()
+    return texts.join(named.select("set_key", "component"), "set_key").select("text_key", "component")
+
+
+def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+    """One row for each row of `docs` (doc_id, text, further columns ignored).
+
+    Returns doc_id, n_shingles, component_id (the smallest doc_id reachable over links of at
+    least `percent` / 100 Jaccard similarity, itself included) and kept (doc_id equals it).
+    Null, empty and blank texts have no shingles and are linked with nothing: each is its own
+    component. A null doc_id never names a component; a component that holds only such rows
+    has a null component_id and keeps none by that name (kept is then true for every row).
+    Rows that repeat a doc_id are rows of their own; equal ones are all kept. An empty table
+    gives no rows.
+    """
+    rows, named = _components(docs, percent)
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
     classes = named.join(least, "component").select("set_key", "component_id")
     # The join, not a window, spreads a set that a large part of all rows share.

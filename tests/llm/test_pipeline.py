@@ -53,6 +53,19 @@ def test_stages_take_odd_and_no_documents(spark):
         assert len(ids) == len(set(ids))
 
 
+def test_near_duplicates_stage_decides_by_row(spark):
+    schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(7, a), (7, b), (3, b + " more"), (None, c), (None, c + " more"), (None, a + " more"), (9, None), (9, None), (9, ""), (7, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], schema)
+    found = [(r.doc_id, r.text) for r in pipeline.near_duplicates(spark, docs, SF_DIR).collect()]
+    key = lambda x: (x[0] or 0, x[1] or "", x[1] is None)
+    with_c = [x for x in found if x[0] is None]
+    assert len(with_c) == 1 and with_c[0][1] in (c, c + " more")
+    assert sorted((x for x in found if x[0] is not None), key=key) == sorted(
+        [(7, a), (3, b + " more"), (9, None), (9, "")], key=key)
+
+
 def test_masking_follows_the_text_not_the_id(spark):
     schema = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
     rows = [(1, "to a@b.cd", "en", "s", 9), (1, "to 1.2.3.4", "en", "s", 10), (None, "to a@b.cd", "en", "s", 9), (2, None, "en", "s", None)]
