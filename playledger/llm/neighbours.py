@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
-from .topk import _ranked, distinct_vectors
+from .topk import _ranked, distinct_vectors, own_left_out, usable_pairs, with_own
 
 #: Rows that the index is fitted on, at most; centroids, at most; vectors for each centroid.
 SAMPLE, CENTROIDS, PER_LIST = 16384, 4096, 96
@@ -189,8 +189,12 @@ def _list_search(key: tuple, queries: pd.DataFrame, posts: pd.DataFrame, k: int)
         top = min(k, len(x))
         for at in range(0, len(q), 512):
             scores = q[at:at + 512] @ x.T
+            usable = usable_pairs(queries.iloc[at:at + 512], posts)
+            if usable is not None:
+                scores[~usable] = -np.inf
             best = np.argpartition(-scores, top - 1, axis=1)[:, :top]
             for i, found in enumerate(best):
+                found = found if usable is None else found[usable[i, found]]
                 # Summed in one fixed order, so that a vector's score is the same in any list.
                 exact = (x[found] * q[at + i]).sum(axis=1)
                 out.append((queries["number"].iat[at + i], number[found], exact))
@@ -226,8 +230,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
         for batch in batches:
             for at in range(0, len(batch), 2048):
                 part = batch.iloc[at:at + 2048]
-                part = part.assign(list=assigned(index, _lifted(_dense(part["vector"]), index.norm)))
-                yield part.explode("list").astype({"list": "int32"})[["list", "number", "vector"]]
+                part = part.assign(sole=part["sole"].astype("Int64"), list=assigned(index, _lifted(_dense(part["vector"]), index.norm)))
+                yield part.explode("list").astype({"list": "int32"})[["list", "number", "vector", "sole"]]
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -235,20 +239,21 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
                 part = batch.iloc[at:at + 512]
                 near, distance = walk(index, _stretched(_dense(part["vector"]), index.norm))
                 keep = _chosen(near, distance, index.ratio)
-                part = part.assign(list=[row[use] for row, use in zip(near, keep)])
-                yield part.explode("list").astype({"list": "int32"})[["list", "number", "vector"]]
+                part = part.assign(own=part["own"].astype("Int64"), list=[row[use] for row, use in zip(near, keep)])
+                yield part.explode("list").astype({"list": "int32"})[["list", "number", "vector", "own"]]
 
     kind = next(f.dataType.simpleString() for f in candidates.schema if f.name == "vector")
     form = f"list INT, number BIGINT, vector {kind}"
-    posts = stored(candidates.select("number", "vector").mapInPandas(post, form))
+    posts = stored(candidates.select("number", "vector", "sole").mapInPandas(
+        post, form + ", sole BIGINT"))
     sizes = posts.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    query_rows = stored(valid.where("_asked").select("vec_id", "vector").distinct())
-    queries = stored(query_rows.select("vector").distinct().withColumn(
+    query_rows = stored(with_own(valid.where("_asked").select("vec_id", "vector").distinct(), valid))
+    queries = stored(query_rows.select("vector", "own").distinct().withColumn(
         "number", F.monotonically_increasing_id()))
     # The number of lists is bounded by CENTROIDS, and so is this broadcast.
     parts = F.broadcast(sizes)
     held = posts.join(parts, "list").withColumn("part", F.pmod(F.xxhash64("number"), F.col("parts")).cast("int")).drop("parts")
-    asked = queries.mapInPandas(ask, form).join(parts, "list").withColumn(
+    asked = queries.mapInPandas(ask, form + ", own BIGINT").join(parts, "list").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     found = asked.groupBy("list", "part").cogroup(held.groupBy("list", "part")).applyInPandas(
         lambda key, a, b: _list_search(key, a, b, k + 1),
@@ -259,6 +264,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
         .groupBy("query", F.col("e.numbers").alias("number")).agg(F.max("e.scores").alias("score"))
         # Only what can be among the nearest meets its ids; ties stay.
         .withColumn("_r", F.rank().over(best)).where(F.col("_r") <= k + 1)
-        .join(candidates.select("number", "ids"), "number").select("query", "score", "ids")
+        .join(candidates.select("number", "ids"), "number")
+        .join(queries.select(F.col("number").alias("query"), "own"), "query")
+        .select("query", "score", own_left_out("ids", "own").alias("ids"))
     )
     return _ranked(scored, query_rows, queries, k)

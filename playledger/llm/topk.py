@@ -8,7 +8,8 @@ vectors over its components, lifted by the list's smallest so that none is negat
    that reaches this cutoff.
 3. Whole scores of the vectors seen that can still reach a sharper bound are computed exactly.
 
-Equal vectors are one candidate with its k + 1 smallest ids, so copies cost nothing. Queries
+Equal vectors are one candidate with its k + 1 smallest ids and their repeats, so copies cost
+nothing. A query whose id has several vectors doesn't meet those that only its own id has. Queries
 and candidates meet in blocks: either side is dealt to groups of bounded size, and every pair
 of a query group and a candidate group is one task's work. Each round ships a bounded number of
 rows per query and candidate group, but for phase 2, which ships what reaches the cutoff.
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -40,18 +41,41 @@ def scaled(embedding: Column | str, scale: int = 256) -> Column:
 
 
 def distinct_vectors(vectors: DataFrame, ids: int) -> DataFrame:
-    """(number, vector, ids) of each distinct vector with its `ids` smallest ids."""
-    # Ranks are cut in sub-groups first, so that a very common vector is spread.
-    from pyspark.sql import Window
-
-    salted = vectors.withColumn("_salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    cut = (
-        salted.withColumn("_rank", F.row_number().over(
-            Window.partitionBy("vector", "_salt").orderBy("vec_id")))
-        .where(F.col("_rank") <= ids)
-    )
-    grouped = cut.groupBy("vector").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, ids).alias("ids"))
-    return grouped.withColumn("number", F.monotonically_increasing_id())
+    """(number, vector, ids, sole) of each distinct vector: its `ids` smallest different ids, each
+    with its repeats (id, n; n is `ids` at most), and the id if it has one only."""
+    # Repeats are counted first, and ranks are cut in sub-groups, so that a very common vector is spread.
+    counted = vectors.groupBy("vector", "vec_id").agg(F.count("*").alias("_n")).withColumn(
+        "_salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
+    cut = counted.withColumn("_rank", F.row_number().over(
+        Window.partitionBy("vector", "_salt").orderBy("vec_id"))).where(F.col("_rank") <= ids)
+    pair = F.struct(F.col("vec_id").alias("id"), F.least("_n", F.lit(ids)).cast("int").alias("n"))
+    grouped = cut.groupBy("vector").agg(F.slice(F.array_sort(F.collect_list(pair)), 1, ids).alias("ids"))
+    return grouped.withColumn("number", F.monotonically_increasing_id()).withColumn(
+        "sole", F.when(F.size("ids") == 1, F.element_at("ids", 1)["id"]))
+
+
+def with_own(asked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Query rows (vec_id, vector) with own: the id if it has several vectors, else null."""
+    hashed = F.xxhash64("vector")
+    several = vectors.groupBy("vec_id").agg(F.min(hashed).alias("_a"), F.max(hashed).alias("_b")).where(
+        "_a < _b").select("vec_id", F.col("vec_id").alias("own"))
+    return asked.join(several, "vec_id", "left")
+
+
+def own_left_out(ids: Column | str, own: Column | str) -> Column:
+    """The ids and repeats without the query's own id, where that is known."""
+    ids, own = (F.col(x) if isinstance(x, str) else x for x in (ids, own))
+    return F.when(own.isNull(), ids).otherwise(F.filter(ids, lambda x: x["id"] != own))
+
+
+def usable_pairs(queries: pd.DataFrame, found: pd.DataFrame) -> np.ndarray | None:
+    """Which queries may meet which vectors: not those that only their own id has. None: all may."""
+    own, sole = (frame[c].astype("Int64") for frame, c in ((queries, "own"), (found, "sole")))
+    if own.isna().all() or sole.isna().all():
+        return None
+    left, right = own.fillna(0).to_numpy(np.int64), sole.fillna(0).to_numpy(np.int64)
+    same = left[:, None] == right[None, :]
+    return ~(same & own.notna().to_numpy()[:, None] & sole.notna().to_numpy()[None, :])
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -86,10 +110,13 @@ def _best(key: tuple, queries: pd.DataFrame, found: pd.DataFrame, k: int) -> pd.
         number, query = found["number"].to_numpy(), queries["number"].to_numpy()
         for part in _steps(len(q), len(c)):
             lists = _lists(q[part], c)
+            usable = usable_pairs(queries.iloc[part], found)
             for j, partial in enumerate(lists):
-                top = np.argpartition(-partial, min(k, len(c)) - 1, axis=1)[:, :k]
+                order = -partial if usable is None else np.where(usable, -partial, np.iinfo(np.int64).max)
+                top = np.argpartition(order, min(k, len(c)) - 1, axis=1)[:, :k]
                 for i in range(len(partial)):
-                    out.append((query[part][i], j, int(partial[i].min()), number[top[i]], partial[i, top[i]]))
+                    own = top[i] if usable is None else top[i][usable[i, top[i]]]
+                    out.append((query[part][i], j, int(partial[i].min()), number[own], partial[i, own]))
     return pd.DataFrame(out, columns=["query", "list", "least", "numbers", "partials"])
 
 
@@ -104,6 +131,9 @@ def _reaching(key: tuple, queries: pd.DataFrame, found: pd.DataFrame) -> pd.Data
             lists = _lists(q[part], c)
             lifted = [x - least[part][:, j:j + 1] for j, x in enumerate(lists)]
             over = [x >= cutoff[part][:, None] for x in lifted]
+            usable = usable_pairs(queries.iloc[part], found)
+            if usable is not None:
+                over = [x & usable for x in over]
             for i in range(len(lifted[0])):
                 seen = np.flatnonzero(np.logical_or.reduce([x[i] for x in over]))
                 if len(seen):
@@ -129,16 +159,17 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5,
     candidates = stored(distinct_vectors(valid, k + 1).withColumn("width", F.size("vector")))
     n_candidates = candidates.count()
     asked = valid.where(is_query).distinct()
-    query_rows = stored(asked.withColumn("width", F.size("vector")))
+    query_rows = stored(with_own(asked, valid).withColumn("width", F.size("vector")))
     queries = stored(
-        query_rows.groupBy("vector", "width").agg(F.count("*").alias("_n")).drop("_n")
+        query_rows.groupBy("vector", "width", "own").agg(F.count("*").alias("_n")).drop("_n")
         .withColumn("number", F.monotonically_increasing_id()))
     n_queries = queries.count()
     c_groups = max(1, -(-n_candidates // CANDIDATES))
     q_groups = max(1, -(-n_queries // QUERIES))
 
     dealt = candidates.withColumn("c", F.pmod(F.xxhash64("number"), F.lit(c_groups)).cast("int")).withColumn(
-        "q", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1)))).select("q", "c", "width", "number", "vector")
+        "q", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1)))).select(
+        "q", "c", "width", "number", "vector", "sole")
 
     def grid(frame: DataFrame) -> DataFrame:
         return frame.withColumn("q", F.pmod(F.xxhash64("number"), F.lit(q_groups)).cast("int")).withColumn(
@@ -181,29 +212,36 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5,
         .where(F.col("e.high") >= F.col("sharp")).select("query", F.col("e.numbers").alias("found"))
     )
     whole = (
-        still.join(queries.select(F.col("number").alias("query"), F.col("vector").alias("_q")), "query")
+        still.join(queries.select(F.col("number").alias("query"), F.col("vector").alias("_q"), "own"), "query")
         .join(candidates.select(F.col("number").alias("found"), F.col("vector").alias("_c"), "ids"), "found")
         .withColumn("score", F.aggregate(
             F.zip_with("_q", "_c", lambda a, b: a * b), F.lit(0).cast("bigint"), lambda s, x: s + x))
-        .select("query", "score", "ids")
+        .select("query", "score", own_left_out("ids", "own").alias("ids"))
     )
     return _ranked(whole, query_rows, queries, k)
 
 
 def _ranked(scored: DataFrame, query_rows: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Rows of the best vectors of each distinct query, back on the query rows."""
-    from pyspark.sql import Window
+    """Rows of the best vectors of each distinct query, back on the query rows.
 
-    order = Window.partitionBy("query").orderBy(F.desc("score"), F.element_at("ids", 1))
-    best = scored.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
+    Ids that own_left_out took are gone already; other queries have one vector of their own id."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.element_at("ids", 1)["id"])
+    best = scored.where(F.size("ids") > 0).withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k + 1)
     gathered = best.groupBy("query").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
-    named = queries.join(gathered, queries["number"] == gathered["query"]).select("vector", "found")
-    rows = query_rows.select(F.col("vec_id").alias("query_id"), "vector").join(named, "vector")
+    named = queries.join(gathered, queries["number"] == gathered["query"]).select(
+        "vector", F.col("own").alias("_own"), "found")
+    rows = query_rows.select(F.col("vec_id").alias("query_id"), "vector", "own").join(named, "vector").where(
+        F.col("own").eqNullSafe(F.col("_own")))
     pairs = (
         rows.select("query_id", F.explode("found").alias("f"))
-        .select("query_id", F.col("f.score").alias("score"), F.explode("f.ids").alias("vec_id"))
-        .where(F.col("vec_id") != F.col("query_id"))
+        .select("query_id", F.col("f.score").alias("score"), F.explode("f.ids").alias("v"))
+        .where(F.col("v.id") != F.col("query_id"))
     )
+    # Ranks of different ids first, so that repeats become rows only where they count.
+    by_id = Window.partitionBy("query_id").orderBy(F.desc("score"), "v.id")
+    near = pairs.withColumn("_r", F.row_number().over(by_id)).where(F.col("_r") <= k)
+    repeated = near.select("query_id", "score", F.col("v.id").alias("vec_id"), F.explode(
+        F.sequence(F.lit(1), F.least(F.col("v.n"), F.lit(k)))).alias("_n"))
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return pairs.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(
+    return repeated.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")

@@ -169,6 +169,41 @@ def test_topk_of_few_rows_and_repeated_ids(spark):
     assert run([(0, []), (1, [])]) == [(0, 1, 1, 0)]
 
 
+def repeated_vectors():
+    """Row 50 eight times beside an equal row 51, and row 100 with nine vectors near itself."""
+    rows = [(50, [9, 1])] * 8 + [(51, [9, 1]), (52, [8, 1])] + [(100, [90 + i, 40]) for i in range(9)]
+    return rows + [(101, [3, 3]), (102, [2, 2]), (150, [1, 1])]
+
+
+def each_row(rows, every, k):
+    out = {}
+    for q in {(i, tuple(v)) for i, v in rows if i % every == 0}:
+        best = sorted((-float(np.dot(q[1], w)), i) for i, w in rows if i != q[0])
+        out.setdefault(q[0], []).extend(best[:k])
+    return {q: [(i, -s) for s, i in sorted(found)[:k]] for q, found in out.items()}
+
+
+def ranked(found):
+    out = {}
+    for r in sorted(found, key=lambda r: (r.query_id, r.rank)):
+        out.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    return out
+
+
+def test_topk_excludes_all_rows_of_the_own_id_before_the_cut(spark):
+    for k in (3, 5):
+        frame = spark.createDataFrame(repeated_vectors(), "vec_id BIGINT, vector ARRAY<BIGINT>")
+        found = topk.top_inner_products(frame, F.col("vec_id") % 50 == 0, k).collect()
+        assert ranked(found) == each_row(repeated_vectors(), 50, k)
+
+
+def test_neighbours_exclude_all_rows_of_the_own_id_before_the_cut(spark):
+    frame = spark.createDataFrame(
+        [(i, [float(x) for x in v]) for i, v in repeated_vectors()], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    found = neighbours.nearest(frame, F.col("vec_id") % 50 == 0, 3).collect()
+    assert ranked(found) == each_row(repeated_vectors(), 50, 3)
+
+
 def test_neighbours_recall_and_scores(spark):
     rows = vectors(900, 12) + odd_vectors(12)
     found = neighbours.nearest(spark.createDataFrame(rows, VECTOR), F.col("vec_id") % 20 == 0, 20).collect()
