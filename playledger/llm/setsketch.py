@@ -34,8 +34,8 @@ BANDS = 40
 LIKELY = 0.62
 #: Buckets up to this size list their pairs (so each member has fewer partners than this).
 SMALL = 24
-#: Members of one block of a large bucket or group.
-BLOCK = 64
+#: Members of one block of a large group, and of either side in a task of a large bucket.
+BLOCK, SIDE = 64, 2048
 
 _draw = np.random.default_rng(20240917)
 _FACTOR = _draw.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -151,15 +151,18 @@ def _tiles(members: DataFrame, group: str, size: str) -> DataFrame:
 
 
 def _likely_in_bucket(percent: int):
-    """One of a large bucket's blocks against the bucket's members outside its main group."""
+    """One of a large bucket's blocks against a block of its members outside its main group."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         asks = rows["_asks"].to_numpy()
         own = np.stack(rows["bands"].to_numpy()).astype(np.int64).view(np.uint16).reshape(len(rows), REGISTERS)
         count, node, group = (rows[c].to_numpy() for c in ("n_shingles", "node", "group"))
         block, out = np.flatnonzero(~asks), []
+        # Of two members that both ask, the larger node does.
+        main = rows["_main"].to_numpy() == group
         for i in np.flatnonzero(asks):
-            x = block[(group[block] != group[i]) & _sizes_fit(count[block], count[i], percent)]
+            x = block[(group[block] != group[i]) & (main[block] | (node[block] < node[i]))
+                      & _sizes_fit(count[block], count[i], percent)]
             # Similarity is close to the share of equal registers; below a half it can't be likely.
             x = x[(own[x] == own[i]).sum(axis=1) >= REGISTERS // 2]
             if not len(x):
@@ -231,16 +234,22 @@ def candidate_links(nodes: DataFrame, percent: int = 75) -> DataFrame:
     ).select("a", "b").distinct()
     large = rest.where(F.col("size") > SMALL)
     main = large.groupBy("band", "value", "group").agg(F.count("*").alias("_n")).groupBy("band", "value").agg(
-        F.max_by("group", "_n").alias("_main"))
-    # Each member is in one block of its bucket; those outside the main group ask all blocks.
-    blocks = F.ceil(F.col("size") / (8 * BLOCK)).cast("int")
-    marked = large.join(main, ["band", "value"]).join(sketch.select("node", "bands"), "node").withColumn("_blocks", blocks)
-    kept = marked.withColumn("_block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("_blocks")).cast("int")).withColumn(
-        "_asks", F.lit(False))
-    asking = marked.where(F.col("group") != F.col("_main")).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumn("_asks", F.lit(True))
-    in_large = kept.unionByName(asking).groupBy("band", "value", "_block").applyInPandas(
-        _likely_in_bucket(percent), "a BIGINT, b BIGINT")
+        F.max_by("group", "_n").alias("_main"), F.max("_n").alias("_in_main"))
+    # Both sides are dealt to blocks: each block meets each block of those outside the main group.
+    marked = large.join(main, ["band", "value"]).join(sketch.select("node", "bands"), "node").withColumn(
+        "_blocks", F.ceil(F.col("size") / SIDE).cast("int")).withColumn(
+        "_askers", F.ceil((F.col("size") - F.col("_in_main")) / SIDE).cast("int"))
+
+    def dealt(rows: DataFrame, asks: bool) -> DataFrame:
+        own, other = ("_askers", "_blocks") if asks else ("_blocks", "_askers")
+        placed = rows.withColumn("_own", F.pmod(F.xxhash64("node", F.lit(7)), F.col(own)).cast("int")).withColumn(
+            "_other", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        first, second = ("_other", "_own") if asks else ("_own", "_other")
+        return placed.withColumn("_block", F.col(first)).withColumn("_asker", F.col(second)).withColumn(
+            "_asks", F.lit(asks)).drop("_own", "_other", "_blocks", "_askers", "_in_main")
+
+    in_large = dealt(marked, False).unionByName(dealt(marked.where(F.col("group") != F.col("_main")), True)).groupBy(
+        "band", "value", "_block", "_asker").applyInPandas(_likely_in_bucket(percent), "a BIGINT, b BIGINT")
     return first.unionByName(likely(pairs)).unionByName(in_large)
 
 

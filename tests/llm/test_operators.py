@@ -76,6 +76,35 @@ def test_near_duplicates_match_brute_force(documents, monkeypatch):
     assert all(r.kept == (r.doc_id == r.component_id) for r in found)
 
 
+def test_tasks_of_a_large_bucket_hold_one_block_of_either_side(spark, monkeypatch):
+    monkeypatch.setattr(setsketch, "SIDE", 16)
+    biggest = spark.sparkContext.accumulator(0)
+    likely = setsketch._likely_in_bucket
+
+    def watched(percent):
+        run = likely(percent)
+
+        def counted(key: tuple, rows):
+            biggest.add(int(len(rows) > 100))
+            return run(key, rows)
+
+        return counted
+
+    monkeypatch.setattr(setsketch, "_likely_in_bucket", watched)
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 2**63, 100).astype(np.uint64)
+    nodes = []
+    for i in range(200):
+        own = np.concatenate([passage, rng.integers(0, 2**63, 60).astype(np.uint64)])
+        nodes.append((i, len(own), setsketch.registers(own).view(np.int64).tolist()))
+    frame = spark.createDataFrame(nodes + [(i + 1000, n, b) for i, n, b in nodes[:40]],
+                                  "node BIGINT, n_shingles BIGINT, bands ARRAY<BIGINT>")
+    found = {r.node: r.component for r in components.connected_components(
+        setsketch.candidate_links(frame)).collect()}
+    assert all(found[i + 1000] == found[i] for i in range(40))
+    assert biggest.value == 0
+
+
 def test_near_duplicates_of_odd_rows(documents, spark):
     found = setsketch.near_duplicates(documents(ODD)).collect()
     assert len(found) == len(ODD)
