@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
 
-ROUNDS = 4
+#: Rounds at most; they end when no move is granted.
+ROUNDS = 12
 #: Rows of one bucket of a rank, about.
 BUCKET = 4096
 
@@ -39,16 +40,30 @@ def numbered(rows: DataFrame, by: str, first: str, total: int) -> DataFrame:
     )
 
 
-def _wishes(state: DataFrame, linked: DataFrame, share: int, open_shards: list[int]) -> DataFrame:
+def _wishes(state: DataFrame, linked: DataFrame, share: int, room: dict[int, int]) -> DataFrame:
     """(row, group, shard, wish): of the shards with room, where most of a linked row's
     neighbours are, itself not counted. A group above a shard's share has as many such shards
-    as it needs, and its rows are dealt to them."""
+    as it needs, and its rows are dealt to them. A cut group that none of them holds a member
+    of moves as a whole to one that has room for it: of the roomiest, one by its hash."""
+    open_shards = list(room)
     placed = linked.join(state, "row")
     counts = placed.groupBy("group", "size", "shard").agg(F.count("*").alias("n"))
     tie = F.pmod(F.xxhash64("group", "shard"), F.lit(1 << 20))
     # One entry for each shard at most.
     tops = counts.where(F.col("shard").isin(open_shards)).groupBy("group").agg(
         F.sort_array(F.collect_list(F.struct(F.col("n"), tie.alias("tie"), F.col("shard"))), asc=False).alias("tops"))
+    # As many of the roomiest as there are shards with at least half of the most room.
+    roomy = [s for s in open_shards if 2 * room[s] >= max(room.values())]
+    if roomy:
+        at = (F.pmod(F.xxhash64("group", F.lit(3)), F.lit(len(roomy))) + 1).cast("int")
+        shard = F.element_at(F.array(*map(F.lit, roomy)), at)
+        space = F.element_at(F.array(*[F.lit(room[s]) for s in roomy]), at)
+        stuck = counts.groupBy("group").agg(
+            F.first("size").alias("size"), F.count("*").alias("_cut"),
+            F.max(F.col("shard").isin(open_shards)).alias("_open")).where(
+            (F.col("_cut") > 1) & ~F.col("_open") & (F.col("size") <= space))
+        tops = tops.unionByName(stuck.select("group", F.array(F.struct(
+            F.col("size").alias("n"), F.lit(0).cast("long").alias("tie"), shard.alias("shard"))).alias("tops")))
     own = placed.join(tops, "group").join(counts.drop("size"), ["group", "shard"])
     needed = F.least(F.ceil(F.col("size") / share), F.size("tops"))
     best = F.element_at("tops", (F.pmod(F.xxhash64("row", F.lit(5)), needed) + 1).cast("int"))
@@ -77,11 +92,13 @@ def balanced_shards(rows: DataFrame, members: DataFrame, shards: int = 16,
     share = -(-total // shards)
     for _ in range(rounds):
         held = linked.select("row").distinct().join(state, "row").groupBy("shard").count()
-        full = {r["shard"] for r in held.collect() if r["count"] >= share}
-        wishes = stored(_wishes(state, linked, share, [s for s in range(shards) if s not in full]))
+        room = dict.fromkeys(range(shards), share) | {r["shard"]: share - r["count"] for r in held.collect()}
+        wishes = stored(_wishes(state, linked, share, {s: n for s, n in room.items() if n > 0}))
         # Quotas by whole groups: a group's movers ask together, the larger the first.
         asked = wishes.groupBy("wish", "group").agg(F.count("*").alias("n"))
-        taken = _granted(asked, state, linked, share)
+        taken = stored(_granted(asked, state, linked, share))
+        if taken.isEmpty():
+            break
         moved = (
             numbered(wishes.withColumn("_same", F.lit(0)).withColumn("_key", F.xxhash64("wish", "group")),
                      "_key", "_same", total)

@@ -440,6 +440,16 @@ def test_shards_are_even_and_keep_groups(documents):
     assert sharding.shard_documents(documents([(1, "a"), (2, "a")])).count() == 2
 
 
+def test_pairs_are_not_cut_beside_a_hot_group(documents):
+    rows = [(i, "hot") for i in range(400)] + [(1000 + i, f"pair {i // 2}") for i in range(400)]
+    rows += [(2000 + i, f"alone {i}") for i in range(400)]
+    shards = {}
+    for r in sharding.shard_documents(documents(rows), 16).collect():
+        shards[r.doc_id] = r.shard
+    cut = sum(shards[1000 + i] != shards[1001 + i] for i in range(0, 400, 2))
+    assert cut <= 6, cut
+
+
 def test_packing_holds_every_token_once(documents):
     rng = random.Random(7)
     rows = ODD + [(100 + i, words(rng, rng.choice([3, 40, 700, 3000]))) for i in range(60)]
