@@ -6,8 +6,9 @@ Symbols that are no piece become byte pieces. A blank becomes the mark U+2581, a
 stands before the text. No piece has a mark after another character (checked when the model
 is opened), so runs of marks with what follows them are encoded one by one and remembered.
 
-Every run is compared with the sentencepiece library when it is first met in a batch, and
-every decoded text with the library's.
+Every distinct run is compared with the sentencepiece library when it is first met, its ids
+(but of a lone mark) and its decoded text. Whole texts are joined from remembered runs and not
+compared again.
 """
 
 from __future__ import annotations
