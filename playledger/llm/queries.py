@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    licenses, neighbours, packing, pieces, pii, quality, setsketch, sharding, topk, toxicity,
+    chat, licenses, neighbours, packing, pieces, pii, quality, setsketch, sharding, topk, toxicity,
 )
 from .common import fold, table
 
@@ -65,14 +65,23 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"))
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", marked), (-7, 1, "assistant", marked)], "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    return chat.read_back(chat.format_conversations(turns.unionByName(extra)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality, op2_topk, op3_neighbours, op4_licenses, op5_shards, op6_personal_data, op7_packing,
-        op8_toxicity, op9_near_duplicates, op10_pieces)
+        op8_toxicity, op9_near_duplicates, op10_pieces, op13_chat_format)
 }
 
 #: Whole scores of all queries and vectors; all pairs of documents that share a shingle, and
-#: what is reachable over their links.
+#: what is reachable over their links; texts of conversations, and their length with 32 characters
+#: of marks a turn and one more for each escaped control string.
 ORACLE: dict[str, str] = {
     "op2_topk": """
         WITH valid AS (
@@ -115,4 +124,24 @@ ORACLE: dict[str, str] = {
         ), least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
         SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
         FROM sets JOIN least USING (doc_id)""",
+    "op13_chat_format": """
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), sized AS (
+            SELECT *, role || chr(10) || text || chr(10) AS said, role || chr(0) || text AS both
+            FROM turns
+        ), marked AS (
+            SELECT *, 31 + length(both)
+                + len(regexp_extract_all(both, '<\\\\*(\\|im_start\\|>|\\|im_sep\\|>|\\|im_end\\|>|\\|endoftext\\|>|/?s>|</?SYS>>)'))
+                + len(regexp_extract_all(both, '\\[\\\\*/?INST\\]')) AS chars
+            FROM sized
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(said, '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(chars) AS BIGINT) AS formatted_chars
+        FROM marked GROUP BY conv_id""",
 }
