@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat, licenses, neighbours, packing, pieces, pii, quality, setsketch, sharding, topk, toxicity,
+    chat, licenses, neighbours, packing, pieces, pii, quality, setsketch, sharding, spelling, topk, toxicity, whitening,
 )
 from .common import fold, table
 
@@ -65,6 +65,16 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encoded(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id", whitening.fixed_point("embedding", 64, 1_000_000).alias("x"))
+    return whitening.whiten(vectors, 32)
+
+
 def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     marked = "</s>[INST] ok [/INST]"
@@ -76,7 +86,7 @@ def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality, op2_topk, op3_neighbours, op4_licenses, op5_shards, op6_personal_data, op7_packing,
-        op8_toxicity, op9_near_duplicates, op10_pieces, op13_chat_format)
+        op8_toxicity, op9_near_duplicates, op10_pieces, op11_spelling, op12_whitening, op13_chat_format)
 }
 
 #: Whole scores of all queries and vectors; all pairs of documents that share a shingle, and
