@@ -6,9 +6,7 @@ Symbols that are no piece become byte pieces. A blank becomes the mark U+2581, a
 stands before the text. No piece has a mark after another character (checked when the model
 is opened), so runs of marks with what follows them are encoded one by one and remembered.
 
-Every distinct run is compared with the sentencepiece library when it is first met, its ids
-(but of a lone mark) and its decoded text. Whole texts are joined from remembered runs and not
-compared again.
+Ids and decoding of every whole text are compared with the sentencepiece library, batch by batch.
 """
 
 from __future__ import annotations
@@ -28,12 +26,12 @@ from .merging import PairTable, merge_words
 
 MARK = "▁"
 _RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Distinct runs that one Python worker remembers.
-REMEMBERED = 400_000
+#: Distinct runs that one Python worker remembers, and as many older ones.
+REMEMBERED = 150_000
 #: Longer runs are encoded one by one.
 LONG = 40
-#: Texts whose new runs are encoded together.
-TOGETHER = 512
+#: Texts, and their characters, whose new runs are encoded together.
+TOGETHER, CHARACTERS = 512, 1 << 20
 
 
 class Pieces:
@@ -79,8 +77,9 @@ class Pieces:
         priority = np.unique(-score, return_inverse=True)[1]
         self.pairs = PairTable(left, right, priority, joined, max(names.values()) + 1)
         self.decimal = [str(i) for i in range(n)]
-        #: run -> (number of ids, ids in decimal, decoded text)
-        self.known: dict[str, tuple[int, str, str]] = {}
+        #: run -> (ids in decimal, decoded text); the older ones move back when they are met again
+        self.known: dict[str, tuple[str, str]] = {}
+        self.older: dict[str, tuple[str, str]] = {}
 
     def _long(self, run: str) -> list[int]:
         """Ids of one long run, by an agenda that is a heap."""
@@ -132,31 +131,29 @@ class Pieces:
         codes = self.symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         flat, lengths = merge_words(codes, [len(runs[i]) for i in short], self.pairs)
         ids, at, top = flat.tolist(), 0, len(self.decimal)
-        plain = bool(len(flat)) and flat.min() >= 0 and flat.max() < top
-        for i, n in zip(short, lengths.tolist()):
+        foreign = np.add.reduceat((flat < 0) | (flat >= top), np.cumsum(lengths) - lengths).tolist()
+        for i, n, other in zip(short, lengths.tolist(), foreign):
             own = ids[at:at + n]
-            out[i] = own if plain else [x for s in own for x in self._spelled(s)]
+            out[i] = [x for s in own for x in self._spelled(s)] if other else own
             at += n
         return out
 
-    def _learn(self, runs: list[str]) -> None:
-        if not runs:
-            return
-        found = self.merge(runs)
-        # The library puts a mark before a text itself, so it gets a run without its first mark.
-        # It encodes an empty text as nothing, though a mark alone is a piece.
-        checked = [i for i, r in enumerate(runs) if r[0] == MARK and r != MARK]
-        expected = self.library.encode([runs[i][1:] for i in checked], num_threads=1)
-        back = self.library.decode(found, num_threads=1)
-        for i, ids in zip(checked, expected):
-            if found[i] != ids:
-                raise ValueError(f"the encoder differs from the library on {runs[i]!r}")
+    def _learn(self, runs: set[str]) -> None:
+        """Remember these runs; the older half of what is known goes first."""
+        if len(self.known) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        unknown = []
+        for run in runs:
+            if run not in known:
+                own = older.get(run)
+                if own is None:
+                    unknown.append(run)
+                else:
+                    known[run] = own
         decimal = self.decimal
-        for run, ids, theirs in zip(runs, found, back):
-            text = self._text(ids)
-            if text.removeprefix(" ") != theirs:
-                raise ValueError(f"the decoder differs from the library on {run!r}")
-            self.known[run] = (len(ids), ",".join([decimal[x] for x in ids]), text)
+        for run, ids in zip(unknown, self.merge(unknown)):
+            known[run] = ",".join([decimal[x] for x in ids]), self._text(ids)
 
     def _text(self, ids: list[int]) -> str:
         try:
@@ -179,18 +176,25 @@ class Pieces:
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text, how many ids it has, the ids in decimal joined by commas, and the
-        decoded text. The new runs of `TOGETHER` texts are encoded together."""
-        known = self.known
-        for at in range(0, len(texts), TOGETHER):
-            split = [self.runs(t) for t in texts[at:at + TOGETHER]]
-            if len(known) > REMEMBERED:
-                known.clear()
-            self._learn([r for r in set().union(*split) if r not in known])
-            for runs in split:
+        decoded text, both compared with the library's. The new runs of some texts are encoded
+        together."""
+        decimal = self.decimal
+        for some in _together(texts):
+            split = [self.runs(t) for t in some]
+            self._learn(set().union(*split))
+            known = self.known
+            expected = self.library.encode(some, num_threads=1)
+            back = self.library.decode(expected, num_threads=1)
+            for text, runs, ids, theirs in zip(some, split, expected, back):
                 found = [known[r] for r in runs]
+                own = ",".join([f[0] for f in found])
+                if own != ",".join([decimal[x] for x in ids]):
+                    raise ValueError(f"the encoder differs from the library on {text[:200]!r}")
                 # Characters never reach over runs, so decoded runs add up to the decoded text.
-                yield (sum([f[0] for f in found]), ",".join([f[1] for f in found]),
-                       "".join([f[2] for f in found]).removeprefix(" "))
+                decoded = "".join([f[1] for f in found]).removeprefix(" ")
+                if decoded != theirs:
+                    raise ValueError(f"the decoder differs from the library on {text[:200]!r}")
+                yield len(ids), own, decoded
 
     def encode(self, text: str) -> list[int]:
         ids = next(self.encode_texts([text]))[1]
@@ -201,6 +205,19 @@ class Pieces:
         return self._text(ids).removeprefix(" ")
 
 
+def _together(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts: `TOGETHER` at most, and one text or no more than `CHARACTERS`."""
+    some, size = [], 0
+    for text in texts:
+        if some and (len(some) == TOGETHER or size + len(text) > CHARACTERS):
+            yield some
+            some, size = [], 0
+        some.append(text)
+        size += len(text)
+    if some:
+        yield some
+
+
 #: What "surrogateescape" makes of lone bytes.
 _LOST = {0xDC00 + b: "\ufffd" for b in range(128, 256)}
 
