@@ -50,7 +50,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
 
     Rows are chosen by a hash of the id, so the sample is the same in every run. Labels of
     one id that disagree, null labels and null ids are left out. The chosen ids are at most
-    2 * `per_class`, which bounds the broadcast.
+    2 * `per_class`, which bounds the broadcast; where rows share ids, those with the smallest
+    hashes of id and text stay, so the rows are bounded, too.
     """
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & train)
@@ -64,4 +65,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: Colum
     ]
     chosen = ranked[0].unionByName(ranked[1])
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")
+    found = texts.join(F.broadcast(chosen), "doc_id")
+    rows = [
+        found.where(F.col("label") == value)
+        .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(per_class)
+        for value in (0, 1)
+    ]
+    return rows[0].unionByName(rows[1])

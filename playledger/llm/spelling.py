@@ -104,10 +104,11 @@ def _searching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             top = np.minimum(_vectors(*_codes(some["word"]))[:, :TOP], _MOST)
             for step in steps:
                 to = top + step
-                possible = np.flatnonzero((to >= 0).all(axis=1))
+                # A count that is cut in the name does not grow there: the other steps meet it.
+                possible = np.flatnonzero(((to >= 0) & (to <= _MOST)).all(axis=1))
                 rows = some.take(pa.array(possible))
                 yield pa.record_batch([
-                    pa.array(_name(np.minimum(to[possible], _MOST))), pa.array(np.full(len(rows), not step.any())),
+                    pa.array(_name(to[possible])), pa.array(np.full(len(rows), not step.any())),
                     rows["word"], rows["n"]], schema=_ROWS_ARROW)
 
 
@@ -122,20 +123,36 @@ class _Trie:
         self.base = int(vectors.max(initial=0)) + 3
         new = np.append(True, tile[1:] != tile[:-1])
         node = np.cumsum(new) - 1
-        self.tiles = tile[new]
+        first, last = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(tile)) - 1
+        self.tiles, self.top = tile[new], vectors[first, :TOP]
         self.keys = []
         for level in range(GROUPS):
             key = node * self.base + vectors[:, level]
             new = np.append(True, key[1:] != key[:-1])
             self.keys.append(key[new])
             node = np.cumsum(new) - 1
+            if level == TOP - 1:
+                # Words of a subtree have the same first counts, unless its name cuts a count.
+                self.below, self.single = node[first], node[first] == node[last]
         self.starts = np.append(np.flatnonzero(new), len(tile))
 
     def search(self, tile: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(searching row, row of the trie) of all leaf words in reach, depth first in wide steps."""
-        node = np.searchsorted(self.tiles, tile)
-        rows = np.flatnonzero(self.tiles[np.minimum(node, len(self.tiles) - 1)] == tile)
-        stack = [(0, rows[at:at + WIDE], node[rows[at:at + WIDE]], 1, 1) for at in range(0, len(rows), WIDE)]
+        node = np.minimum(np.searchsorted(self.tiles, tile), len(self.tiles) - 1)
+        rows = np.flatnonzero(self.tiles[node] == tile)
+        node = node[rows]
+        # The subtree's first counts are known, and with them what a search has spent there.
+        change = self.top[node] - vectors[rows, :TOP]
+        surplus, deficit = 1 - np.maximum(change, 0).sum(axis=1), 1 + np.minimum(change, 0).sum(axis=1)
+        single = self.single[node]
+        begin = [(0, ~single, node, 1, 1)] + [
+            (TOP, single & (surplus == up) & (deficit == down), self.below[node], up, down)
+            for up in (0, 1) for down in (0, 1)]
+        stack = []
+        for level, own, at, up, down in begin:
+            own_rows, own_node = rows[own], at[own]
+            stack += [(level, own_rows[i:i + WIDE], own_node[i:i + WIDE], up, down)
+                      for i in range(0, len(own_rows), WIDE)]
         while stack:
             level, rows, node, surplus, deficit = stack.pop()
             if level == GROUPS:
@@ -219,8 +236,7 @@ def _searched(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         changed[1:] |= column[1:] != column[:-1]
     tile = np.cumsum(changed)
     words, n = rows["word"].chunk(0), rows["n"].chunk(0)
-    codes, lengths = _codes(words)
-    vectors, letters = _vectors(codes, lengths), _Letters(words, codes, lengths)
+    vectors = _vectors(*_codes(words))
     asks = rows["asks"].to_numpy()
     own = rows["own"].to_numpy()
     member, asking = np.flatnonzero(~asks), np.flatnonzero(asks)
@@ -228,9 +244,12 @@ def _searched(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         return
     trie = _Trie(tile[member], vectors[member])
     for at, to in trie.search(tile[asking], vectors[asking]):
-        a, b = asking[at], member[to]
-        close = letters.near(a, b)
-        a, b = a[close], b[close]
+        # Most searching words reach no leaf: letters are laid out for those that do.
+        met, place = np.unique(np.concatenate([asking[at], member[to]]), return_inverse=True)
+        some = words.take(pa.array(met))
+        a, b = np.split(place, 2)
+        close = _Letters(some, *_codes(some)).near(a, b)
+        a, b = met[a[close]], met[b[close]]
         first, second = words.take(pa.array(a)), words.take(pa.array(b))
         # Within a subtree both words of a pair search: the first in order counts.
         once = ~own[a] | pc.less(first.cast(pa.binary()), second.cast(pa.binary())).to_numpy(zero_copy_only=False)
