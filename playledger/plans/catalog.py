@@ -16,6 +16,7 @@ from ..operators import playlists as playlist_ops
 from ..operators.filters import Selection, apply_filters
 from ..sources import adapters as A
 from ..sources.files import file_kind, fingerprints, list_profiles, rejected_files
+from .cycle import ingest_twice
 from .ingest import changed_profiles
 from .insights import ingest_report, insights_summary
 from .rollup import play_rollup
@@ -364,6 +365,7 @@ QUERIES: dict[str, Query] = {
     "profile_fingerprints": profile_fingerprints,
     "profiles_changed": profiles_changed,
     "ingest_report": report_of_ingest,
+    "ingest_twice": ingest_twice,
     "insights_summary": insights,
     "account_summary": account_summary,
     "library_counts": library_counts,

@@ -327,6 +327,51 @@ ORACLE: dict[str, str] = {
         SELECT profile, md5(files || ':' || a || ':' || b) AS fingerprint, files FROM sums""",
     "profiles_changed": """SELECT DISTINCT 'c' || o_custkey AS profile FROM orders
         WHERE o_orderpriority IN ('1-URGENT', '5-LOW')""",
+    "ingest_twice": f"""WITH steps AS (SELECT unnest([1, 2, 3]) AS step),
+        nations AS (SELECT 'n' || n_nationkey AS profile, n_nationkey, r_name AS region
+            FROM nation JOIN region ON n_regionkey = r_regionkey),
+        -- Who is there after which run.
+        present AS (SELECT step, profile, n_nationkey, region,
+                CASE WHEN step > 1 AND region = 'AMERICA' THEN 2 ELSE 1 END AS factor
+            FROM steps, nations WHERE region <> CASE WHEN step = 1 THEN 'MIDDLE EAST' ELSE 'ASIA' END),
+        sold AS (SELECT step, profile, region, o_orderkey, o_orderkey // 1000 AS block,
+                {_SHOWN} AS track, s_name AS artist, {_ALBUM} AS album, l_shipdate AS day,
+                l_quantity * 1200 * factor AS ms
+            FROM {_SOLD} JOIN orders ON l_orderkey = o_orderkey
+            JOIN customer ON o_custkey = c_custkey JOIN present ON c_nationkey = n_nationkey),
+        lists AS (SELECT step, profile, o_orderkey, block, count(*) AS n FROM sold
+            WHERE step = 1 OR region <> 'EUROPE' GROUP BY ALL),
+        searched AS (SELECT step, 'e' || event_id // 1000 AS profile, count(*) AS n,
+                count(*) FILTER (value > 10) AS followed
+            FROM steps, events GROUP BY ALL),
+        files AS (
+            SELECT step, profile, 'plays' AS kind, block FROM sold GROUP BY ALL UNION ALL
+            SELECT step, profile, 'playlists', block FROM lists GROUP BY ALL UNION ALL
+            SELECT step, profile, unnest(['account', 'follow']), 0 FROM present UNION ALL
+            SELECT step, profile, 'searches', 0 FROM searched),
+        amounts AS (
+            SELECT step, 'plays' AS table_name, profile, count(*) AS rows, sum(ms) AS amount
+            FROM sold GROUP BY ALL UNION ALL
+            SELECT step, 'play_rollup', profile,
+                count(DISTINCT (year(day), month(day), artist, album, track)), sum(ms)
+            FROM sold GROUP BY ALL UNION ALL
+            SELECT step, 'artist_days', profile, count(DISTINCT (artist, CAST(day AS DATE))), sum(ms)
+            FROM sold GROUP BY ALL UNION ALL
+            SELECT step, 'searches', profile, n, followed FROM searched UNION ALL
+            SELECT step, 'playlists', profile, count(*), sum(n) FROM lists GROUP BY ALL UNION ALL
+            SELECT step, 'playlist_items', profile, sum(n), 0 FROM lists GROUP BY ALL UNION ALL
+            SELECT step, unnest(['account', 'rejected_files']), profile, 1, 0 FROM present UNION ALL
+            SELECT step, 'files', profile, count(*), 0 FROM files GROUP BY ALL UNION ALL
+            SELECT step, 'manifest', profile, 1, count(*) FROM files GROUP BY ALL),
+        taken AS (SELECT step, CASE step
+                WHEN 1 THEN (SELECT count(DISTINCT profile) FROM files f WHERE f.step = 1)
+                WHEN 2 THEN (SELECT count(*) FROM nations WHERE region <> 'AFRICA') -
+                    (SELECT count(*) FROM nations WHERE region = 'EUROPE' AND profile NOT IN
+                        (SELECT profile FROM files f WHERE f.step = 1 AND kind = 'playlists'))
+                ELSE 0 END AS changed FROM steps)
+        SELECT CAST(step AS INT) AS step, CAST(changed AS BIGINT) AS changed, table_name, profile,
+            CAST(rows AS BIGINT) AS rows, CAST(amount AS DOUBLE) AS amount
+        FROM amounts JOIN taken USING (step)""",
     "ingest_report": f"""WITH {_FILES}, {_CUSTOMER_PLAYS}, {_SEARCHES},
         played AS (SELECT profile, count(*) AS n FROM plays GROUP BY profile),
         searched AS (SELECT profile, count(*) AS n FROM searches GROUP BY profile),

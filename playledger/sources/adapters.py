@@ -362,6 +362,68 @@ def word_docs(spark: SparkSession, sf_dir: str, file_name: str) -> DataFrame:
     )
 
 
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Export files ``profile, region, file_name, value, later`` of every nation and every
+    thousand events; ``later`` has the plays twice as long.
+
+    A nation has a file of plays and one of playlists for each thousand orders, so no file
+    grows with the tables; its account; and a file that can't be read."""
+    per_file = 1000
+    nation = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    owner = [F.concat(F.lit("n"), F.col("n_nationkey")).alias("profile"), F.col("r_name").alias("region")]
+    orders = (
+        table(spark, sf_dir, "orders")
+        .join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+        .join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(*owner, "o_orderkey", F.expr(f"o_orderkey div {per_file}").alias("block"))
+    )
+    cols = dict(zip(("track", "artist", "album", "year", "ms", "ts", "skipped"), _play_columns()))
+    sold = _sold(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+
+    def record(factor: int) -> Column:
+        return _json(
+            ts=F.substring(cols["ts"], 1, 10), ms_played=cols["ms"] * factor,
+            master_metadata_track_name=cols["track"],
+            master_metadata_album_artist_name=cols["artist"],
+            master_metadata_album_album_name=cols["album"], skipped=cols["skipped"],
+        )
+
+    def listed(records: Column) -> Column:
+        return F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(records)), ","), F.lit("]"))
+
+    keys = ("profile", "region", "block")
+    played = sold.groupBy(*keys).agg(listed(record(1)).alias("value"), listed(record(2)).alias("later")).select(
+        "profile", "region",
+        F.concat(F.lit("Streaming_History_Audio_"), "block", F.lit(".json")).alias("file_name"),
+        "value", "later")
+    song = F.struct(F.struct(
+        F.col("p_name").alias("trackName"), F.col("s_name").alias("artistName")).alias("track"))
+    lists = sold.groupBy(*keys, "o_orderkey").agg(_json(
+        name=F.concat(F.lit("O"), F.col("o_orderkey")), items=F.array_sort(F.collect_list(song))).alias("list"))
+    shared = lists.groupBy(*keys).agg(
+        F.concat(F.lit('{"playlists":'), listed(F.col("list")), F.lit("}")).alias("value")).select(
+        "profile", "region", F.concat(F.lit("Playlist"), "block", F.lit(".json")).alias("file_name"), "value")
+    account = nation.select(
+        *owner, F.lit("Userdata.json").alias("file_name"), _json(country=F.col("n_name")).alias("value"))
+    broken = nation.select(
+        *owner, F.lit("Follow.json").alias("file_name"), F.concat(F.lit("{"), "n_name").alias("value"))
+    search = _json(
+        searchTime=F.col("ts").cast("string"), platform=F.col("event_type"), searchQuery=F.col("props"),
+        searchInteractionURIs=F.when(F.col("value") > 10, F.array(F.col("event_type"))).otherwise(
+            F.array().cast("array<string>")),
+    )
+    searched = (
+        table(spark, sf_dir, "events").groupBy(F.expr(f"event_id div {per_file}").alias("block"))
+        .agg(listed(search).alias("value"))
+        .select(
+            F.concat(F.lit("e"), "block").alias("profile"), F.lit(None).cast("string").alias("region"),
+            F.lit("SearchQueries.json").alias("file_name"), "value")
+    )
+    others = shared.unionByName(account).unionByName(broken).unionByName(searched)
+    return played.unionByName(others.withColumn("later", F.col("value")))
+
+
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as a file listing of one profile per customer."""
     # One file name for each pair of priority and status.
