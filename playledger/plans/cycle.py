@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..sources import adapters as A
 from ..sources.exports import write_exports
-from ..sources.tables import read_table
+from ..sources.tables import current_runs, stored_rows
 from .ingest import ingest
 
 # What is added up of a table, beside its rows.
@@ -19,6 +19,8 @@ _AMOUNTS = {
     "plays": "msPlayed", "play_rollup": "msPlayed", "artist_days": "msPlayed",
     "searches": "CAST(hasInteractions AS INT)", "playlists": "trackCount", "manifest": "files",
 }
+# Rows of plays without a place stand for files that could not be read.
+_READ = {"plays": "pos IS NOT NULL"}
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -35,8 +37,9 @@ def stored_overview(spark: SparkSession, dst: str) -> DataFrame:
     The frame keeps reading the commit that was the last when it was made. A profile without
     rows in a table has no row here; an amount is 0 where a table has nothing to add up.
     """
+    runs = current_runs(spark, dst)
     found = [
-        read_table(spark, dst, name).groupBy("profile").agg(
+        stored_rows(spark, dst, name, runs).where(_READ.get(name, "true")).groupBy("profile").agg(
             F.count(F.lit(1)).alias("rows"),
             F.sum(F.expr(_AMOUNTS.get(name, "0"))).cast("double").alias("amount"),
         ).select(F.lit(name).alias("table_name"), "profile", "rows", "amount")

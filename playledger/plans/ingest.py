@@ -100,7 +100,12 @@ def ingest(
         "profile", F.col("source_file").alias("file_name"), F.lit("plays").alias("kind"))
     small = rejected_files(docs(*[k for k in C.KINDS if k not in ("plays", "catalogued")]))
     put(small.unionByName(unread.join(of_changed, "profile", "left_semi")), "rejected_files")
-    put(files.join(of_changed, "profile", "left_semi"), "files")
+    mine_listed = files.join(of_changed, "profile", "left_semi")
+    put(mine_listed, "files")
+    # Never forgotten, so that streamed rows of a file that is gone do not come back.
+    taken = mine_listed.where("kind = 'plays'").select("profile", "file_name")
+    known = stored_rows(spark, dst, "seen_files", old_runs)
+    write_table(taken.unionByName(known).distinct(), dst, "seen_files", run)
     put(current.join(of_changed, "profile", "left_semi"), "manifest")
     commit_runs(spark, dst, held | dict.fromkeys(touched, run), run)
     return size

@@ -362,6 +362,8 @@ ORACLE: dict[str, str] = {
             SELECT step, 'playlist_items', profile, sum(n), 0 FROM lists GROUP BY ALL UNION ALL
             SELECT step, unnest(['account', 'rejected_files']), profile, 1, 0 FROM present UNION ALL
             SELECT step, 'files', profile, count(*), 0 FROM files GROUP BY ALL UNION ALL
+            SELECT s.step, 'seen_files', f.profile, count(DISTINCT block), 0
+            FROM steps s JOIN files f ON f.step <= s.step AND kind = 'plays' GROUP BY ALL UNION ALL
             SELECT step, 'manifest', profile, 1, count(*) FROM files GROUP BY ALL),
         taken AS (SELECT step, CASE step
                 WHEN 1 THEN (SELECT count(DISTINCT profile) FROM files f WHERE f.step = 1)

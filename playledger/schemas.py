@@ -95,6 +95,10 @@ FILES = """
     modified TIMESTAMP
 """
 
+SEEN_FILES = """
+    profile STRING, file_name STRING
+"""
+
 REJECTED = """
     profile STRING, file_name STRING, kind STRING
 """
@@ -127,6 +131,7 @@ TABLES = {
     "payments": PAYMENTS,
     "files": FILES,
     "rejected_files": REJECTED,
+    "seen_files": SEEN_FILES,
     "manifest": MANIFEST,
 }
 

@@ -82,16 +82,38 @@ def stored_rows(
     return found.where(live).select(*schemas.columns(schema))
 
 
+def landed_plays(spark: SparkSession, dst: str, runs: dict[int, str]) -> DataFrame | None:
+    """Streamed plays of files that no ingest has taken up; None where nothing was streamed.
+
+    A file that an ingest has seen belongs to the ingest for good: its streamed rows stay out
+    also after it is changed or removed.
+    """
+    landed = _read(spark, f"{dst}/plays_landed", f"{schemas.PLAYS}, bucket INT")
+    if landed is None:
+        return None
+    seen = stored_rows(spark, dst, "seen_files", runs).withColumnRenamed("file_name", "source_file")
+    return landed.drop("bucket").join(seen, ["profile", "source_file"], "left_anti")
+
+
 def read_table(spark: SparkSession, dst: str, name: str) -> DataFrame:
     """A table's rows; an empty frame of the same schema when it does not exist.
 
-    Plays include those that a stream has landed beside the table."""
-    rows = stored_rows(spark, dst, name)
-    if name != "plays":
+    Plays include those that a stream has landed beside the table, and so do the two rollups:
+    they can hold a key twice then, stored and landed, which every report adds up. A file that
+    was both landed and ingested counts once, whichever came first.
+    """
+    from ..operators.loyalty import artist_days
+    from ..plans.rollup import play_rollup
+
+    runs = current_runs(spark, dst)
+    rows = stored_rows(spark, dst, name, runs)
+    if name == "plays":
+        rows = rows.where(F.col("pos").isNotNull())
+    folded = {"plays": lambda df: df, "play_rollup": play_rollup, "artist_days": artist_days}
+    landed = landed_plays(spark, dst, runs) if name in folded else None
+    if landed is None:
         return rows
-    rows = rows.where(F.col("pos").isNotNull())
-    landed = _read(spark, f"{dst}/plays_landed", f"{schemas.PLAYS}, bucket INT")
-    return rows if landed is None else rows.unionByName(landed.drop("bucket"))
+    return rows.unionByName(folded[name](landed).select(*rows.columns))
 
 
 def read_plays(spark: SparkSession, dst: str, src: str | None = None) -> DataFrame:
@@ -105,7 +127,7 @@ def read_plays(spark: SparkSession, dst: str, src: str | None = None) -> DataFra
 
 def read_dimensions(spark: SparkSession, dst: str) -> dict[str, DataFrame]:
     """Every table besides the plays and their rollups, by name; missing ones are empty."""
-    others = ("plays", "manifest", "play_rollup", "artist_days")
+    others = ("plays", "manifest", "seen_files", "play_rollup", "artist_days")
     return {name: read_table(spark, dst, name) for name in schemas.TABLES if name not in others}
 
 

@@ -21,7 +21,8 @@ def stream_plays(
 ) -> StreamingQuery:
     """Append the plays of every new streaming-history file to the tables under ``dst``.
 
-    They land beside the plays table, and ``read_plays`` reads both.
+    They land beside the plays table, and the plays and their rollups are read with both. A
+    file that an ingest takes up, before or after it landed, counts once.
 
     The file source and the Parquet sink track progress in the checkpoint, so each
     file counts exactly once across restarts. Files are expected to be added and

@@ -212,3 +212,56 @@ def test_stream_counts_each_file_once(spark, src, tmp_path):
     put(src, "bob", "StreamingHistory1.json", [{"trackName": "new", "msPlayed": 1}])
     assert run() == ["a", "b", "c", "new"]
     assert read_plays(spark, dst).where(F.col("profile") == "bob").count() == 1
+
+
+def test_streamed_and_ingested_files_count_once(spark, src, tmp_path):
+    dst, checkpoint = str(tmp_path / "both"), str(tmp_path / "checkpoint")
+
+    def stream():
+        stream_plays(spark, str(src), dst, checkpoint).awaitTermination(120)
+
+    def seen():
+        names = [r.trackName for r in read_plays(spark, dst).collect()]
+        rollup = read_table(spark, dst, "play_rollup")
+        for report in (P.top_tracks, P.quick_stats):
+            assert {tuple(r) for r in report(rollup).collect()} == {
+                tuple(r) for r in report(read_plays(spark, dst)).collect()}
+        days = read_table(spark, dst, "artist_days").agg(F.sum("plays")).first()[0] or 0
+        assert days == read_plays(spark, dst).where("artistName <> 'Unknown'").count()
+        return sorted(names)
+
+    P.ingest(spark, str(src), dst)
+    stream()
+    assert seen() == ["a", "b", "c"]
+    put(src, "bob", "StreamingHistory1.json", [{"trackName": "new", "artistName": "Band", "msPlayed": 60000}])
+    stream()
+    assert seen() == ["a", "b", "c", "new"]
+    stream()
+    assert seen() == ["a", "b", "c", "new"]
+    assert P.ingest(spark, str(src), dst) == 1
+    assert seen() == ["a", "b", "c", "new"]
+    # A file that is gone, and a whole profile, do not come back from the stream.
+    os.remove(src / "profile=bob" / "StreamingHistory1.json")
+    os.remove(src / "profile=007" / "StreamingHistory0.json")
+    assert P.ingest(spark, str(src), dst) == 2
+    assert seen() == ["a", "b"]
+
+
+def test_export_sink_writes_replaces_and_removes(spark, tmp_path):
+    from playledger.sources import write_exports
+
+    root = str(tmp_path / "exports")
+
+    def write(*rows):
+        write_exports(spark.createDataFrame(list(rows), "profile STRING, file_name STRING, value STRING"), root)
+        return {(r.profile, r.file_name, r.value) for r in documents(spark, root).collect()}
+
+    odd = "a/b=c %41 \u00fc"
+    assert write((odd, "Userdata.json", "{}"), ("p", "Follow.json", "\u00fc")) == {
+        (odd, "Userdata.json", "{}"), ("p", "Follow.json", "\u00fc")}
+    # The same rows again change nothing; another value replaces, no value removes.
+    assert len(write((odd, "Userdata.json", "{}"))) == 2
+    assert write((odd, "Userdata.json", "[1]"), ("p", "Follow.json", None), ("q", "Follow.json", None)) == {
+        (odd, "Userdata.json", "[1]")}
+    with pytest.raises(Exception, match="needs a profile"):
+        write((None, "Follow.json", "{}"))
