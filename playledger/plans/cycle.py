@@ -61,8 +61,12 @@ def ingest_cycle(spark: SparkSession, first: DataFrame, changes: DataFrame) -> D
         if files is not None:
             write_exports(files, src)
         changed = ingest(spark, src, dst)
-        seen.append(stored_overview(spark, dst).select(
-            F.lit(step).alias("step"), F.lit(changed).cast("bigint").alias("changed"), "*"))
+        # Written at once, so that the driver holds the plan of one overview and not of three.
+        overview = stored_overview(spark, dst).select(
+            F.lit(step).alias("step"), F.lit(changed).cast("bigint").alias("changed"), "*")
+        path = f"{base}/overview/{step}"
+        overview.write.parquet(path)
+        seen.append(spark.read.schema(overview.schema).parquet(path))
     return reduce(DataFrame.unionByName, seen)
 
 
