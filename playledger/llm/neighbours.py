@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -205,21 +206,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAM
     """The k nearest rows found of every query row, by largest inner product.
 
     `vectors` has vec_id and embedding. Rows with a null vec_id, and vectors that are null,
-    empty, zero or hold a null or non-finite number, take no part; vectors whose length is not
-    the most frequent one (the longer, if tied) take none either. Returns query_id, rank (from
-    1), vec_id, score; ties go to the smaller vec_id. Fewer other rows than k give fewer ranks.
-    Rows of a query's own vec_id are never its neighbours. Further columns are ignored. The
+    empty, zero or hold a null or non-finite number, take no part; vectors meet those of equal
+    length only, and every length has an index of its own. Returns query_id, rank (from 1),
+    vec_id, score; ties go to the smaller vec_id. Fewer other rows than k give fewer ranks.
+    Rows of a query's own vec_id are never its neighbours. Further columns are ignored. An
     index is fitted on at most `sample` distinct vectors and holds all of them.
     """
     spark = vectors.sparkSession
     valid = vectors.select(
         F.col("vec_id").cast("bigint").alias("vec_id"), usable("embedding").alias("vector"),
         is_query.alias("_asked")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull())
-    width = valid.groupBy(F.size("vector").alias("w")).agg(F.count("*").alias("n")).orderBy(
-        F.desc("n"), F.desc("w")).first()
-    if width is None:
+    # One row for each length, of which a table of embeddings has few.
+    lengths = sorted(r[0] for r in valid.select(F.size("vector")).distinct().collect())
+    if not lengths:
         return spark.createDataFrame([], "query_id BIGINT, rank INT, vec_id BIGINT, score DOUBLE")
-    valid = valid.where(F.size("vector") == width["w"])
+    found = [_nearest_of_length(valid.where(F.size("vector") == n), k, sample) for n in lengths]
+    if len(found) == 1:
+        return found[0]
+    # An id with vectors of several lengths has neighbours of each.
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(
+        F.col("rank") <= k)
+
+
+def _nearest_of_length(valid: DataFrame, k: int, sample: int) -> DataFrame:
+    """`nearest` for vectors of one length; `valid` has vec_id, vector and _asked."""
     candidates = stored(distinct_vectors(valid.drop("_asked"), k + 1))
     squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     rows, most = candidates.agg(F.count("*"), F.max(squares)).first()
