@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import drop_stored, stored
 
-#: Rounds at most; they end when no move is granted.
-ROUNDS = 12
+#: Rounds go on as long as each joins this share of the cuts that can be joined, or one at least.
+PROGRESS = 0.01
 #: Rows of one bucket of a rank, about.
 BUCKET = 4096
 
@@ -76,21 +76,30 @@ def _wishes(state: DataFrame, linked: DataFrame, share: int, room: dict[int, int
         "row", F.col("best.group").alias("group"), "shard", F.col("best.wish").alias("wish"))
 
 
-def balanced_shards(rows: DataFrame, members: DataFrame, shards: int = 16,
-                    rounds: int = ROUNDS) -> DataFrame:
+def _cuts(linked: DataFrame, state: DataFrame, share: int) -> int:
+    """How many more shards groups lie in than their sizes need."""
+    parts = linked.join(state, "row").select("group", "shard", "size").distinct()
+    spare = parts.groupBy("group").agg(
+        (F.count("*") - F.ceil(F.first("size") / F.lit(share))).alias("_spare"))
+    return spare.agg(F.coalesce(F.sum("_spare"), F.lit(0))).first()[0]
+
+
+def balanced_shards(rows: DataFrame, members: DataFrame, shards: int = 16) -> DataFrame:
     """(row, shard, slot) for every row: sizes at most one apart, few links cut.
 
     `rows` has a unique row; `members` has row and group (a row may be in many groups or none;
     nulls are ignored). An empty table gives no rows. Groups above a shard's share are spread
-    over as few shards as the shares allow.
+    over as few shards as the shares allow. Rounds end when no move is granted or a round has
+    joined too few cuts; one that joins none is undone, so they end for any links.
     """
     groups = members.where(F.col("group").isNotNull() & F.col("row").isNotNull()).distinct()
     sizes = groups.groupBy("group").agg(F.count("*").alias("_size")).where("_size > 1")
     linked = stored(groups.join(sizes, "group").select("row", "group", F.col("_size").alias("size")))
     state = stored(rows.select("row", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard")))
     total = state.count()
-    share = -(-total // shards)
-    for _ in range(rounds):
+    share = max(1, -(-total // shards))
+    cuts = _cuts(linked, state, share)
+    while cuts > 0:
         held = linked.select("row").distinct().join(state, "row").groupBy("shard").count()
         room = dict.fromkeys(range(shards), share) | {r["shard"]: share - r["count"] for r in held.collect()}
         wishes = stored(_wishes(state, linked, share, {s: n for s, n in room.items() if n > 0}))
@@ -106,8 +115,14 @@ def balanced_shards(rows: DataFrame, members: DataFrame, shards: int = 16,
         )
         after = stored(state.join(moved, "row", "left").select(
             "row", F.coalesce("wish", "shard").alias("shard")))
+        left = _cuts(linked, after, share)
+        if left >= cuts:
+            drop_stored(after)
+            break
         drop_stored(state)
-        state = after
+        state, joined, cuts = after, cuts - left, left
+        if joined < PROGRESS * cuts:
+            break
     return _evened(state, linked, shards, total)
 
 
@@ -169,7 +184,7 @@ def _evened(state: DataFrame, linked: DataFrame, shards: int, total: int) -> Dat
     return staying.unionByName(placed)
 
 
-def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:
     """Documents in shards with even row counts, equal texts together where a share allows.
 
     Returns one row for each row of `docs`: doc_id, size (UTF-8 bytes and 1; a null text has
@@ -183,7 +198,7 @@ def shard_documents(docs: DataFrame, shards: int = 16, rounds: int = ROUNDS) ->
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.when(F.col("text").isNotNull(), F.md5(text.cast("binary"))).alias("group"),
     ).withColumn("row", F.monotonically_increasing_id()))
-    found = balanced_shards(rows.select("row"), rows.select("row", "group"), shards, rounds)
+    found = balanced_shards(rows.select("row"), rows.select("row", "group"), shards)
     return rows.drop("group").join(found, "row").select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",
         F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
