@@ -33,8 +33,6 @@ CUT = 0.3
 TEXTS, LEAST_RATIO = 4, 0.5
 #: Lengths of stems.
 STEMS = (4, 5, 6, 7)
-#: A lexicon has no more words than this (the strongest stay).
-WORDS = 2000
 
 # Letters of other alphabets and signs that look like Latin letters.
 _ALIKE = {
@@ -212,10 +210,14 @@ def _phrases(found: set[str]):
 
 def _specific(strong: list[tuple[str, int, float]]) -> dict[str, float]:
     """Weights of words, and of stems that are more than one word's beginning."""
-    words_of = [(w, n) for w, n, _ in strong if not w.endswith("*")]
+    most: dict[str, int] = {}
+    for w, n, _ in strong:
+        if not w.endswith("*"):
+            for beginning in {w[:length] for length in STEMS}:
+                most[beginning] = max(n, most.get(beginning, 0))
     return {
         w: ratio for w, n, ratio in strong
-        if not w.endswith("*") or not any(x.startswith(w[:-1]) and m >= 0.7 * n for x, m in words_of)
+        if not w.endswith("*") or most.get(w[:-1], 0) < 0.7 * n
     }
 
 
@@ -232,7 +234,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PE
     if not sums["toxic"] or not sums["clean"]:
         return Lexicon({})
     form = "word STRING, label INT, n BIGINT"
-    # Counts of both classes meet in Spark, and only entries that are strong enough leave it.
+    # Counts of both classes meet in Spark, and only entries that are strong enough leave it:
+    # no more than the sample has words and stems.
     counts = rows.repartition("text_group").mapInPandas(_counted(), form).groupBy("word").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
         F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
@@ -241,7 +244,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column, per_class: int = PE
     passing = (
         counts.where((F.col("toxic") >= TEXTS) & (F.length("word") > 2))
         .withColumn("ratio", F.log(shares[0]) - F.log(shares[1])).where(F.col("ratio") - 2 * error >= LEAST_RATIO)
-        .orderBy(F.desc("ratio"), "word").limit(WORDS)
+        .orderBy(F.desc("ratio"), "word")
     )
     strong = [(r["word"], int(r["toxic"]), float(r["ratio"])) for r in passing.collect()]
     found = _specific(strong)
