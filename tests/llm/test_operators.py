@@ -247,6 +247,22 @@ def test_neighbours_recall_and_scores(spark):
     assert hits / sum(map(len, expected.values())) >= 0.9
 
 
+def test_neighbours_of_every_length(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=2 + (i % 5 == 0)).tolist()) for i in range(60)] + [(20, [0.5, 0.25]), (100, [1.0] * 4)]
+    frame = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>")
+    expected = {}
+    for q, v in rows:
+        if q % 20 == 0:
+            expected.setdefault(q, []).extend(
+                (-float(np.dot(v, w)), i) for i, w in rows if i != q and len(w) == len(v))
+    found = ranked(neighbours.nearest(frame, F.col("vec_id") % 20 == 0, 8).collect())
+    assert set(found) == {0, 20, 40}
+    for q, near in found.items():
+        assert [i for i, _ in near] == [i for _, i in sorted(expected[q])[:8]]
+        assert [s for _, s in near] == pytest.approx([-s for s, _ in sorted(expected[q])[:8]])
+
+
 def test_neighbours_of_few_rows(spark):
     def run(rows):
         frame = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<FLOAT>")
@@ -313,8 +329,7 @@ def test_toxicity_is_learned_and_folded(spark, documents):
     assert toxicity.scored(documents([]), lexicon).count() == 0
 
 
-def test_rare_toxic_words_and_exceptions_are_not_cut_by_frequency(spark, documents, monkeypatch):
-    monkeypatch.setattr(toxicity, "WORDS", 20)
+def test_rare_toxic_words_and_exceptions_are_not_cut_by_frequency(spark, documents):
     rng = random.Random(9)
     rows, labels = [], []
     for i in range(500):
@@ -329,7 +344,20 @@ def test_rare_toxic_words_and_exceptions_are_not_cut_by_frequency(spark, documen
     lexicon = toxicity.learn(documents(rows), known, F.lit(True))
     assert {toxicity.folded("grobian"), toxicity.folded("schurke")} <= set(lexicon.weights)
     # Some digits fold to one letter, and texts that count as near copies take a few phrases along.
-    assert len(lexicon.exceptions) > 10 * toxicity.WORDS
+    assert len(lexicon.exceptions) > 200
+
+
+def test_lexicon_has_every_strong_word(spark, documents):
+    rng = random.Random(19)
+    rare = ["".join(rng.choice("abcdefghijkmnopqrstuvwxyz") for _ in range(9)) for _ in range(3000)]
+    texts = [words(rng, 200, 600).split() for _ in range(500)]
+    for i, w in enumerate(rare):
+        for j in rng.sample(range(100), 10):
+            texts[j].append(w)
+    frame = documents([(i, " ".join(t)) for i, t in enumerate(texts)])
+    known = spark.createDataFrame([(i, 1, int(i < 100)) for i in range(500)], "doc_id BIGINT, quality INT, toxic INT")
+    lexicon = toxicity.learn(frame, known, F.lit(True))
+    assert sum(toxicity.folded(w) in lexicon.weights for w in rare) > 2900
 
 
 def test_quality_ranks_by_preference(spark, documents):
