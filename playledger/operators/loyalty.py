@@ -61,6 +61,11 @@ def artist_loyalty(
             .withColumn("unique_days", F.col("play_count") * C.DAYS_PER_PLAY)
             .withColumn("span_days", F.lit(C.SPAN_WITHOUT_DATES))
         )
+    return top_loyal(artists, min_minutes, k, by)
+
+
+def top_loyal(artists: DataFrame, min_minutes: float, k: int, by: Sequence[str]) -> DataFrame:
+    """The most-played artists with their scores, from days and spans of each."""
     top = top_k(
         artists.where(F.col("totalMinutes") >= min_minutes), k, "totalMinutes", ["artistName"], by
     )
