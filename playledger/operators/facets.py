@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from .sizing import rows_up_to
 from .topk import top_k
 
 PROFILE = ("profile",)
@@ -30,6 +29,37 @@ def facets(plays: DataFrame, by: Sequence[str] = PROFILE) -> DataFrame:
     )
 
 
+def facet_counts(plays: DataFrame, by: Sequence[str] = PROFILE) -> DataFrame:
+    """Facet values with the number of plays that have them: ``facet, value, n``."""
+    pairs = [
+        F.struct(F.lit(name).alias("facet"), F.col(column).cast("string").alias("value"))
+        for name, column in FACETS.items()
+    ]
+    weight = [F.col("plays")] if "plays" in plays.columns else [F.lit(1).cast("bigint").alias("plays")]
+    return (
+        plays.select(*by, *weight, F.inline(F.array(*pairs)))
+        .where(F.col("value").isNotNull())
+        .groupBy(*by, "facet", "value").agg(F.sum("plays").alias("n"))
+    )
+
+
+def changed_facet_counts(
+    counts: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None,
+    by: Sequence[str] = PROFILE,
+) -> DataFrame:
+    """Counts after plays were added and removed; a value that no play has any more goes.
+
+    Only the changed plays are read. ``added`` and ``removed`` are plays or rollups, and
+    ``removed`` holds rows that were counted before.
+    """
+    every = counts.select(*by, "facet", "value", "n")
+    if added is not None:
+        every = every.unionByName(facet_counts(added, by))
+    if removed is not None:
+        every = every.unionByName(facet_counts(removed, by).withColumn("n", -F.col("n")))
+    return every.groupBy(*by, "facet", "value").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
+
+
 def _matches(term: str):
     return F.contains(F.lower(F.trim("value")), F.lower(F.trim(F.lit(term))))
 
@@ -65,9 +95,10 @@ def suggest_options(
 
 
 def selection_frame(options: DataFrame, selection: Mapping[str, Sequence]) -> DataFrame:
-    """A selection as rows ``facet, value``."""
-    rows = [(f, str(v)) for f, values in selection.items() for v in values]
-    return options.sparkSession.createDataFrame(rows, "facet STRING, value STRING").distinct()
+    """A selection as rows ``facet, value``; broadcast where its length allows."""
+    rows = sorted({(f, str(v)) for f, values in selection.items() for v in values})
+    frame = options.sparkSession.createDataFrame(rows, "facet STRING, value STRING")
+    return F.broadcast(frame) if len(rows) <= C.BROADCAST_ROWS else frame
 
 
 def prune_selection(
@@ -79,7 +110,4 @@ def prune_selection(
     distinct, so the join keeps each pair once.
     """
     keys = [c for c in (*by, "facet", "value") if c in selection.columns]
-    wanted = selection.select(*keys).distinct()
-    if rows_up_to(wanted) <= C.BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    return options.join(wanted, keys, "left_semi").select(*by, "facet", "value")
+    return options.join(selection.select(*keys), keys, "left_semi").select(*by, "facet", "value")
