@@ -132,19 +132,26 @@ def read_dimensions(spark: SparkSession, dst: str) -> dict[str, DataFrame]:
 
 
 def remove_old_runs(spark: SparkSession, dst: str) -> int:
-    """Delete the folders of buckets that no reader of the last commit needs; their number.
+    """Delete the folders that no reader of the last commit needs; the number of buckets' folders.
 
-    Only for times when no other run or older reader is at work."""
+    Working copies of runs and all commits but the last go, too. Only for times when no other
+    run or older reader is at work."""
     runs = current_runs(spark, dst)
     if not runs:
         return 0
     path = spark._jvm.org.apache.hadoop.fs.Path
     files = path(dst).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def folders(pattern: str) -> list:
+        return [found.getPath() for found in files.globStatus(path(f"{dst}/{pattern}")) or []]
+
     gone = 0
     for name in schemas.TABLES:
-        for folder in files.globStatus(path(f"{dst}/{name}/run=*/bucket=*")) or []:
-            own = folder.getPath()
+        for own in folders(f"{name}/run=*/bucket=*"):
             bucket = int(own.getName().split("=")[1])
             if runs.get(bucket) != own.getParent().getName().split("=", 1)[1]:
                 gone += bool(files.delete(own, True))
+    # Names start with the time of the run, so the last commit is the largest.
+    for own in [*sorted(folders("commits/commit=*"), key=lambda p: p.getName())[:-1], *folders("work/*")]:
+        files.delete(own, True)
     return gone

@@ -103,6 +103,7 @@ def test_build_then_change_then_remove(spark, src, tmp_path):
     assert P.ingest(spark, str(src), str(dst), force=True) == 2
     assert tracks(spark, dst) == [("ann", "a"), ("ann", "b")]
     assert remove_old_runs(spark, str(dst)) > 0
+    assert os.listdir(dst / "work") == [] and len(list((dst / "commits").glob("commit=*"))) == 1
     assert tracks(spark, dst) == [("ann", "a"), ("ann", "b")]
 
 
