@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import first_available, first_timestamp, half_even, safe_numeric, whole
-from ..functions.values import safe_number
+from ..functions.values import cut, safe_number
+from ..operators import daybits, leaders, loyalty, normalize, option_index, sketches, stats, summaries, trends
 from ..operators import facets as facet_ops
-from ..operators import leaders, loyalty, normalize, stats, summaries, trends
 from ..operators import playlists as playlist_ops
 from ..operators.filters import Selection, apply_filters
 from ..sources import adapters as A
 from ..sources.files import file_kind, fingerprints, list_profiles, rejected_files
-from .cycle import ingest_twice
+from .cycle import ingest_twice, work_folder
 from .ingest import changed_profiles
 from .insights import ingest_report, insights_summary
 from .rollup import play_rollup
@@ -110,6 +110,46 @@ def loyalty_from_days(spark: SparkSession, sf: str) -> DataFrame:
     return loyalty.artist_loyalty(loyalty.artist_days(A.plays(spark, sf)))
 
 
+def loyalty_from_bits(spark: SparkSession, sf: str) -> DataFrame:
+    """Bits of two halves of the plays that share days, as two runs would store them."""
+    plays = A.plays(spark, sf)
+    even = F.pmod(F.xxhash64("trackName", "ts", "msPlayed"), F.lit(2)) == 0
+    runs = [daybits.artist_day_bits(plays.where(half)) for half in (even, ~even)]
+    return daybits.loyalty_from_bits(runs[0].unionByName(runs[1]))
+
+
+def quick_stats_estimated(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact counts, and whether those of merged yearly sketches are within five standard errors."""
+    roll = play_rollup(A.plays(spark, sf))
+    exact, guess = stats.quick_stats(roll), sketches.quick_stats_estimated(sketches.stat_sketches(roll))
+    names = ("artists", "albums", "tracks")
+    near = [
+        (F.abs(F.col(f"g.{n}") - F.col(f"e.{n}")) <= 5 * sketches.STANDARD_ERROR * F.col(f"e.{n}") + 1)
+        .alias(f"{n}_near") for n in names
+    ]
+    return exact.alias("e").join(guess.alias("g"), "profile").select(
+        "profile", "g.records", "g.years", "g.totalHours", *[f"e.{n}" for n in names], *near)
+
+
+def facets_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Counted facets of all plays, after one year's plays went and all events came."""
+    plays = A.plays(spark, sf)
+    counts = facet_ops.changed_facet_counts(
+        facet_ops.facet_counts(plays), A.event_plays(spark, sf), plays.where("year = 1996"))
+    return counts.select("profile", "facet", "value", "n")
+
+
+def option_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    path = work_folder(spark)
+    option_index.write_option_index(facet_ops.facets(A.plays(spark, sf)), path)
+    return option_index.search_index(spark, path, "song", " WIDGET ")
+
+
+def names_shown(spark: SparkSession, sf: str) -> DataFrame:
+    """Names are stored whole; a report cuts what it shows."""
+    return A.table(spark, sf, "documents").select("doc_id", cut("text", C.NAME_CHARS).alias("name"))
+
+
 def quick_stats_display(spark: SparkSession, sf: str) -> DataFrame:
     return stats.quick_stats_display(stats.quick_stats(A.plays(spark, sf)))
 
@@ -316,6 +356,7 @@ QUERIES: dict[str, Query] = {
     "quick_stats": _on_plays(stats.quick_stats),
     "quick_stats_display": quick_stats_display,
     "quick_stats_from_rollup": quick_stats_from_rollup,
+    "quick_stats_estimated": quick_stats_estimated,
     "play_rollup": play_rollup_query,
     "top3_artists": _on_plays(leaders.top_artists, k=C.FAVOURITES),
     "top3_albums": _on_plays(leaders.top_albums, k=C.FAVOURITES),
@@ -337,6 +378,7 @@ QUERIES: dict[str, Query] = {
     "first_timestamp": first_time,
     "artist_loyalty": _on_plays(loyalty.artist_loyalty),
     "artist_loyalty_from_days": loyalty_from_days,
+    "artist_loyalty_from_bits": loyalty_from_bits,
     "loyalty_no_ts": loyalty_no_ts,
     "most_loyal": most_loyal,
     "filter_all": _filtered(SELECTION),
@@ -345,9 +387,12 @@ QUERIES: dict[str, Query] = {
     "filter_nothing_left": filter_nothing_left,
     "filter_overall": filter_overall,
     "facets": _on_plays(facet_ops.facets),
+    "facets_after_changes": facets_after_changes,
     "available_years": _on_plays(stats.available_years),
     "year_span": _on_plays(stats.year_span),
     "option_search": option_search,
+    "option_search_indexed": option_search_indexed,
+    "names_shown": names_shown,
     "option_preview": option_preview,
     "option_suggest": option_suggest,
     "prune_selection": prune_selection,

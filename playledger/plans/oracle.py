@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .. import constants as C
 from .catalog import FIRST_ARTISTS, MANY_ARTISTS, SELECTION
 
 _SOLD = """lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey"""
@@ -181,6 +182,9 @@ ORACLE: dict[str, str] = {
     "quick_stats": _stats("sum(msPlayed) / 3600000"),
     "quick_stats_display": _stats("round_even(sum(msPlayed) / 3600000, 1)"),
     "quick_stats_from_rollup": _stats("sum(msPlayed) / 3600000"),
+    "quick_stats_estimated": f"""WITH exact AS ({_stats("sum(msPlayed) / 3600000")})
+        SELECT profile, records, years, totalHours, artists, albums, tracks,
+            true AS artists_near, true AS albums_near, true AS tracks_near FROM exact""",
     "play_rollup": f"""WITH {_PLAYS} SELECT profile, year, substr(ts, 1, 7) AS year_month,
         artistName, albumName, trackName, sum(msPlayed) AS msPlayed, count(*) AS plays
         FROM plays GROUP BY ALL""",
@@ -209,6 +213,7 @@ ORACLE: dict[str, str] = {
         count(*) AS n FROM event_plays GROUP BY ALL""",
     "artist_loyalty": f"{_LOYALTY} SELECT * FROM scored",
     "artist_loyalty_from_days": f"{_LOYALTY} SELECT * FROM scored",
+    "artist_loyalty_from_bits": f"{_LOYALTY} SELECT * FROM scored",
     "loyalty_no_ts": f"""WITH {_PLAYS}, artists AS (
             SELECT profile, artistName, sum(msPlayed) / 60000 AS totalMinutes,
                 count(*) AS play_count
@@ -240,11 +245,22 @@ ORACLE: dict[str, str] = {
     "filter_overall": f"""WITH {_PLAYS} SELECT profile, {_COUNTS} FROM plays WHERE year = 1996
         GROUP BY profile""",
     "facets": f"WITH {_OPTIONS} SELECT profile, facet, value FROM options",
+    "facets_after_changes": f"""WITH {_PLAYS}, {_EVENT_PLAYS}, every AS (
+            SELECT profile, year, artistName, albumName, trackName FROM plays WHERE year <> 1996
+            UNION ALL SELECT profile, year, artistName, albumName, trackName FROM event_plays),
+        pairs AS (SELECT profile, 'year' AS facet, CAST(year AS VARCHAR) AS value FROM every
+            UNION ALL SELECT profile, 'artist', artistName FROM every
+            UNION ALL SELECT profile, 'album', albumName FROM every
+            UNION ALL SELECT profile, 'song', trackName FROM every)
+        SELECT profile, facet, value, count(*) AS n FROM pairs WHERE value IS NOT NULL GROUP BY ALL""",
     "available_years": f"WITH {_PLAYS} SELECT DISTINCT profile, year FROM plays",
     "year_span": f"""WITH {_PLAYS} SELECT profile, max(year) - min(year) + 1 AS years_span
         FROM plays GROUP BY profile""",
     "option_search": f"""WITH {_OPTIONS} SELECT profile, value FROM options
         WHERE facet = 'song' AND contains(lower(trim(value)), 'widget')""",
+    "option_search_indexed": f"""WITH {_OPTIONS} SELECT profile, value FROM options
+        WHERE facet = 'song' AND contains(lower(trim(value)), 'widget')""",
+    "names_shown": f"SELECT doc_id, substr(text, 1, {C.NAME_CHARS}) AS name FROM documents",
     "option_preview": f"""WITH {_OPTIONS}, ranked AS (SELECT profile, value,
             row_number() OVER (PARTITION BY profile ORDER BY value) AS rn
             FROM options WHERE facet = 'artist')
