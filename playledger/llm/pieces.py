@@ -27,7 +27,7 @@ from .merging import PairTable, merge_words
 MARK = "▁"
 _RUN = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Distinct runs that one Python worker remembers, and as many older ones.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 #: Longer runs are encoded one by one.
 LONG = 40
 #: Texts, and their characters, whose new runs are encoded together.
@@ -119,14 +119,20 @@ class Pieces:
         return [own] if own is not None else [self.bytes[b] for b in symbol.encode()]
 
     def merge(self, runs: list[str]) -> list[list[int]]:
-        """Ids of each run. Short runs share one agenda in arrays, long ones have heaps."""
+        """Ids of each run."""
+        return self._merged(runs)[0]
+
+    def _merged(self, runs: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """Ids of each run, and whether they may hold bytes. Short runs share one agenda in
+        arrays, long ones have heaps."""
         out: list[list[int]] = [[]] * len(runs)
+        spelled = [True] * len(runs)
         short = [i for i, r in enumerate(runs) if len(r) <= LONG]
         for i, run in enumerate(runs):
             if len(run) > LONG:
                 out[i] = self._long(run)
         if not short:
-            return out
+            return out, spelled
         text = "".join([runs[i] for i in short])
         codes = self.symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         flat, lengths = merge_words(codes, [len(runs[i]) for i in short], self.pairs)
@@ -135,25 +141,24 @@ class Pieces:
         for i, n, other in zip(short, lengths.tolist(), foreign):
             own = ids[at:at + n]
             out[i] = [x for s in own for x in self._spelled(s)] if other else own
+            spelled[i] = other
             at += n
-        return out
+        return out, spelled
 
     def _learn(self, runs: set[str]) -> None:
         """Remember these runs; the older half of what is known goes first."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        unknown = []
-        for run in runs:
-            if run not in known:
-                own = older.get(run)
-                if own is None:
-                    unknown.append(run)
-                else:
-                    known[run] = own
+        new = runs - known.keys()
+        met = new & older.keys()
+        known.update((run, older[run]) for run in met)
+        unknown = list(new - met)
         decimal = self.decimal
-        for run, ids in zip(unknown, self.merge(unknown)):
-            known[run] = ",".join([decimal[x] for x in ids]), self._text(ids)
+        for run, ids, spelled in zip(unknown, *self._merged(unknown)):
+            # Pieces that are no bytes add up to their run.
+            text = self._text(ids) if spelled else run.replace(MARK, " ")
+            known[run] = ",".join([decimal[x] for x in ids]), text
 
     def _text(self, ids: list[int]) -> str:
         try:
