@@ -173,28 +173,29 @@ def playlists(docs: DataFrame, strict_none: bool = False) -> DataFrame:
 
 def playlist_items(docs: DataFrame) -> DataFrame:
     """One row per usable song of every playlist; a bad item is dropped alone."""
-    p, song = F.col("p"), F.col("_song")
-    # The name is taken before the explode, so that no song row carries the playlist.
+    p = F.col("p")
+    # The name is taken before the explode, so that no song row carries the playlist, and the
+    # songs by one typed cast of the list.
+    songs = F.try_variant_get(
+        p["items"], "$", "array<struct<track: struct<trackName: string, artistName: string>>>")
     named = _playlists(docs.where(F.col("file_name").contains("Playlist"))).select(
         "profile",
         J.text_or(p["name"], C.UNKNOWN, C.UNKNOWN).alias("playlistName"),
-        J.items(p["items"]).alias("_items"),
-    )
-    songs = J.once(
-        named.select("profile", "playlistName", F.explode_outer("_items").alias("_item")),
-        _song=F.try_variant_get(
-            "_item", "$.track", "struct<trackName: variant, artistName: variant>"
-        ),
-    )
-    titled = J.once(
-        songs,
-        trackName=_stripped(J.text(song["trackName"])),
-        artistName=_stripped(J.text(song["artistName"])),
+        songs["track"].alias("_songs"),
     )
+    names = named.select("profile", "playlistName", F.inline("_songs").alias("_track", "_artist"))
+    titled = J.once(names, trackName=_stripped(F.col("_track")), artistName=_stripped(F.col("_artist")))
     usable = V.known("trackName", "artistName", unknown=C.UNKNOWN_ITEM_NAMES)
     return titled.where(usable).select(*schemas.columns(schemas.PLAYLIST_ITEMS))
 
 
+# The characters of Unicode's property White_Space.
+_WHITE = (
+    "\t\n\v\f\r \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def _stripped(name: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(name, r"(?U)^\s+|\s+$", "")
+    return F.trim(name, F.lit(_WHITE))
