@@ -37,6 +37,15 @@ def _on_plays(report: Callable[..., DataFrame], **options) -> Query:
     return lambda spark, sf: report(A.plays(spark, sf), **options)
 
 
+def _member(column: str, key: str) -> Column:
+    """The texts under a key of a list of JSON texts, read as one document."""
+    whole = F.concat(F.lit("["), F.array_join(column, ","), F.lit("]"))
+    read = F.from_json(whole, f"array<struct<`{key}`: string>>")[key]
+    # A list with anything but objects is read one by one.
+    return F.array_join(F.coalesce(
+        read, F.transform(column, lambda p: F.get_json_object(p, f"$.{key}"))), "|")
+
+
 def _joined(column: str) -> Column:
     return F.array_join(column, "|").alias(column)
 
@@ -265,22 +274,20 @@ def prompts_summary(spark: SparkSession, sf: str) -> DataFrame:
     text = lambda column: F.array_join(
         F.transform(column, lambda p: F.get_json_object(p, "$.text")), "|")
     return prompts.select(
-        "profile", "total_prompts", _joined("prompt_types"), text("prompts").alias("prompts"),
+        "profile", "total_prompts", _joined("prompt_types"), _member("prompts", "text").alias("prompts"),
         text(summaries.first_prompts()).alias("recent_prompts"),
     )
 
 
 def podcast_summary(spark: SparkSession, sf: str) -> DataFrame:
     polls = summaries.podcasts(A.word_docs(spark, sf, "PodcastInteractivityVotedPollOption.json"))
-    shows = F.transform("poll_votes", lambda p: F.get_json_object(p, "$.showName"))
-    return polls.withColumn("poll_votes", F.array_join(shows, "|"))
+    return polls.withColumn("poll_votes", _member("poll_votes", "showName"))
 
 
 def address_summary(spark: SparkSession, sf: str) -> DataFrame:
     found = summaries.addresses(A.word_docs(spark, sf, "UserAddress.json"))
-    own = F.transform("addresses", lambda p: F.get_json_object(p, "$.country"))
     return found.select(
-        "profile", F.array_join(own, "|").alias("addresses"), "address_count", _joined("countries")
+        "profile", _member("addresses", "country").alias("addresses"), "address_count", _joined("countries")
     )
 
 
@@ -305,7 +312,7 @@ def payments_recent(spark: SparkSession, sf: str) -> DataFrame:
     notes = lambda column: F.array_join(
         F.transform(column, lambda p: F.get_json_object(p, "$.note")), "|")
     return found.select(
-        "profile", "total_payments", _joined("payment_methods"), notes("payments").alias("payments"),
+        "profile", "total_payments", _joined("payment_methods"), _member("payments", "note").alias("payments"),
         notes(summaries.last_payments()).alias("recent_payments"),
     )
 

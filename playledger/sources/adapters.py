@@ -112,6 +112,11 @@ def playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- export files written out of table rows ---------------------------------
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt out before the parsing: a table of one row group is one task's read."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def _json(**fields: Column) -> Column:
     """One JSON object; NULL fields are written as null."""
     struct = F.struct(*[c.alias(n) for n, c in fields.items()])
@@ -165,10 +170,8 @@ def play_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         trackName=cols["track"], ms_played=F.lit(0),
         msPlayed=F.col("l_quantity").cast("int").cast("string"),
     )
-    # A table of one row group is one task's read: its rows are dealt out before the parsing.
-    rows = _sold(spark, sf_dir).repartition(4 * spark.sparkContext.defaultParallelism)
     return _docs(
-        rows, F.col("l_linestatus"),
+        _dealt(_sold(spark, sf_dir)), F.col("l_linestatus"),
         F.concat(F.lit("Streaming_History_Audio_"), F.col("l_orderkey"), F.lit(".json")),
         F.concat(
             F.lit("["), extended,
@@ -234,7 +237,7 @@ def playlist_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(',{"items":[{"track":null}]},{"name":"empty","items":[]},3]}'),
     )
     return _docs(
-        table(spark, sf_dir, "documents"), F.col("lang"),
+        _dealt(table(spark, sf_dir, "documents")), F.col("lang"),
         F.concat(F.lit("Playlist"), F.col("doc_id"), F.lit(".json")), value,
     )
 
@@ -357,7 +360,7 @@ def word_docs(spark: SparkSession, sf_dir: str, file_name: str) -> DataFrame:
     else:
         raise ValueError(f"no such summary file: {file_name}")
     return _docs(
-        table(spark, sf_dir, "documents"), F.concat(F.lit("d"), F.col("doc_id")),
+        _dealt(table(spark, sf_dir, "documents")), F.concat(F.lit("d"), F.col("doc_id")),
         F.lit(file_name), value,
     )
 

@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from playledger.operators import summaries as S
+from playledger.sources import adapters as A
 from playledger.sources import file_kind, rejected_files
 
 
@@ -116,3 +117,38 @@ def test_rejected_files(docs):
     frame = docs(("p", "Follow.json", "{}"), ("p", "x.json", "{"), ("q", "y.json", '{"a":1} z'))
     assert {(r.profile, r.file_name) for r in rejected_files(frame).collect()} == {
         ("p", "x.json"), ("q", "y.json")}
+
+
+def test_lists_of_texts_read_like_any_others(docs):
+    """A file of texts alone is written from maps: the same JSON as beside a value of another kind."""
+    entries = [
+        {"type": "b", "method": "m", "showName": "s\u0001", "country": "\u00e9 \"q\"/", "z": "", "A": "x: y"},
+        {}, {"type": "", "a": ":c"},
+    ]
+    texts = [json.dumps(e, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for e in entries]
+    for read, name, column in (
+        (S.prompts, "UserPrompts.json", "prompts"), (S.payments, "Payments.json", "payments"),
+        (S.podcasts, "PodcastInteractivityVotedPollOption.json", "poll_votes"),
+        (S.addresses, "UserAddress.json", "addresses"),
+    ):
+        def shown(found, ascii_only=False):
+            own = {"addresses": found} if column == "addresses" else found
+            return [json.loads(t) for t in read(docs(("p", name, json.dumps(own, ensure_ascii=ascii_only)))).first()[column]]
+
+        assert shown(entries) == shown(entries, True) == [json.loads(t) for t in texts]
+        mixed = [*entries, {"type": 5}, None, 3, "t", [{"type": "x"}], {"type": None}]
+        assert shown(mixed)[:3] == shown(entries) and shown(mixed)[3:] == mixed[3:]
+        plain = docs(("p", name, json.dumps({"addresses": [{"b": "1", "a": "2"}]} if column == "addresses"
+                                            else [{"b": "1", "a": "2"}])))
+        assert read(plain).first()[column] == ['{"a":"2","b":"1"}']
+        # The text is written from a map: no VARIANT for each of its elements.
+        assert "MapType(StringType,StringType" in read(plain)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_of_one_row_group_are_parsed_by_many_tasks(spark, tmp_path):
+    rows = [(i, f"some words {i}", "en", "web", 12) for i in range(64)]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    frame.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for made in (A.word_docs(spark, str(tmp_path), "Payments.json"), A.playlist_docs(spark, str(tmp_path))):
+        assert made.count() == 64
+        assert made.select(F.spark_partition_id()).distinct().count() > 1
