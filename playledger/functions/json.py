@@ -7,7 +7,7 @@ each list element becomes its own VARIANT, so a bad element drops alone.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +42,63 @@ def with_document(docs: DataFrame, text: str = "value", name: str = "doc") -> Da
     ).drop("_wrapped")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed a single time, within one expression.
+
+    Unlike :func:`once` it makes no column, so nothing is copied to a row."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def document(text: str = "value") -> Column:
+    """The text as a VARIANT, as :func:`with_document` adds it."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), F.col(text), F.lit(f",{_END_JSON}]")))
+    return let(wrapped, lambda w: F.when(
+        F.try_variant_get(w, "$[1]", "string") == _END, F.try_variant_get(w, "$[0]", "variant")))
+
+
+# What a typed reader accepts beyond the parser of VARIANTs, and a column for texts that don't fit.
+_STRICT = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "\u0003bad"}
+
+
+def typed(kind: str, fits: Callable[[Column], Column], listed: bool = False, plain: Column | None = None) -> Column:
+    """The text in ``value`` read straight to an object of the type ``kind``, a struct or a map, or to a
+    list of them; NULL where it is not one JSON value of this type, is not ``plain`` or doesn't fit.
+
+    This is several times cheaper than a VARIANT, from which every value is cast by itself. A text
+    field takes any other value, too, as it is spelled; ``plain``, a condition on the text, and
+    ``fits``, one on what was read, tell where that could differ from a VARIANT's.
+    """
+    own_type, end = kind, f"{{{_END_JSON}:\"\"}}"
+    if kind.startswith("struct<"):
+        own_type = f"struct<`{_END}`: string, {kind.removeprefix('struct<')}"
+    if listed:
+        own_type, end = f"array<{own_type}>", f"[{end}]"
+    # The last element tells trailing junk.
+    wrapped = F.concat(F.lit(f"{{{_END_JSON}:["), F.col("value"), F.lit(f",{end}]}}"))
+    if plain is not None:
+        wrapped = F.when(plain, wrapped)
+    read = F.from_json(wrapped, f"struct<`{_END}`: array<{own_type}>, `\u0003bad`: string>", _STRICT)
+
+    def checked(r: Column) -> Column:
+        own, last = F.get(r[_END], 0), F.get(r[_END], 1)
+        whole = r["\u0003bad"].isNull() & (F.get(last, 0) if listed else last)[_END].isNotNull()
+        return F.when(whole & own.isNotNull() & fits(own), own)
+
+    return let(read, checked)
+
+
+# Texts that may spell a list, an object or a number that a VARIANT spells in another way; one too
+# large is spelled with quotes. Whole numbers and truth values read the same.
+_SPELLED = r"^(?:[\[{\"]|-?[0-9]+[.eE]|-?[0-9]{18}|-0)"
+
+
+def maybe_spelled(text: Column) -> Column:
+    """Whether a text that was read may stand for a value of another type and differ from a VARIANT's."""
+    first = F.ascii(text)
+    # The first sign mostly decides.
+    return text.isNotNull() & (((first >= 45) & (first <= 57)) | first.isin(34, 91, 123)) & text.rlike(_SPELLED)
+
+
 def with_records(
     docs: DataFrame, fields: Sequence[str], texts: Sequence[str] = (), names: Sequence[str] = ()
 ) -> DataFrame:
@@ -159,10 +216,18 @@ def is_text(value: Column) -> Column:
 
 def number(value: Column) -> Column:
     """A VARIANT as DOUBLE: numbers, true/false and numeric texts; NULL for others."""
-    # Casting accepts Java's type suffixes ("12d"), which are not numbers here.
     # The last sign is cheaper to look at than the type, and mostly decides.
-    suffixed = F.lower(F.right(F.trim(text(value)), F.lit(1))).isin("d", "f")
-    return F.when(~suffixed | ~is_text(value), F.try_variant_get(value, "$", "double"))
+    return F.when(~_suffixed(text(value)) | ~is_text(value), F.try_variant_get(value, "$", "double"))
+
+
+def number_of_text(value: Column) -> Column:
+    """A numeric text as DOUBLE, NULL for others."""
+    return F.when(~_suffixed(value), value.try_cast("double"))
+
+
+def _suffixed(value: Column) -> Column:
+    """Casting accepts Java's type suffixes ("12d"), which are not numbers here."""
+    return F.lower(F.right(F.trim(value), F.lit(1))).isin("d", "f")
 
 
 def text_or(value: Column, default: str, null_text: str) -> Column:

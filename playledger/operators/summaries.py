@@ -1,14 +1,15 @@
 """One summary row per profile from its single-document files.
 
 Each file is one row, so these are projections with array functions: nothing is
-shuffled and nothing is exploded. Lists are read by one typed cast; a VARIANT and a
-function call for each element take several times as long.
+shuffled and nothing is exploded. Lists are read straight to typed values where a VARIANT
+would give the same ones, and by one typed cast of a VARIANT elsewhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,21 +27,70 @@ def _objects(docs: DataFrame, kind: str, *fields: str) -> DataFrame:
     return read.where(F.col("d").isNotNull()).select("profile", "file_name", "value", "d")
 
 
-def _lists(docs: DataFrame, kind: str, **keys: str) -> DataFrame:
-    """``profile, value, doc, xs``: the list of each document of a kind, empty if it is no list.
+def _read(docs: DataFrame, kind: str, typed: Column, fast, careful) -> DataFrame:
+    """``profile`` and the fields of a struct for each document of a kind: ``fast`` of what was read
+    straight to typed values, ``careful`` of the VARIANT of all other texts."""
+    fields = J.let(typed, lambda t: F.when(t.isNotNull(), fast(t)).otherwise(
+        J.let(J.document(), lambda d: F.when(d.isNotNull(), careful(d)))))
+    found = docs.where(F.col("kind") == kind).select("profile", F.inline(F.array(F.struct(fields.alias("found")))))
+    return found.where(F.col("found").isNotNull()).select("profile", "found.*")
 
-    Elements are structs of the keys with their types, see :func:`_typed`."""
-    return J.once(_documents(docs, kind), xs=_typed(F.col("doc"), **keys))
 
+def _read_objects(docs: DataFrame, kind: str, typed: Column, fast, careful, *keys: str) -> DataFrame:
+    """Like :func:`_read` for objects; ``careful`` gets the keys' values as VARIANTs."""
+    return _read(docs, kind, typed, fast, lambda doc: J.let(
+        J.record(doc, keys), lambda d: F.when(d.isNotNull(), careful(d))))
 
-def _written(docs: DataFrame, kind: str, **keys: str) -> DataFrame:
-    """Like :func:`_lists`, with ``maps`` for :func:`_json`."""
-    doc = F.col("doc")
-    return J.once(_documents(docs, kind), xs=_typed(doc, **keys), maps=_maps(doc))
 
+def _lists(docs: DataFrame, kind: str, *keys: str) -> DataFrame:
+    """``profile, xs``: the list of each document of a kind, empty if it is no list.
 
-def _documents(docs: DataFrame, kind: str) -> DataFrame:
-    return J.with_document(docs.where(F.col("kind") == kind)).where(F.col("doc").isNotNull())
+    Elements are structs of the texts under the keys and the number ``amount``."""
+    names = [*keys, "amount"]
+    kept = ", ".join(f"`{name}`: string" for name in names)
+
+    def alike(x: Column) -> Column:
+        # Truth values are numbers, and texts that spell them are not. A number too large has quotes.
+        same = ~F.coalesce(x["amount"].isin("true", "false") | x["amount"].startswith('"'), F.lit(False))
+        return reduce(Column.__and__, [~J.maybe_spelled(x[key]) for key in keys], same)
+
+    def entry(number: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda x: F.struct(*[x[key].alias(key) for key in keys], number(x["amount"]).alias("amount"))
+
+    types = dict.fromkeys(keys, "string") | {"amount": "variant"}
+    return _read(
+        docs, kind, J.typed(f"struct<{kept}>", lambda xs: F.forall(xs, alike), listed=True),
+        lambda xs: F.struct(F.transform(xs, entry(J.number_of_text)).alias("xs")),
+        lambda doc: F.struct(F.transform(_typed(doc, **types), entry(J.number)).alias("xs")))
+
+
+def _written(docs: DataFrame, kind: str, key: str) -> DataFrame:
+    """``profile, own, texts``: the texts under a key and the JSON texts of the list's elements, for
+    each document of a kind; empty if it is no list."""
+    maps = J.typed("map<string, string>", _single_keys, listed=True, plain=_only_texts())
+    return _read(docs, kind, maps, lambda m: _of_maps(m, key), lambda doc: _of_variants(doc, key))
+
+
+def _of_maps(maps: Column, key: str) -> Column:
+    """``own``, the values of a key, and ``texts``, all elements as JSON."""
+    # VARIANTs write keys in order.
+    def ordered(m: Column) -> Column:
+        return F.when(F.size(m) < 2, m).otherwise(F.map_from_entries(F.sort_array(F.map_entries(m))))
+
+    return F.struct(
+        F.coalesce(F.transform(maps, lambda m: m[key]), _none()).alias("own"),
+        F.coalesce(F.transform(maps, lambda m: F.to_json(ordered(m))), _none()).alias("texts"))
+
+
+def _of_variants(list_of: Column, key: str) -> Column:
+    """Like :func:`_of_maps`, from a VARIANT list of anything."""
+    return F.struct(
+        _typed(list_of, **{key: "string"})[key].alias("own"),
+        F.coalesce(F.transform(J.items(list_of), lambda x: F.to_json(x)), _none()).alias("texts"))
+
+
+def _none() -> Column:
+    return F.array().cast("array<string>")
 
 
 def _text(value: Column) -> Column:
@@ -79,26 +129,23 @@ def _distinct(texts: Column, missing: str | None = None) -> Column:
 _NO_TEXT = r'"\s*:\s*[^"\s]'
 
 
-def _maps(list_of: Column, outer: int = 0) -> Column:
-    """A VARIANT list as maps of texts, in a file that holds no other values; NULL for others.
+def _only_texts() -> Column:
+    """Whether a file holds texts alone."""
+    return ~F.col("value").rlike(_NO_TEXT)
 
-    The file's text is in ``value``, in which ``outer`` keys have the lists themselves. Escaped
-    code units count as other values: they could spell a key."""
-    found = F.regexp_count("value", F.lit(_NO_TEXT))
-    plain = (found == outer) & ~F.col("value").contains("\\u")
-    return F.when(plain, F.try_variant_get(list_of, "$", "array<map<string, string>>"))
 
+def _only_texts_in_one() -> Column:
+    """Whether a file holds texts alone, but for the value after its first colon."""
+    return ~F.expr("substr(value, instr(value, ':') + 1)").rlike(_NO_TEXT)
 
-def _json(list_of: Column) -> Column:
-    """A VARIANT list's elements as JSON texts, empty where there is no list.
 
-    Objects of texts alone are written from ``maps``, whose keys a VARIANT keeps in order: writing
-    a VARIANT sets up a new writer for every key and text.
-    """
-    plain = F.coalesce(F.forall("maps", lambda m: m.isNotNull()), F.lit(False))
-    careful = F.transform(J.items(list_of), lambda x: F.to_json(x))
-    texts = F.when(plain, F.transform("maps", lambda m: F.to_json(m))).otherwise(careful)
-    return F.coalesce(texts, F.array().cast("array<string>"))
+def _single_keys(maps: Column) -> Column:
+    """Whether all elements are there, none has a key twice, and keys sort like those of VARIANTs."""
+    single = F.forall(maps, lambda m: m.isNotNull() & (
+        (F.size(m) < 2) | (F.size(F.array_distinct(F.map_keys(m))) == F.size(m))))
+    # VARIANTs sort by code units, in which characters beyond the basic plane stand elsewhere.
+    keys = F.array_distinct(F.flatten(F.transform(F.filter(maps, lambda m: F.size(m) > 1), lambda m: F.map_keys(m))))
+    return single & ~F.array_join(keys, "").rlike(r"[\x{10000}-\x{10FFFF}]")
 
 
 def account(docs: DataFrame, as_of: date | str | None = None) -> DataFrame:
@@ -123,7 +170,6 @@ def account(docs: DataFrame, as_of: date | str | None = None) -> DataFrame:
 
 def library(docs: DataFrame) -> DataFrame:
     """Seven list sizes and all saved tracks and albums."""
-    d = F.col("d")
     # The lists counted and the names of their counts.
     counted = {
         "tracks": "saved_tracks_count",
@@ -145,11 +191,30 @@ def library(docs: DataFrame) -> DataFrame:
 
         return F.transform(key, entry)
 
-    read = J.once(_objects(docs, "library", *counted), **{
-        key: _typed(d[key], **dict.fromkeys((*names, "uri"), "string")) for key, names in kept.items()})
+    fields = {key: f"array<struct<{', '.join(f'`{n}`: string' for n in (*names, 'uri'))}>>" for key, names in kept.items()}
+    types = dict.fromkeys(counted, "array<string>") | fields
+
+    def alike(key: str) -> Callable[[Column], Column]:
+        return lambda x: reduce(Column.__and__, [~J.maybe_spelled(x[n]) for n in (*kept[key], "uri")])
+
+    def fits(own: Column) -> Column:
+        return reduce(Column.__and__, [F.coalesce(F.forall(own[key], alike(key)), F.lit(True)) for key in kept])
+
+    def struct(lists: Callable[[str], Column], size: Callable[[str], Column]) -> Column:
+        sizes = [size(key).alias(name) for key, name in counted.items() if key not in kept]
+        return F.struct(*[lists(key).alias(key) for key in kept], *sizes)
+
+    read = _read_objects(
+        docs, "library", J.typed(f"struct<{', '.join(f'`{key}`: {kind}' for key, kind in types.items())}>", fits),
+        lambda t: struct(
+            lambda key: F.coalesce(t[key], F.array().cast(fields[key])),
+            lambda key: F.coalesce(F.size(t[key]), F.lit(0))),
+        lambda d: struct(
+            lambda key: _typed(d[key], **dict.fromkeys((*kept[key], "uri"), "string")), lambda key: _size(d[key])),
+        *counted)
     return read.select(
         "profile",
-        *[(F.size(key) if key in kept else _size(d[key])).alias(name) for key, name in counted.items()],
+        *[F.size(key).alias(name) if key in kept else F.col(name) for key, name in counted.items()],
         saved("tracks").alias("saved_tracks"),
         saved("albums").alias("saved_albums"),
     )
@@ -187,18 +252,24 @@ def wrapped(docs: DataFrame) -> DataFrame:
 
 def follow(docs: DataFrame) -> DataFrame:
     """Counts of followers and of followed artists, users and shows."""
-    d = F.col("d")
-
     def of_type(name: str) -> Column:
         return F.size(F.filter("types", lambda t: t == name))
 
-    followed = J.once(
-        _objects(docs, "follow", "following", "followers"),
-        types=_typed(d["following"], type="string")["type"])
-    return followed.select(
+    def struct(types: Column, followers: Column) -> Column:
+        return F.struct(types.alias("types"), followers.alias("followers_count"))
+
+    kind = "struct<following: array<struct<type: string>>, followers: array<string>>"
+    read = _read_objects(
+        docs, "follow", J.typed(kind, lambda own: F.coalesce(
+            F.forall(own["following"], lambda x: ~J.maybe_spelled(x["type"])), F.lit(True))),
+        lambda t: struct(
+            F.coalesce(t["following"]["type"], _none()), F.coalesce(F.size(t["followers"]), F.lit(0))),
+        lambda d: struct(_typed(d["following"], type="string")["type"], _size(d["followers"])),
+        "following", "followers")
+    return read.select(
         "profile",
         F.size("types").alias("following_count"),
-        _size(d["followers"]).alias("followers_count"),
+        "followers_count",
         of_type("artist").alias("following_artists"),
         of_type("user").alias("following_users"),
         of_type("show").alias("following_shows"),
@@ -207,35 +278,37 @@ def follow(docs: DataFrame) -> DataFrame:
 
 def prompts(docs: DataFrame) -> DataFrame:
     """Number, types and all prompts."""
-    return _written(docs, "prompts", type="string").select(
+    return _written(docs, "prompts", "type").select(
         "profile",
-        F.size("xs").alias("total_prompts"),
-        _distinct(F.col("xs")["type"], "unknown").alias("prompt_types"),
-        _json(F.col("doc")).alias("prompts"),
+        F.size("own").alias("total_prompts"),
+        _distinct(F.col("own"), "unknown").alias("prompt_types"),
+        F.col("texts").alias("prompts"),
     )
 
 
 def podcasts(docs: DataFrame) -> DataFrame:
     """Poll votes and the number of shows voted in."""
-    return _written(docs, "podcasts", showName="string").select(
+    return _written(docs, "podcasts", "showName").select(
         "profile",
-        F.size("xs").alias("total_interactions"),
-        _json(F.col("doc")).alias("poll_votes"),
-        F.size(_distinct(F.col("xs")["showName"])).alias("shows_interacted"),
+        F.size("own").alias("total_interactions"),
+        F.col("texts").alias("poll_votes"),
+        F.size(_distinct(F.col("own"))).alias("shows_interacted"),
     )
 
 
 def addresses(docs: DataFrame) -> DataFrame:
     """Addresses and their countries. Personal data."""
-    own = F.col("d")["addresses"]
-    read = J.once(
-        _objects(docs, "addresses", "addresses"),
-        countries=_typed(own, country="string")["country"], maps=_maps(own, 1))
+    maps = J.typed(
+        "struct<addresses: array<map<string, string>>>",
+        lambda own: F.coalesce(_single_keys(own["addresses"]), F.lit(True)), plain=_only_texts_in_one())
+    read = _read_objects(
+        docs, "addresses", maps, lambda t: _of_maps(t["addresses"], "country"),
+        lambda d: _of_variants(d["addresses"], "country"), "addresses")
     return read.select(
         "profile",
-        _json(own).alias("addresses"),
-        F.size("countries").alias("address_count"),
-        _distinct(F.col("countries")).alias("countries"),
+        F.col("texts").alias("addresses"),
+        F.size("own").alias("address_count"),
+        _distinct(F.col("own")).alias("countries"),
     )
 
 
@@ -258,8 +331,8 @@ def identifiers(docs: DataFrame) -> DataFrame:
 def purchases(docs: DataFrame) -> DataFrame:
     """Number, types, currencies and total amount, currencies added together."""
     xs = F.col("xs")
-    amounts = F.transform(xs["amount"], lambda x: F.coalesce(J.number(x), F.lit(0.0)))
-    return _lists(docs, "purchases", type="string", currency="string", amount="variant").select(
+    amounts = F.transform(xs["amount"], lambda x: F.coalesce(x, F.lit(0.0)))
+    return _lists(docs, "purchases", "type", "currency").select(
         "profile",
         F.size(xs).alias("total_purchases"),
         _distinct(xs["type"], "unknown").alias("purchase_types"),
@@ -270,10 +343,10 @@ def purchases(docs: DataFrame) -> DataFrame:
 
 def purchases_by_currency(docs: DataFrame) -> DataFrame:
     """Total amount per profile and currency."""
-    items = _lists(docs, "purchases", currency="string", amount="variant").select(
+    items = _lists(docs, "purchases", "currency").select(
         "profile", F.explode("xs").alias("x"))
     return (
-        items.select("profile", F.col("x.currency"), J.number(F.col("x.amount")).alias("amount"))
+        items.select("profile", "x.currency", "x.amount")
         .groupBy("profile", "currency")
         .agg(F.count(F.lit(1)).alias("purchases"),
              F.coalesce(F.sum("amount"), F.lit(0.0)).alias("total_amount"))
@@ -282,11 +355,11 @@ def purchases_by_currency(docs: DataFrame) -> DataFrame:
 
 def payments(docs: DataFrame) -> DataFrame:
     """Number, methods and all payments."""
-    return _written(docs, "payments", method="string").select(
+    return _written(docs, "payments", "method").select(
         "profile",
-        F.size("xs").alias("total_payments"),
-        _distinct(F.col("xs")["method"], "unknown").alias("payment_methods"),
-        _json(F.col("doc")).alias("payments"),
+        F.size("own").alias("total_payments"),
+        _distinct(F.col("own"), "unknown").alias("payment_methods"),
+        F.col("texts").alias("payments"),
     )
 
 

@@ -2,8 +2,10 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
+from playledger.functions import json as J
 from playledger.operators import summaries as S
 from playledger.sources import adapters as A
 from playledger.sources import file_kind, rejected_files
@@ -152,3 +154,53 @@ def test_tables_of_one_row_group_are_parsed_by_many_tasks(spark, tmp_path):
     for made in (A.word_docs(spark, str(tmp_path), "Payments.json"), A.playlist_docs(spark, str(tmp_path))):
         assert made.count() == 64
         assert made.select(F.spark_partition_id()).distinct().count() > 1
+
+
+ODD = [
+    '"a"', '"1989"', '"1.50"', '"-0"', '"true"', '"[x"', '"{}"', '"\\ud83d\\ude00"', "5", "1.50", "-0", "1e3", "1E400",
+    "12345678901234567890", "true", "null", '[1,"x"]', '{"b":1,"a":"z"}', "NaN", "'q'", '"12d"', '"Infinity"',
+]
+
+
+def _summary(spark, kind, values):
+    rows = [(str(i), "f.json", kind, value) for i, value in enumerate(values)]
+    found = S.SUMMARIES[kind](spark.createDataFrame(rows, "profile string, file_name string, kind string, value string"))
+    return {int(r["profile"]): r.asDict(True) | {"profile": ""} for r in found.collect()}
+
+
+@pytest.mark.parametrize(("kind", "key"), [("purchases", "type"), ("purchases", "amount"), ("payments", "method"), ("prompts", "text")])
+def test_lists_read_straight_equal_those_of_variants(spark, kind, key):
+    own = [f'{{"zz":"y","{key}":{value}}}' for value in ODD]
+    # An element that is no object sends the second file to the VARIANT.
+    straight = _summary(spark, kind, [f"[{x}]" for x in own])
+    careful = _summary(spark, kind, [f"[{x},[]]" for x in own])
+    assert straight.keys() == careful.keys() and len(straight) == len(ODD) - 2
+    for i, row in straight.items():
+        other = careful[i]
+        if kind == "purchases":
+            assert row["total_amount"] == other["total_amount"]
+            assert set(row["purchase_types"]) - {"unknown"} == set(other["purchase_types"]) - {"unknown"}
+        else:
+            assert row[kind] == other[kind][:1]
+
+
+def test_plain_files_need_no_variant(spark):
+    texts = [
+        '[{"a":"x","b":"1989"}]', " [ ]", '[{"a":"x"}] y', '[{"a":"x"}],[{"a":"y"}]', '[{"a":"x"}],[{"a":"y"}]]} y',
+        '[{"a":"x"},5]', '[{"a":1.50}]', "[{'a':'x'}]", '{"a":"x"}', "", None,
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "value string")
+    read = J.typed("struct<`a`: string>", lambda xs: ~F.exists(xs, lambda x: J.maybe_spelled(x["a"])), listed=True)
+    assert [r[0] is not None for r in rows.select(read).collect()] == [True, True] + [False] * 9
+    kept = spark.createDataFrame([('[{"type":"x","text":"1989"}]',)], "value string")
+    maps = J.typed("map<string, string>", S._single_keys, listed=True, plain=S._only_texts())
+    assert kept.select(maps).first()[0] == [{"type": "x", "text": "1989"}]
+
+
+def test_addresses_with_other_values_beside_them(spark):
+    found = _summary(spark, "addresses", [
+        '{"addresses":[{"country":"SE","b":"x","a":"y"}]}', '{"addresses":[{"country":5}]}', '{"n":1,"addresses":[{"country":"SE"}]}',
+        '{"addresses":[{"b":"x","b":"y"}]}', '{"n":5}'])
+    assert [found[i]["addresses"] for i in range(5)] == [
+        ['{"a":"y","b":"x","country":"SE"}'], ['{"country":5}'], ['{"country":"SE"}'], ['{"b":"y"}'], []]
+    assert [found[i]["address_count"] for i in range(5)] == [1, 1, 1, 1, 0]
