@@ -120,16 +120,9 @@ def with_records(
     )
     end = F.lit(f',[{{"_end":{_END_JSON}}}]]')
     wrapped = F.concat(F.lit("["), F.col("value"), end)
-    fast = once(docs, _fast=F.from_json(
-        wrapped, f"array<array<struct<{flat}, `_end`: string>>>"))
-    whole = F.get(F.get("_fast", 1), 0)["_end"] == _END
     keys = "|".join(re.escape(k) for k in (*texts, *names))
     # A wrapped date is unwrapped alike on both ways.
     other = F.col("value").rlike(rf'"(?:{keys})"\s*:\s*(?!\{{\s*"\$date"\s*:)[^"n\s]') if keys else F.lit(False)
-    fast = once(fast, _ok=F.coalesce(whole & ~other, F.lit(False)))
-    fast_ok = F.col("_ok")
-    slow = once(fast, _slow=F.from_json(F.when(~fast_ok, wrapped), "array<array<variant>>"))
-    slow_ok = F.try_variant_get(F.get(F.get("_slow", 1), 0), "$._end", "string") == _END
 
     def as_record(r: Column) -> Column:
         return F.when(r.isNotNull(), F.struct(
@@ -139,11 +132,18 @@ def with_records(
             F.lit(None).cast("string").alias("_end"),
         ))
 
-    careful = F.transform(
-        F.transform(F.get("_slow", 0), lambda x: record(x, (*fields, *texts, *names))), as_record
-    )
-    items = F.when(fast_ok, F.get("_fast", 0)).when(slow_ok, careful)
-    return slow.withColumn("items", items).drop("_fast", "_ok", "_slow")
+    def careful(read: Column) -> Column:
+        whole = F.try_variant_get(F.get(F.get(read, 1), 0), "$._end", "string") == _END
+        return F.when(whole, F.transform(
+            F.transform(F.get(read, 0), lambda x: record(x, (*fields, *texts, *names))), as_record))
+
+    def chosen(read: Column) -> Column:
+        whole = F.get(F.get(read, 1), 0)["_end"] == _END
+        return F.when(whole & ~other, F.get(read, 0)).otherwise(
+            let(F.from_json(wrapped, "array<array<variant>>"), careful))
+
+    # One expression: a column for each step would copy the text and the records to rows of their own.
+    return once(docs, items=let(F.from_json(wrapped, f"array<array<struct<{flat}, `_end`: string>>>"), chosen))
 
 
 def record(value: Column | str, fields: Sequence[str]) -> Column:
@@ -227,7 +227,7 @@ def number_of_text(value: Column) -> Column:
 
 def _suffixed(value: Column) -> Column:
     """Casting accepts Java's type suffixes ("12d"), which are not numbers here."""
-    return F.lower(F.right(F.trim(value), F.lit(1))).isin("d", "f")
+    return F.right(F.trim(value), F.lit(1)).isin("d", "f", "D", "F")
 
 
 def text_or(value: Column, default: str, null_text: str) -> Column:

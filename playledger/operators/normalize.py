@@ -41,7 +41,7 @@ def play_ms(rec: Column) -> Column:
     # A number needs one look; texts and other values are told apart with more care.
     return (
         F.when(own.isNull(), other)
-        .when((given != 0) & ~J.is_text(own), given)
+        .when(~J.is_text(own) & given.isNotNull(), F.when(given != 0, given).otherwise(other))
         .when(J.first_filled(own).isNotNull(), J.number(own))
         .otherwise(other)
     )
@@ -78,9 +78,13 @@ def plays(
         docs.where(F.col("kind") == "plays"), fields, texts, _PLAY_NAMES,
         max_rows_per_file, keep_unreadable,
     )
-    named = rows.select(
+    # A condition on the milliseconds must not compute them again.
+    wanted = F.col("msPlayed").isNotNull()
+    if keep_unreadable:
+        wanted = wanted | F.col("pos").isNull()
+    named = J.once(rows, msPlayed=play_ms(rec)).where(wanted).select(
         "profile", F.col("file_name").alias("source_file"), "pos",
-        play_ms(rec).alias("msPlayed"), play_time(rec).alias("ts"),
+        "msPlayed", play_time(rec).alias("ts"),
         _name(rec, "master_metadata_track_name", "trackName").alias("trackName"),
         _name(rec, "master_metadata_album_artist_name", "artistName").alias("artistName"),
         _name(rec, "master_metadata_album_album_name", "albumName").alias("albumName"),
@@ -88,11 +92,8 @@ def plays(
         *[J.flag(rec[f]).alias(f) for f in ("skipped", "shuffle", "offline")],
         *[attribute(key) for key in ("reason_start", "reason_end", "conn_country")],
     )
-    wanted = F.col("msPlayed").isNotNull()
-    if keep_unreadable:
-        wanted = wanted | F.col("pos").isNull()
     # A missing name reads "Unknown", so no track name is ever empty here.
-    dated = named.where(wanted).withColumn("year", V.year_of("ts"))
+    dated = named.withColumn("year", V.year_of("ts"))
     return with_derived(dated).select(*schemas.columns(schemas.PLAYS))
 
 
