@@ -4,15 +4,16 @@ Components are cut into lists; a list holds, for a query, the partial products o
 vectors over its components, lifted by the list's smallest so that none is negative.
 1. Every list gives its best entries. The k-th best of the sums of what was given is a safe
    lower bound of the k-th best whole score.
-2. An entry below bound / lists in every list can't reach the bound. Lists give every entry
-   that reaches this cutoff.
-3. Whole scores of the vectors seen that can still reach a sharper bound are computed exactly.
+2. An entry below bound / lists in every list can't reach the bound. Of the entries that reach
+   this cutoff, a task, which holds all lists of its block, adds up the parts and gives the
+   k + 1 best that reach the bound, ties by id.
+3. Whole scores of those that reach a sharper bound, from all blocks, are computed exactly.
 
 Equal vectors are one candidate with its k + 1 smallest ids and their repeats, so copies cost
 nothing. A query whose id has several vectors doesn't meet those that only its own id has. Queries
 and candidates meet in blocks: either side is dealt to groups of bounded size, and every pair
-of a query group and a candidate group is one task's work. Each round ships a bounded number of
-rows per query and candidate group, but for phase 2, which ships what reaches the cutoff.
+of a query group and a candidate group is one task's work. Each round ships at most k + 1 entries
+per query, list and candidate group.
 """
 
 from __future__ import annotations
@@ -120,27 +121,43 @@ def _best(key: tuple, queries: pd.DataFrame, found: pd.DataFrame, k: int) -> pd.
     return pd.DataFrame(out, columns=["query", "list", "least", "numbers", "partials"])
 
 
-def _reaching(key: tuple, queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-    """Phase 2: of each list every entry that reaches the cutoff, with its whole score's bounds."""
+def _reaching(key: tuple, queries: pd.DataFrame, found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Phase 2: the k best of the entries that reach the cutoff in a list, with their lifted whole
+    scores; ties go to the smallest id that the query may meet. More can't be among the k best of all."""
     out = []
     if len(queries) and len(found):
         q, c = _matrix(queries["vector"]), _matrix(found["vector"])
         number, query = found["number"].to_numpy(), queries["number"].to_numpy()
-        least, cutoff = _matrix(queries["least"]), queries["cutoff"].to_numpy()
+        least, cutoff, bound = _matrix(queries["least"]), queries["cutoff"].to_numpy(), queries["bound"].to_numpy()
         for part in _steps(len(q), len(c)):
-            lists = _lists(q[part], c)
-            lifted = [x - least[part][:, j:j + 1] for j, x in enumerate(lists)]
-            over = [x >= cutoff[part][:, None] for x in lifted]
+            lifted = [x - least[part][:, j:j + 1] for j, x in enumerate(_lists(q[part], c))]
+            over = np.logical_or.reduce([x >= cutoff[part][:, None] for x in lifted])
+            whole = sum(lifted)
+            over &= whole >= bound[part][:, None]
             usable = usable_pairs(queries.iloc[part], found)
             if usable is not None:
-                over = [x & usable for x in over]
-            for i in range(len(lifted[0])):
-                seen = np.flatnonzero(np.logical_or.reduce([x[i] for x in over]))
+                over &= usable
+            for i in range(len(whole)):
+                seen = np.flatnonzero(over[i])
+                score = whole[i, seen]
+                if len(seen) > k:
+                    near = score >= np.partition(score, len(score) - k)[len(score) - k]
+                    seen, score = seen[near], score[near]
+                if len(seen) > k:
+                    ids = _first_ids(found.iloc[seen], queries["own"].iloc[part].iloc[i])
+                    best = np.lexsort((ids, -score))[:k]
+                    seen, score = seen[best], score[best]
                 if len(seen):
-                    low = sum(np.where(o[i, seen], x[i, seen], 0) for x, o in zip(lifted, over))
-                    high = sum(np.where(o[i, seen], x[i, seen], cutoff[part][i]) for x, o in zip(lifted, over))
-                    out.append((query[part][i], number[seen], low, high))
-    return pd.DataFrame(out, columns=["query", "numbers", "low", "high"])
+                    out.append((query[part][i], number[seen], score))
+    return pd.DataFrame(out, columns=["query", "numbers", "scores"])
+
+
+def _first_ids(found: pd.DataFrame, own: int | None) -> np.ndarray:
+    """The smallest id of each vector, left out the query's own where that is known."""
+    ids = found["ids"]
+    if pd.isna(own):
+        return np.array([x[0] for x in ids], dtype=np.int64)
+    return np.array([next(i for i in x if i != own) for x in ids], dtype=np.int64)
 
 
 def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5,
@@ -167,9 +184,10 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5,
     c_groups = max(1, -(-n_candidates // CANDIDATES))
     q_groups = max(1, -(-n_queries // QUERIES))
 
-    dealt = candidates.withColumn("c", F.pmod(F.xxhash64("number"), F.lit(c_groups)).cast("int")).withColumn(
+    # The two smallest ids say which comes first for any query.
+    dealt = candidates.withColumn("ids", F.slice("ids", 1, 2)["id"]).withColumn("c", F.pmod(F.xxhash64("number"), F.lit(c_groups)).cast("int")).withColumn(
         "q", F.explode(F.sequence(F.lit(0), F.lit(q_groups - 1)))).select(
-        "q", "c", "width", "number", "vector", "sole")
+        "q", "c", "width", "number", "vector", "sole", "ids")
 
     def grid(frame: DataFrame) -> DataFrame:
         return frame.withColumn("q", F.pmod(F.xxhash64("number"), F.lit(q_groups)).cast("int")).withColumn(
@@ -198,19 +216,15 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 5,
     )
     cut = stored(queries.join(limits, queries["number"] == limits["query"]).drop("query"))
     reached = grid(cut).groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(
-        _reaching, "query BIGINT, numbers ARRAY<BIGINT>, low ARRAY<BIGINT>, high ARRAY<BIGINT>")
-    second = stored(reached)
-    # The sharper bound again needs only the best k + 1 of each row of phase 2.
-    lows = second.select("query", F.explode(
-        F.slice(F.sort_array("low", asc=False), 1, wanted)).alias("low"))
-    sharper = lows.groupBy("query").agg(
-        F.slice(F.sort_array(F.collect_list("low"), asc=False), 1, wanted).alias("best")).select(
+        lambda key, a, b: _reaching(key, a, b, wanted),
+        "query BIGINT, numbers ARRAY<BIGINT>, scores ARRAY<BIGINT>")
+    second = stored(reached.select("query", F.explode(F.arrays_zip("numbers", "scores")).alias("e")).select(
+        "query", F.col("e.numbers").alias("found"), F.col("e.scores").alias("lifted")))
+    # At most c_groups * (k + 1) entries per query meet in one row.
+    sharper = second.groupBy("query").agg(
+        F.slice(F.sort_array(F.collect_list("lifted"), asc=False), 1, wanted).alias("best")).select(
         "query", F.when(F.size("best") >= wanted, F.element_at("best", wanted)).otherwise(0).alias("sharp"))
-    still = (
-        second.join(sharper, "query")
-        .select("query", "sharp", F.explode(F.arrays_zip("numbers", "high")).alias("e"))
-        .where(F.col("e.high") >= F.col("sharp")).select("query", F.col("e.numbers").alias("found"))
-    )
+    still = second.join(sharper, "query").where(F.col("lifted") >= F.col("sharp")).select("query", "found")
     whole = (
         still.join(queries.select(F.col("number").alias("query"), F.col("vector").alias("_q"), "own"), "query")
         .join(candidates.select(F.col("number").alias("found"), F.col("vector").alias("_c"), "ids"), "found")

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -226,6 +227,28 @@ def test_topk_excludes_all_rows_of_the_own_id_before_the_cut(spark):
         assert ranked(found) == each_row(repeated_vectors(), 50, k)
 
 
+def test_topk_tasks_give_a_bounded_number_of_entries():
+    asked = pd.DataFrame({"number": [1, 2], "vector": [[0, 0], [3, 1]], "least": [[0, 0], [0, 0]], "cutoff": [0, 0],
+                          "bound": [0, 0], "own": pd.array([None, 7], dtype="Int64")})
+    # All entries tie; the own id doesn't count for the second query.
+    found = pd.DataFrame({"number": range(40), "vector": [[2, 2]] * 40, "sole": pd.array([None] * 40, dtype="Int64"),
+                          "ids": [[7, 900 - i] if i % 2 else [100 + i, 1000] for i in range(40)]})
+    rows = topk._reaching((0,), asked, found, 6)
+    assert [len(x) for x in rows["numbers"]] == [6, 6]
+    assert sorted(rows["numbers"][1].tolist()) == [0, 2, 4, 6, 8, 10]
+    assert rows["scores"][1].tolist() == [8] * 6 and set(x % 2 for x in rows["numbers"][0]) == {1}
+
+
+def test_topk_of_many_ties_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CANDIDATES", 16)
+    monkeypatch.setattr(topk, "QUERIES", 2)
+    # The query 0 is zero: all tie. The vector of 50 stands at 3 and 50, too.
+    rows = [(0, [0, 0])] + [(200 - i, [i % 7, i]) for i in range(1, 160)] + [(50, [1, 1]), (3, [1, 1]), (50, [5, 5])]
+    found = topk.top_inner_products(
+        spark.createDataFrame(rows, "vec_id BIGINT, vector ARRAY<BIGINT>"), F.col("vec_id") % 50 == 0, 5).collect()
+    assert ranked(found) == each_row(rows, 50, 5)
+
+
 def test_neighbours_exclude_all_rows_of_the_own_id_before_the_cut(spark):
     frame = spark.createDataFrame(
         [(i, [float(x) for x in v]) for i, v in repeated_vectors()], "vec_id BIGINT, embedding ARRAY<DOUBLE>")
