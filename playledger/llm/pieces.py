@@ -56,6 +56,8 @@ class Pieces:
                 self.scores[piece] = lib.get_score(i)
         if len(self.bytes) != 256:
             raise ValueError("a vocabulary with all byte pieces is needed")
+        if MARK not in self.ids:
+            raise ValueError("a vocabulary with a piece for the mark is needed")
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece may hold marks at its start only")
         # id -> UTF-8 text of a piece
@@ -77,9 +79,14 @@ class Pieces:
         priority = np.unique(-score, return_inverse=True)[1]
         self.pairs = PairTable(left, right, priority, joined, max(names.values()) + 1)
         self.decimal = [str(i) for i in range(n)]
-        #: run -> (ids in decimal, decoded text); the older ones move back when they are met again
-        self.known: dict[str, tuple[str, str]] = {}
-        self.older: dict[str, tuple[str, str]] = {}
+        self.words = np.array(self.decimal, dtype=object)
+        #: run without its first mark -> ids in decimal; the older ones move back when they are met again
+        self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
+        #: The decoded texts, without the first blank, of those runs of either that may have bytes.
+        #: All others decode to themselves.
+        self.foreign: dict[str, str] = {}
+        self.foreign_older: dict[str, str] = {}
 
     def _long(self, run: str) -> list[int]:
         """Ids of one long run, by an agenda that is a heap."""
@@ -120,45 +127,57 @@ class Pieces:
 
     def merge(self, runs: list[str]) -> list[list[int]]:
         """Ids of each run."""
-        return self._merged(runs)[0]
+        return [[int(x) for x in ids.split(",")] if ids else [] for ids in self._merged(runs)[0]]
+
+    def _merged(self, runs: list[str]) -> tuple[list[str], dict[int, str]]:
+        """Ids of each run in decimal, and the decoded texts of runs that may hold bytes, by place.
+        Short runs share one agenda in arrays, long ones have heaps."""
+        decimal, top = self.decimal, len(self.decimal)
+        out, foreign = [""] * len(runs), {}
+
+        def spell(i: int, ids: list[int]) -> None:
+            out[i], foreign[i] = ",".join([decimal[x] for x in ids]), self._text(ids)
 
-    def _merged(self, runs: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """Ids of each run, and whether they may hold bytes. Short runs share one agenda in
-        arrays, long ones have heaps."""
-        out: list[list[int]] = [[]] * len(runs)
-        spelled = [True] * len(runs)
         short = [i for i, r in enumerate(runs) if len(r) <= LONG]
-        for i, run in enumerate(runs):
-            if len(run) > LONG:
-                out[i] = self._long(run)
+        if len(short) < len(runs):
+            for i, run in enumerate(runs):
+                if len(run) > LONG:
+                    spell(i, self._long(run))
         if not short:
-            return out, spelled
-        text = "".join([runs[i] for i in short])
-        codes = self.symbols[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-        flat, lengths = merge_words(codes, [len(runs[i]) for i in short], self.pairs)
-        ids, at, top = flat.tolist(), 0, len(self.decimal)
-        foreign = np.add.reduceat((flat < 0) | (flat >= top), np.cumsum(lengths) - lengths).tolist()
-        for i, n, other in zip(short, lengths.tolist(), foreign):
-            own = ids[at:at + n]
-            out[i] = [x for s in own for x in self._spelled(s)] if other else own
-            spelled[i] = other
-            at += n
-        return out, spelled
-
-    def _learn(self, runs: set[str]) -> None:
-        """Remember these runs; the older half of what is known goes first."""
+            return out, foreign
+        some = [runs[i] for i in short]
+        codes = self.symbols[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
+        flat, lengths = merge_words(codes, np.fromiter(map(len, some), np.int64, len(some)), self.pairs)
+        ends = np.cumsum(lengths)
+        strange = (flat < 0) | (flat >= top)
+        words = self.words[np.where(strange, 0, flat)].tolist()
+        joined = [",".join(words[a:b]) for a, b in zip((ends - lengths).tolist(), ends.tolist())]
+        for i in np.flatnonzero(np.logical_or.reduceat(strange, ends - lengths)).tolist():
+            spell(short[i], [x for s in flat[ends[i] - lengths[i]:ends[i]].tolist() for x in self._spelled(s)])
+            joined[i] = out[short[i]]
+        if len(short) == len(runs):
+            return joined, foreign
+        for i, ids in zip(short, joined):
+            out[i] = ids
+        return out, foreign
+
+    def _learn(self, runs: set[str]) -> tuple[dict[str, str], dict[str, str]]:
+        """Remember these runs; the older half of what is known goes first. Returns the ids of all
+        known runs, and the decoded texts of those of these that may have bytes."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
-        new = runs - known.keys()
-        met = new & older.keys()
-        known.update((run, older[run]) for run in met)
-        unknown = list(new - met)
-        decimal = self.decimal
-        for run, ids, spelled in zip(unknown, *self._merged(unknown)):
-            # Pieces that are no bytes add up to their run.
-            text = self._text(ids) if spelled else run.replace(MARK, " ")
-            known[run] = ",".join([decimal[x] for x in ids]), text
+            self.foreign, self.foreign_older = {}, self.foreign
+        known, older, foreign = self.known, self.older, self.foreign
+        new = runs.difference(known)
+        met = [run for run in new if run in older]
+        known.update([(run, older[run]) for run in met])
+        foreign.update([(run, self.foreign_older[run]) for run in met if run in self.foreign_older])
+        unknown = list(new.difference(met))
+        ids, spelled = self._merged([MARK + run for run in unknown])
+        known.update(zip(unknown, ids))
+        # A run starts with a mark, which is never spelled in bytes.
+        foreign.update([(unknown[i], text.removeprefix(" ")) for i, text in spelled.items()])
+        return known, {run: foreign[run] for run in runs if run in foreign}
 
     def _text(self, ids: list[int]) -> str:
         try:
@@ -173,30 +192,31 @@ class Pieces:
             return data.decode("utf-8", "surrogateescape").translate(_LOST)
 
     def runs(self, text: str) -> list[str]:
+        """Runs of marks with what follows them, each without its first mark."""
         if not text:
             return []
         if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
-            return _RUN.findall(MARK + text.replace(" ", MARK))
-        return [MARK + x for x in text.split(" ")]
+            return [x[1:] for x in _RUN.findall(MARK + text.replace(" ", MARK))]
+        return text.split(" ")
 
     def encode_texts(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text, how many ids it has, the ids in decimal joined by commas, and the
         decoded text, both compared with the library's. The new runs of some texts are encoded
         together."""
-        decimal = self.decimal
+        decimal = self.decimal.__getitem__
         for some in _together(texts):
             split = [self.runs(t) for t in some]
-            self._learn(set().union(*split))
-            known = self.known
+            known, foreign = self._learn(set().union(*split))
             expected = self.library.encode(some, num_threads=1)
             back = self.library.decode(expected, num_threads=1)
             for text, runs, ids, theirs in zip(some, split, expected, back):
-                found = [known[r] for r in runs]
-                own = ",".join([f[0] for f in found])
-                if own != ",".join([decimal[x] for x in ids]):
+                own = ",".join(map(known.__getitem__, runs))
+                if own != ",".join(map(decimal, ids)):
                     raise ValueError(f"the encoder differs from the library on {text[:200]!r}")
-                # Characters never reach over runs, so decoded runs add up to the decoded text.
-                decoded = "".join([f[1] for f in found]).removeprefix(" ")
+                # Characters never reach over runs, so decoded runs add up to the decoded text, and
+                # pieces that are no bytes to their run.
+                plain = runs if foreign.keys().isdisjoint(runs) else map(foreign.get, runs, runs)
+                decoded = " ".join(plain).replace(MARK, " ")
                 if decoded != theirs:
                     raise ValueError(f"the decoder differs from the library on {text[:200]!r}")
                 yield len(ids), own, decoded
