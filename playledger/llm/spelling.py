@@ -65,7 +65,13 @@ def word_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dro
 
 def _codes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All code points of the words, and how many each word has."""
-    text = "".join(words.to_pylist())
+    if not len(words):
+        return np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+    # The letters of all words lie one after another in the column's buffer.
+    words = words.cast(pa.string())
+    _, offsets, letters = words.buffers()
+    first, last = np.frombuffer(offsets, dtype=np.int32)[[words.offset, words.offset + len(words)]]
+    text = str(memoryview(letters or b"")[first:last], "utf-8")
     return np.frombuffer(text.encode("utf-32-le"), dtype="<u4"), pc.utf8_length(words).to_numpy().astype(np.int64)
 
 
@@ -148,7 +154,7 @@ class _Trie:
         begin = [(0, ~single, node, 1, 1)] + [
             (TOP, single & (surplus == up) & (deficit == down), self.below[node], up, down)
             for up in (0, 1) for down in (0, 1)]
-        stack = []
+        stack, leaves, waiting = [], [], 0
         for level, own, at, up, down in begin:
             own_rows, own_node = rows[own], at[own]
             stack += [(level, own_rows[i:i + WIDE], own_node[i:i + WIDE], up, down)
@@ -156,7 +162,11 @@ class _Trie:
         while stack:
             level, rows, node, surplus, deficit = stack.pop()
             if level == GROUPS:
-                yield from self._leaves(rows, node)
+                leaves.append((rows, node))
+                waiting += len(rows)
+                if waiting >= WIDE:
+                    yield from self._leaves(leaves)
+                    leaves, waiting = [], 0
                 continue
             keys, wanted = self.keys[level], node * self.base + vectors[rows, level]
             counts = vectors[rows, level]
@@ -169,8 +179,11 @@ class _Trie:
                 there &= (counts + step >= 0) & (counts + step < self.base)
                 if there.any():
                     stack.append((level + 1, rows[there], child[there], *left))
+        if leaves:
+            yield from self._leaves(leaves)
 
-    def _leaves(self, rows: np.ndarray, node: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def _leaves(self, found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        rows, node = (np.concatenate(x) for x in zip(*found))
         first, size = self.starts[node], self.starts[node + 1] - self.starts[node]
         ends = np.cumsum(size)
         at, total = 0, int(ends[-1])
@@ -189,11 +202,13 @@ class _Letters:
         row = np.repeat(np.arange(len(lengths)), lengths)
         place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         back = np.repeat(lengths, lengths) - 1 - place
-        self.left = np.zeros((len(lengths), LONG + 1), dtype=np.uint32)
-        self.right = np.zeros((len(lengths), LONG + 1), dtype=np.uint32)
+        # As narrow as the words allow.
+        width, kind = min(LONG, int(lengths.max(initial=0))) + 1, np.uint16 if codes.max(initial=0) < 0xFFFF else np.uint32
+        self.left = np.zeros((len(lengths), width), dtype=kind)
+        self.right = np.zeros((len(lengths), width), dtype=kind)
         for matrix, at in ((self.left, place), (self.right, back)):
             fits = at < LONG
-            matrix[row[fits], at[fits]] = codes[fits] + np.uint32(1)
+            matrix[row[fits], at[fits]] = (codes[fits] + np.uint32(1)).astype(kind)
 
     def near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Pairs that differ by exactly one inserted, deleted or replaced code point."""
@@ -202,7 +217,8 @@ class _Letters:
         same = []
         for matrix in (self.left, self.right):
             differs = matrix[a] != matrix[b]
-            first = np.where(differs.any(axis=1), differs.argmax(axis=1), LONG + 1)
+            first = differs.argmax(axis=1)
+            first[~differs[np.arange(len(first)), first]] = LONG + 1
             same.append(np.minimum(first, shortest))
         found = (same[0] + same[1] >= longest - 1) & (longest - shortest <= 1) & (same[0] < longest)
         for i in np.flatnonzero(longest > LONG):
@@ -245,9 +261,12 @@ def _searched(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     trie = _Trie(tile[member], vectors[member])
     for at, to in trie.search(tile[asking], vectors[asking]):
         # Most searching words reach no leaf: letters are laid out for those that do.
-        met, place = np.unique(np.concatenate([asking[at], member[to]]), return_inverse=True)
+        a, b = asking[at], member[to]
+        used = np.zeros(len(words), dtype=bool)
+        used[a] = used[b] = True
+        met, place = np.flatnonzero(used), np.cumsum(used) - 1
         some = words.take(pa.array(met))
-        a, b = np.split(place, 2)
+        a, b = place[a], place[b]
         close = _Letters(some, *_codes(some)).near(a, b)
         a, b = met[a[close]], met[b[close]]
         first, second = words.take(pa.array(a)), words.take(pa.array(b))

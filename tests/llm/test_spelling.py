@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from playledger.llm import spelling
@@ -112,3 +114,21 @@ def test_query_equals_brute_force(spark):
     sf = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert rows(op11_spelling(spark, sf)) == plain(counted(docs))
+
+
+def test_letters_come_from_the_column_and_leaves_together():
+    words = pa.array(["über", "aaa", "x", "", "日本"])
+    codes, lengths = spelling._codes(words.slice(1, 4))
+    assert "".join(map(chr, codes)) == "aaax日本" and lengths.tolist() == [3, 1, 0, 2]
+    assert [len(x) for x in spelling._codes(words.slice(0, 0))] == [0, 0]
+    # As narrow as the words allow.
+    assert spelling._Letters(words, *spelling._codes(words)).left.shape == (5, 5)
+    rng = random.Random(3)
+    some = sorted({"".join(rng.choice("ab") for _ in range(8)) for _ in range(200)})
+    vectors = spelling._vectors(*spelling._codes(pa.array(some)))
+    trie = spelling._Trie(np.zeros(len(some), dtype=np.int64), vectors)
+    # Leaves of all branches are given at once.
+    found = list(trie.search(np.zeros(len(some), dtype=np.int64), vectors))
+    assert len(found) == 1
+    pairs = {(some[a], some[b]) for a, b in zip(*found[0])}
+    assert all((a, b) in pairs for a in some for b in some if one_edit(a, b))
