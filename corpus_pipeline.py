@@ -35,15 +35,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without shingles are near nothing and stay unless they equal each other in all columns."""
     own = docs.select(*COLUMNS).withColumn("text_key", pii.key_of_text())
     groups = stored(setsketch.text_components(own))
+    # Rows are chosen without their texts, and those that equal each other in all columns are one.
+    keys = ["doc_id", "text_key", "lang", "source", "n_chars", "no_text"]
+    marked = own.withColumn("no_text", F.col("text").isNull())
+    slim = stored(marked.groupBy(*keys).agg((F.count("*") > 1).alias("repeated")))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "lang", "source", "n_chars")
-    least = own.drop("text").join(groups, "text_key").groupBy("component").agg(F.min(order).alias("_least"))
+    least = slim.join(groups, "text_key").groupBy("component").agg(F.min(order).alias("_least"))
     chosen = stored(least.select("_least.*").drop("no_id"))
-    same = own["text_key"] == chosen["text_key"]
+    same = slim["text_key"] == chosen["text_key"]
     for c in ("doc_id", "lang", "source", "n_chars"):
-        same = same & own[c].eqNullSafe(chosen[c])
-    # Rows that equal the chosen one in all columns are one.
-    kept = own.join(chosen, same, "left_semi").unionByName(own.join(groups, "text_key", "left_anti"))
-    return kept.select(*COLUMNS).distinct()
+        same = same & slim[c].eqNullSafe(chosen[c])
+    kept = stored(slim.join(chosen, same, "left_semi").unionByName(slim.join(groups, "text_key", "left_anti")))
+    equal = marked["text_key"] == kept["text_key"]
+    for c in ("doc_id", "lang", "source", "n_chars", "no_text"):
+        equal = equal & marked[c].eqNullSafe(kept[c])
+    found = marked.join(kept, equal).select("repeated", *(marked[c] for c in COLUMNS))
+    once, more = found.where("NOT repeated"), found.where("repeated")
+    return once.select(*COLUMNS).unionByName(more.select(*COLUMNS).distinct())
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop_stored, stored
 from .components import connected_components
 from .wordhash import shingle_set, word_hashes
 
@@ -208,9 +208,13 @@ def candidate_links(nodes: DataFrame, percent: int = 75) -> DataFrame:
     crowded = banded.groupBy("band", "value").agg(
         F.count("*").alias("size"), F.min("node").alias("hub")).where("size > 1")
     members = stored(banded.join(crowded, ["band", "value"]))
+    written: list[DataFrame] = []
     sketch = nodes.select("node", "n_shingles", "bands")
 
     def likely(pairs: DataFrame) -> DataFrame:
+        # Written first, so that few pairs are known to be few and sketches stay where they are.
+        pairs = stored(pairs)
+        written.append(pairs)
         both = pairs.join(
             sketch.withColumnsRenamed({"node": "a", "n_shingles": "n_a", "bands": "bands_a"}), "a"
         ).join(sketch.withColumnsRenamed({"node": "b", "n_shingles": "n_b", "bands": "bands_b"}), "b")
@@ -220,9 +224,11 @@ def candidate_links(nodes: DataFrame, percent: int = 75) -> DataFrame:
         F.col("hub").alias("a"), F.col("node").alias("b")).distinct()))
     groups = connected_components(first).withColumnRenamed("component", "group")
     placed = stored(members.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node")))
+    drop_stored(members)
     mixed = placed.groupBy("band", "value").agg(
         F.min("group").alias("_low"), F.max("group").alias("_high")).where("_low < _high").select("band", "value")
     rest = stored(placed.join(mixed, ["band", "value"]))
+    drop_stored(placed)
     small = rest.where(F.col("size") <= SMALL)
     left = small.select(
         "band", "value", "hub", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"), F.col("group").alias("g_a"))
@@ -236,7 +242,8 @@ def candidate_links(nodes: DataFrame, percent: int = 75) -> DataFrame:
     main = large.groupBy("band", "value", "group").agg(F.count("*").alias("_n")).groupBy("band", "value").agg(
         F.max_by("group", "_n").alias("_main"), F.max("_n").alias("_in_main"))
     # Both sides are dealt to blocks: each block meets each block of those outside the main group.
-    marked = large.join(main, ["band", "value"]).join(sketch.select("node", "bands"), "node").withColumn(
+    in_main = stored(large.join(main, ["band", "value"]))
+    marked = in_main.join(sketch.select("node", "bands"), "node").withColumn(
         "_blocks", F.ceil(F.col("size") / SIDE).cast("int")).withColumn(
         "_askers", F.ceil((F.col("size") - F.col("_in_main")) / SIDE).cast("int"))
 
@@ -250,7 +257,10 @@ def candidate_links(nodes: DataFrame, percent: int = 75) -> DataFrame:
 
     in_large = dealt(marked, False).unionByName(dealt(marked.where(F.col("group") != F.col("_main")), True)).groupBy(
         "band", "value", "_block", "_asker").applyInPandas(_likely_in_bucket(percent), "a BIGINT, b BIGINT")
-    return first.unionByName(likely(pairs)).unionByName(in_large)
+    links = stored(first.unionByName(likely(pairs)).unionByName(in_large))
+    for gone in (first, rest, in_main, *written):
+        drop_stored(gone)
+    return links
 
 
 def _exact_links(percent: int):
@@ -311,9 +321,13 @@ def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
             F.min_by("bands", F.struct(key_less, "text_key")).alias("bands"))
         .withColumn("node", F.monotonically_increasing_id())
     )
+    # Sketches are kept once, with the nodes.
+    sketched, rows = rows, stored(rows.drop("bands"))
+    drop_stored(sketched)
     maybe = connected_components(candidate_links(nodes, percent))
     sizes = maybe.groupBy("component").agg(F.count("*").alias("size"))
-    wanted = (
+    # Written first: where few texts are wanted, the others are not shuffled.
+    wanted = stored(
         maybe.join(sizes, "component")
         .join(nodes.select("node", F.col("source.id").alias("id"), F.col("source.text_key").alias("text_key")), "node")
     )

@@ -17,7 +17,7 @@ from playledger.llm import (
     components, licenses, merging, neighbours, packing, pieces, pii, quality, setsketch, sharding,
     topk, toxicity, wordhash,
 )
-from playledger.llm.common import fold
+from playledger.llm.common import drop_stored, fold, stored
 
 from . import brute
 
@@ -549,6 +549,39 @@ HARD = [
 ]
 
 
+def test_near_duplicates_keep_sketches_once_and_no_bands(spark, monkeypatch):
+    left = []
+
+    def write(df):
+        left.append(stored(df))
+        return left[-1]
+
+    def drop(df):
+        left.remove(next(x for x in left if x is df))
+        drop_stored(df)
+
+    monkeypatch.setattr(setsketch, "stored", write)
+    monkeypatch.setattr(setsketch, "drop_stored", drop)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[:40 + i]) for i in range(8)] + ["other words of a text"] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    found = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs).collect()}
+    assert found == {i: 0 if i < 8 else 8 for i in range(10)}
+    assert sum("bands" in df.columns for df in left) == 1 and not any("band" in df.columns for df in left)
+
+
+def test_remembered_runs_hold_no_texts_but_those_with_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 3)
+    own = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["plain words here", "\U00012345 plain \x85", "other things to say", "\U00012345 words", " plain  \x85 ", ""] * 2
+    for text in texts:
+        ids = next(own.encode_texts([text]))[1]
+        assert [int(x) for x in ids.split(",") if x] == own.library.encode(text)
+        assert all(isinstance(x, str) for x in (own.known | own.older).values())
+        assert not any("plain" in run for run in own.foreign | own.foreign_older)
+    assert "\U00012345" in own.foreign | own.foreign_older and own.foreign_older.keys() <= own.older.keys()
+
+
 def test_encoders_match_their_libraries():
     own = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     word = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
