@@ -36,6 +36,8 @@ LIKELY = 0.62
 SMALL = 24
 #: Members of one block of a large group, and of either side in a task of a large bucket.
 BLOCK, SIDE = 64, 2048
+#: Bits for each key that rows are looked up by before they are shuffled, and all bits at most.
+SPARE, MOST_BITS = 16, 1 << 28
 
 _draw = np.random.default_rng(20240917)
 _FACTOR = _draw.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -310,6 +312,21 @@ def _intersections(sets: list[np.ndarray]) -> np.ndarray:
     return both
 
 
+def _may_be_among(rows: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose keys are among those of `chosen`, and one in `SPARE` of the others at most.
+
+    A bit is set for the hash of each chosen key. The bits are broadcast in words of 64, in size
+    by the number of chosen rows; above `MOST_BITS` more of the other rows pass. A join by the
+    keys follows: this only keeps rows that it would drop out of its shuffle.
+    """
+    bits = min(max(1 << (SPARE * chosen.count()).bit_length(), 64), MOST_BITS)
+    at = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    word, bit = F.shiftright(at, 6).alias("_word"), at.bitwiseAND(F.lit(63)).cast("int").alias("_bit")
+    words = chosen.select(word, bit).groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits"))
+    return rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word").where(
+        F.getbit("_bits", "_bit") == 1).drop("_word", "_bit", "_bits")
+
+
 def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The sketched rows, and set_key, n_shingles, least_id, component of each set."""
     rows = stored(sketches(docs))
@@ -326,13 +343,13 @@ def _components(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     drop_stored(sketched)
     maybe = connected_components(candidate_links(nodes, percent))
     sizes = maybe.groupBy("component").agg(F.count("*").alias("size"))
-    # Written first: where few texts are wanted, the others are not shuffled.
+    # Written first, so that texts that are not wanted can be left out before the shuffle.
     wanted = stored(
         maybe.join(sizes, "component")
         .join(nodes.select("node", F.col("source.id").alias("id"), F.col("source.text_key").alias("text_key")), "node")
     )
     texts = (
-        _keyed(docs).withColumn("id", key_less).drop("doc_id")
+        _may_be_among(_keyed(docs).withColumn("id", key_less).drop("doc_id"), wanted, ["id", "text_key"])
         .join(wanted, ["id", "text_key"])
         .select("node", "component", "size", "text")
     )

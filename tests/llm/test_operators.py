@@ -570,6 +570,44 @@ def test_near_duplicates_keep_sketches_once_and_no_bands(spark, monkeypatch):
     assert sum("bands" in df.columns for df in left) == 1 and not any("band" in df.columns for df in left)
 
 
+def test_texts_that_are_not_wanted_stay_out_of_the_shuffle(spark, monkeypatch):
+    met, tiles = [], setsketch._tiles
+    monkeypatch.setattr(setsketch, "_tiles", lambda texts, *columns: met.append(texts) or tiles(texts, *columns))
+    rng = random.Random(5)
+    rows = [words(rng, 30) for _ in range(600)]
+    rows += [text + " more" for text in rows[:20]] + [None, "", rows[0]]
+    docs = spark.createDataFrame([*enumerate(rows), (None, rows[1])], "doc_id BIGINT, text STRING")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = {r.doc_id: r.component_id for r in setsketch.near_duplicates(docs).collect()}
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        texts = met[0].select("*")
+        assert len(texts.collect()) == 40
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert found == {i: i - 600 if 600 <= i < 620 else 0 if i == 622 else i for i in range(len(rows))} | {None: 1}
+    todo, shuffled = [texts._jdf.queryExecution().executedPlan()], []
+    while todo:
+        plan = todo.pop()
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+        if plan.nodeName() == "Exchange" and " text#" in plan.output().mkString(" ", " ", ""):
+            shuffled.append(plan.metrics().apply("shuffleRecordsWritten").value())
+    assert len(shuffled) == 1 and 40 <= shuffled[0] < 150
+
+
+def test_bits_of_keys_lose_none(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("IF(id = 7, NULL, id) AS id", "id % 3 AS part")
+    chosen = rows.where("id % 50 = 0 OR id IS NULL")
+    for most in (64, 1 << 28):
+        monkeypatch.setattr(setsketch, "MOST_BITS", most)
+        found = setsketch._may_be_among(rows, chosen, ["id", "part"])
+        assert found.columns == rows.columns
+        assert found.exceptAll(chosen).count() + 61 == found.count() <= (3000 if most == 64 else 400)
+    assert setsketch._may_be_among(rows, rows.limit(0), ["id"]).count() == 0
+
+
 def test_remembered_runs_hold_no_texts_but_those_with_bytes(monkeypatch):
     monkeypatch.setattr(pieces, "REMEMBERED", 3)
     own = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
