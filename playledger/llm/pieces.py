@@ -54,6 +54,8 @@ class Pieces:
             elif not lib.is_control(i) and not lib.is_unknown(i):
                 self.ids[piece] = i
                 self.scores[piece] = lib.get_score(i)
+        if n > 0x110000:
+            raise ValueError("vocabularies whose ids are no code points are not supported")
         if len(self.bytes) != 256:
             raise ValueError("a vocabulary with all byte pieces is needed")
         if MARK not in self.ids:
@@ -78,15 +80,16 @@ class Pieces:
         left, right, score, joined = (np.array(x) for x in zip(*found))
         priority = np.unique(-score, return_inverse=True)[1]
         self.pairs = PairTable(left, right, priority, joined, max(names.values()) + 1)
-        self.decimal = [str(i) for i in range(n)]
-        self.words = np.array(self.decimal, dtype=object)
-        #: run without its first mark -> ids in decimal; the older ones move back when they are met again
+        self.decimal = np.array([str(i) for i in range(n)], dtype=object)
+        #: run without its first mark -> ids as code points; the older ones move back when they are met again
         self.known: dict[str, str] = {}
         self.older: dict[str, str] = {}
         #: The decoded texts, without the first blank, of those runs of either that may have bytes.
         #: All others decode to themselves.
         self.foreign: dict[str, str] = {}
         self.foreign_older: dict[str, str] = {}
+        #: Whether one of those decoded to something else than itself.
+        self.altered = False
 
     def _long(self, run: str) -> list[int]:
         """Ids of one long run, by an agenda that is a heap."""
@@ -116,10 +119,19 @@ class Pieces:
                 enter(before[i], symbols[before[i]] + pair)
         return [x for s in symbols if s is not None for x in self._fallback(s)]
 
-    def _spelled(self, symbol: int) -> list[int]:
-        if 0 <= symbol < len(self.decimal):
-            return [symbol]
-        return self._fallback(chr(-2 - symbol) if symbol < 0 else self.unlisted[symbol])
+    def _spelled(self, flat: np.ndarray, lengths: np.ndarray, strange: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many each has: the strange symbols, which are no ids, are spelled."""
+        symbols, which = np.unique(flat[strange], return_inverse=True)
+        ids = [self._fallback(chr(-2 - x) if x < 0 else self.unlisted[x]) for x in symbols.tolist()]
+        size = np.array([len(x) for x in ids])
+        table = np.zeros((len(ids), size.max()), dtype=flat.dtype)
+        used = np.arange(size.max()) < size[:, None]
+        table[used] = np.concatenate(ids)
+        count = np.ones(len(flat), dtype=np.int64)
+        count[strange] = size[which]
+        out = np.repeat(flat, count)
+        out[np.repeat(strange, count)] = table[which][used[which]]
+        return out, np.add.reduceat(count, np.cumsum(lengths) - lengths)
 
     def _fallback(self, symbol: str) -> list[int]:
         own = self.ids.get(symbol)
@@ -127,57 +139,67 @@ class Pieces:
 
     def merge(self, runs: list[str]) -> list[list[int]]:
         """Ids of each run."""
-        return [[int(x) for x in ids.split(",")] if ids else [] for ids in self._merged(runs)[0]]
+        return [list(map(ord, ids)) for ids in self._merged(runs)[0]]
 
     def _merged(self, runs: list[str]) -> tuple[list[str], dict[int, str]]:
-        """Ids of each run in decimal, and the decoded texts of runs that may hold bytes, by place.
+        """Ids of each run as code points, and the decoded texts of runs that may hold bytes, by place.
         Short runs share one agenda in arrays, long ones have heaps."""
-        decimal, top = self.decimal, len(self.decimal)
         out, foreign = [""] * len(runs), {}
-
-        def spell(i: int, ids: list[int]) -> None:
-            out[i], foreign[i] = ",".join([decimal[x] for x in ids]), self._text(ids)
-
-        short = [i for i, r in enumerate(runs) if len(r) <= LONG]
-        if len(short) < len(runs):
-            for i, run in enumerate(runs):
-                if len(run) > LONG:
-                    spell(i, self._long(run))
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        for i in np.flatnonzero(sizes > LONG).tolist():
+            ids = self._long(runs[i])
+            out[i], foreign[i] = _points(ids), self._text(ids)
+        short = np.flatnonzero(sizes <= LONG).tolist()
         if not short:
             return out, foreign
-        some = [runs[i] for i in short]
+        some = runs if len(short) == len(runs) else [runs[i] for i in short]
         codes = self.symbols[np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-        flat, lengths = merge_words(codes, np.fromiter(map(len, some), np.int64, len(some)), self.pairs)
+        flat, lengths = merge_words(codes, sizes[short], self.pairs)
+        strange = (flat < 0) | (flat >= len(self.decimal))
+        spelled = np.flatnonzero(np.logical_or.reduceat(strange, np.cumsum(lengths) - lengths))
+        if len(spelled):
+            flat, lengths = self._spelled(flat, lengths, strange)
         ends = np.cumsum(lengths)
-        strange = (flat < 0) | (flat >= top)
-        words = self.words[np.where(strange, 0, flat)].tolist()
-        joined = [",".join(words[a:b]) for a, b in zip((ends - lengths).tolist(), ends.tolist())]
-        for i in np.flatnonzero(np.logical_or.reduceat(strange, ends - lengths)).tolist():
-            spell(short[i], [x for s in flat[ends[i] - lengths[i]:ends[i]].tolist() for x in self._spelled(s)])
-            joined[i] = out[short[i]]
+        points, starts = _points(flat), (ends - lengths).tolist()
+        ends = ends.tolist()
+        for i in spelled.tolist():
+            foreign[short[i]] = self._text(flat[starts[i]:ends[i]].tolist())
+        joined = [points[a:b] for a, b in zip(starts, ends)]
         if len(short) == len(runs):
             return joined, foreign
         for i, ids in zip(short, joined):
             out[i] = ids
         return out, foreign
 
-    def _learn(self, runs: set[str]) -> tuple[dict[str, str], dict[str, str]]:
-        """Remember these runs; the older half of what is known goes first. Returns the ids of all
-        known runs, and the decoded texts of those of these that may have bytes."""
+    def _known(self, split: list[list[str]]) -> Iterator[list[str]]:
+        """Ids of the runs of each text, all remembered; the older half of what is known goes first."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
             self.foreign, self.foreign_older = {}, self.foreign
-        known, older, foreign = self.known, self.older, self.foreign
-        new = runs.difference(known)
-        met = [run for run in new if run in older]
-        known.update([(run, older[run]) for run in met])
-        foreign.update([(run, self.foreign_older[run]) for run in met if run in self.foreign_older])
-        unknown = list(new.difference(met))
+        get = self.known.get
+        found = [list(map(get, runs)) for runs in split]
+        new: set[str] = set()
+        for runs, own in zip(split, found):
+            if None in own:
+                new.update([run for run, ids in zip(runs, own) if ids is None])
+        learnt = self._learn(new)
+        for runs, own in zip(split, found):
+            yield [learnt[run] if ids is None else ids for run, ids in zip(runs, own)] if None in own else own
+
+    def _learn(self, new: set[str]) -> dict[str, str]:
+        """Ids of these runs, which are not among the younger ones yet."""
+        older, lost = self.older, self.foreign_older
+        learnt = {run: older[run] for run in new if run in older}
+        self.foreign.update([(run, lost[run]) for run in learnt if run in lost])
+        unknown = [run for run in new if run not in learnt]
         ids, spelled = self._merged([MARK + run for run in unknown])
-        known.update(zip(unknown, ids))
-        # A run starts with a mark, which is never spelled in bytes.
-        foreign.update([(unknown[i], text.removeprefix(" ")) for i, text in spelled.items()])
-        return known, {run: foreign[run] for run in runs if run in foreign}
+        learnt.update(zip(unknown, ids))
+        self.known.update(learnt)
+        for i, text in spelled.items():
+            # A run starts with a mark, which is never spelled in bytes.
+            self.foreign[unknown[i]] = back = text.removeprefix(" ")
+            self.altered = self.altered or back != unknown[i]
+        return learnt
 
     def _text(self, ids: list[int]) -> str:
         try:
@@ -203,23 +225,21 @@ class Pieces:
         """For each text, how many ids it has, the ids in decimal joined by commas, and the
         decoded text, both compared with the library's. The new runs of some texts are encoded
         together."""
-        decimal = self.decimal.__getitem__
         for some in _together(texts):
             split = [self.runs(t) for t in some]
-            known, foreign = self._learn(set().union(*split))
-            expected = self.library.encode(some, num_threads=1)
+            expected = self.library.encode(some, return_type="numpy", num_threads=1)
             back = self.library.decode(expected, num_threads=1)
-            for text, runs, ids, theirs in zip(some, split, expected, back):
-                own = ",".join(map(known.__getitem__, runs))
-                if own != ",".join(map(decimal, ids)):
+            for text, runs, found, ids, theirs in zip(some, split, self._known(split), expected, back):
+                own = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+                if own.tobytes() != ids.astype("<u4").tobytes():
                     raise ValueError(f"the encoder differs from the library on {text[:200]!r}")
                 # Characters never reach over runs, so decoded runs add up to the decoded text, and
                 # pieces that are no bytes to their run.
-                plain = runs if foreign.keys().isdisjoint(runs) else map(foreign.get, runs, runs)
+                plain = map(self.foreign.get, runs, runs) if self.altered else runs
                 decoded = " ".join(plain).replace(MARK, " ")
                 if decoded != theirs:
                     raise ValueError(f"the decoder differs from the library on {text[:200]!r}")
-                yield len(ids), own, decoded
+                yield len(own), ",".join(self.decimal[own].tolist()), decoded
 
     def encode(self, text: str) -> list[int]:
         ids = next(self.encode_texts([text]))[1]
@@ -243,6 +263,11 @@ def _together(texts: list[str]) -> Iterator[list[str]]:
         yield some
 
 
+def _points(ids: np.ndarray | list[int]) -> str:
+    """Ids as the code points of a text, which is short and joined and compared as a whole."""
+    return np.asarray(ids, dtype="<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
 #: What "surrogateescape" makes of lone bytes.
 _LOST = {0xDC00 + b: "\ufffd" for b in range(128, 256)}
 

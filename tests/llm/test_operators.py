@@ -620,6 +620,26 @@ def test_remembered_runs_hold_no_texts_but_those_with_bytes(monkeypatch):
     assert "\U00012345" in own.foreign | own.foreign_older and own.foreign_older.keys() <= own.older.keys()
 
 
+def test_remembered_runs_are_code_points_of_their_ids(monkeypatch):
+    own = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    texts = ["the words \U00012345 of a text", "", "the \nwords " + "x" * 50, "日本🙂\x00 Ⱥ words"]
+    for text, (n, ids, back) in zip(texts, own.encode_texts(texts)):
+        expected = own.library.encode(text)
+        assert (n, ids, back) == (len(expected), ",".join(map(str, expected)), own.library.decode(expected))
+    for run, ids in own.known.items():
+        assert [ord(c) for c in ids] == own.merge(["▁" + run])[0] == own.library.encode(run)
+    assert not own.altered
+    for odd in ([], [1, 0xD83D, 0xDE00, 0xDFFF, 70000]):
+        assert [ord(c) for c in pieces._points(odd)] == odd
+    # A run that decodes to something else counts in every later text, and is compared.
+    other = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    monkeypatch.setattr(other, "_text", lambda ids: " lost")
+    for text in ("\U00012345 first", "then \U00012345"):
+        with pytest.raises(ValueError, match="decoder differs"):
+            list(other.encode_texts([text]))
+    assert other.altered and [x[2] for x in other.encode_texts(["plain words"])] == ["plain words"]
+
+
 def test_encoders_match_their_libraries():
     own = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
     word = packing.WordTokens(public_tokenizers.path("word_bpe_49k.json"))
