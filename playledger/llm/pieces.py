@@ -171,20 +171,29 @@ class Pieces:
             out[i] = ids
         return out, foreign
 
-    def _known(self, split: list[list[str]]) -> Iterator[list[str]]:
-        """Ids of the runs of each text, all remembered; the older half of what is known goes first."""
+    def _known(self, texts: list[str]) -> Iterator[tuple[list[str], str]]:
+        """Ids of the runs of each text, all remembered, and the runs as one text again; the older half
+        of what is known goes first. Runs are looked up while they are new, and only unknown ones kept."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
             self.foreign, self.foreign_older = {}, self.foreign
         get = self.known.get
-        found = [list(map(get, runs)) for runs in split]
-        new: set[str] = set()
-        for runs, own in zip(split, found):
-            if None in own:
-                new.update([run for run, ids in zip(runs, own) if ids is None])
-        learnt = self._learn(new)
-        for runs, own in zip(split, found):
-            yield [learnt[run] if ids is None else ids for run, ids in zip(runs, own)] if None in own else own
+        found, lacking, plain = [], [], []
+        for text in texts:
+            runs = self.runs(text)
+            own = list(map(get, runs))
+            found.append(own)
+            lacking.append([run for run, ids in zip(runs, own) if ids is None] if None in own else [])
+            plain.append(" ".join(runs))
+        learnt = self._learn(set().union(*lacking))
+        for text, own, new, same in zip(texts, found, lacking, plain):
+            if new:
+                ids = map(learnt.__getitem__, new)
+                own = [next(ids) if x is None else x for x in own]
+            if self.altered:
+                runs = self.runs(text)
+                same = " ".join(map(self.foreign.get, runs, runs))
+            yield own, same
 
     def _learn(self, new: set[str]) -> dict[str, str]:
         """Ids of these runs, which are not among the younger ones yet."""
@@ -226,17 +235,15 @@ class Pieces:
         decoded text, both compared with the library's. The new runs of some texts are encoded
         together."""
         for some in _together(texts):
-            split = [self.runs(t) for t in some]
             expected = self.library.encode(some, return_type="numpy", num_threads=1)
             back = self.library.decode(expected, num_threads=1)
-            for text, runs, found, ids, theirs in zip(some, split, self._known(split), expected, back):
+            for text, (found, plain), ids, theirs in zip(some, self._known(some), expected, back):
                 own = np.frombuffer("".join(found).encode("utf-32-le", "surrogatepass"), dtype="<u4")
                 if own.tobytes() != ids.astype("<u4").tobytes():
                     raise ValueError(f"the encoder differs from the library on {text[:200]!r}")
                 # Characters never reach over runs, so decoded runs add up to the decoded text, and
                 # pieces that are no bytes to their run.
-                plain = map(self.foreign.get, runs, runs) if self.altered else runs
-                decoded = " ".join(plain).replace(MARK, " ")
+                decoded = plain.replace(MARK, " ")
                 if decoded != theirs:
                     raise ValueError(f"the decoder differs from the library on {text[:200]!r}")
                 yield len(own), ",".join(self.decimal[own].tolist()), decoded
