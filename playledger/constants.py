@@ -93,3 +93,5 @@ BROADCAST_ROWS = 200000
 INLINE_VALUES = 1000
 # Sub-groups a hot key is split into where a plan salts.
 SALTS = 64
+# Tables that an ingest writes at the same time.
+TABLES_AT_A_TIME = 4

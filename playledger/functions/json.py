@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -120,9 +121,10 @@ def with_records(
     )
     end = F.lit(f',[{{"_end":{_END_JSON}}}]]')
     wrapped = F.concat(F.lit("["), F.col("value"), end)
-    keys = "|".join(re.escape(k) for k in (*texts, *names))
-    # A wrapped date is unwrapped alike on both ways.
-    other = F.col("value").rlike(rf'"(?:{keys})"\s*:\s*(?!\{{\s*"\$date"\s*:)[^"n\s]') if keys else F.lit(False)
+    # A wrapped date is unwrapped alike on both ways. A pattern for each key, as one that starts with
+    # plain signs is looked for in steps of its length.
+    after = r'\s*:\s*(?!\{\s*"\$date"\s*:)[^"n\s]'
+    other = reduce(Column.__or__, [F.col("value").rlike(f'"{re.escape(k)}"{after}') for k in (*texts, *names)], F.lit(False))
 
     def as_record(r: Column) -> Column:
         return F.when(r.isNotNull(), F.struct(
@@ -220,6 +222,12 @@ def number(value: Column) -> Column:
     return F.when(~_suffixed(text(value)) | ~is_text(value), F.try_variant_get(value, "$", "double"))
 
 
+def plain_number(value: Column) -> Column:
+    """A VARIANT number as DOUBLE, NULL for any other value; without a cast of the VARIANT."""
+    return let(F.to_json(value), lambda t: let(F.ascii(t), lambda first: F.when(
+        (first == 45) | ((first >= 48) & (first <= 57)), t.try_cast("double"))))
+
+
 def number_of_text(value: Column) -> Column:
     """A numeric text as DOUBLE, NULL for others."""
     return F.when(~_suffixed(value), value.try_cast("double"))
@@ -241,9 +249,10 @@ def text_or(value: Column, default: str, null_text: str) -> Column:
 
 def flag(value: Column) -> Column:
     """Boolean: a missing key is false, JSON null stays NULL."""
-    return F.when(value.isNull(), F.lit(False)).otherwise(
-        F.try_variant_get(value, "$", "boolean")
-    )
+    # Written as JSON, the common values are told apart without a cast, which costs more.
+    return F.when(value.isNull(), F.lit(False)).otherwise(let(
+        F.to_json(value), lambda t: F.when(t == "true", F.lit(True)).when(t == "false", F.lit(False))
+        .when(t != "null", F.try_variant_get(value, "$", "boolean"))))
 
 
 def items(value: Column) -> Column:

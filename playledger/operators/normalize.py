@@ -36,15 +36,16 @@ def play_time(rec: Column) -> Column:
 def play_ms(rec: Column) -> Column:
     """Milliseconds of a play; NULL where the value given is no number."""
     own = rec["ms_played"]
-    given = F.try_variant_get(own, "$", "double")
     other = F.when(rec["msPlayed"].isNull(), 0.0).otherwise(J.number(rec["msPlayed"]))
+    given = F.try_variant_get(own, "$", "double")
     # A number needs one look; texts and other values are told apart with more care.
-    return (
-        F.when(own.isNull(), other)
-        .when(~J.is_text(own) & given.isNotNull(), F.when(given != 0, given).otherwise(other))
+    careful = (
+        F.when(~J.is_text(own) & given.isNotNull(), F.when(given != 0, given).otherwise(other))
         .when(J.first_filled(own).isNotNull(), J.number(own))
         .otherwise(other)
     )
+    return F.when(own.isNull(), other).otherwise(J.let(
+        J.plain_number(own), lambda n: F.when(n.isNull(), careful).when(n != 0, n).otherwise(other)))
 
 
 def _name(rec: Column, *keys: str) -> Column:

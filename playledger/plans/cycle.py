@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..sources import adapters as A
 from ..sources.exports import write_exports
+from ..sources.files import listing_tasks
 from ..sources.tables import current_runs, stored_rows
 from .ingest import ingest
 
@@ -38,13 +39,14 @@ def stored_overview(spark: SparkSession, dst: str) -> DataFrame:
     rows in a table has no row here; an amount is 0 where a table has nothing to add up.
     """
     runs = current_runs(spark, dst)
-    found = [
-        stored_rows(spark, dst, name, runs).where(_READ.get(name, "true")).groupBy("profile").agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.sum(F.expr(_AMOUNTS.get(name, "0"))).cast("double").alias("amount"),
-        ).select(F.lit(name).alias("table_name"), "profile", "rows", "amount")
-        for name in schemas.TABLES
-    ]
+    with listing_tasks(spark):
+        found = [
+            stored_rows(spark, dst, name, runs).where(_READ.get(name, "true")).groupBy("profile").agg(
+                F.count(F.lit(1)).alias("rows"),
+                F.sum(F.expr(_AMOUNTS.get(name, "0"))).cast("double").alias("amount"),
+            ).select(F.lit(name).alias("table_name"), "profile", "rows", "amount")
+            for name in schemas.TABLES
+        ]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -77,9 +79,13 @@ def ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
     lose their playlists, and those of the last region arrive."""
     files = A.export_files(spark, sf_dir)
     first = files.where(~F.col("region").eqNullSafe("MIDDLE EAST"))
-    touched = F.col("region").isin("AMERICA", "ASIA", "MIDDLE EAST")
     fewer = (F.col("region") == "EUROPE") & F.col("file_name").startswith("Playlist")
-    later = F.when(F.col("region") == "AMERICA", F.col("later")).when(
-        F.col("region") == "MIDDLE EAST", F.col("value"))
-    changes = files.where(touched | fewer).withColumn("value", later)
-    return ingest_cycle(spark, first, changes)
+    gone = files.where((F.col("region") == "ASIA") | fewer)
+    # Each part apart: no text is made that is not written.
+    parts = (
+        files.where("region = 'AMERICA'").withColumn("value", F.col("later")),
+        files.where("region = 'MIDDLE EAST'"),
+        gone.withColumn("value", F.lit(None).cast("string")),
+    )
+    changes = [part.select("profile", "file_name", "value") for part in parts]
+    return ingest_cycle(spark, first, reduce(DataFrame.unionByName, changes))

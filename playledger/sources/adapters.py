@@ -382,7 +382,16 @@ def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .select(*owner, "o_orderkey", F.expr(f"o_orderkey div {per_file}").alias("block"))
     )
     cols = dict(zip(("track", "artist", "album", "year", "ms", "ts", "skipped"), _play_columns()))
-    sold = _sold(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    keys = ("profile", "region", "block")
+    # Dealt to their files while the rows are narrow; nothing of a file is dealt out again.
+    sold = (
+        table(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_shipdate")
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .repartition(*keys)
+        .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    )
 
     def record(factor: int) -> Column:
         return _json(
@@ -393,20 +402,24 @@ def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     def listed(records: Column) -> Column:
-        return F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list(records)), ","), F.lit("]"))
+        return F.concat(F.lit("["), F.array_join(F.array_sort(records), ","), F.lit("]"))
 
-    keys = ("profile", "region", "block")
-    played = sold.groupBy(*keys).agg(listed(record(1)).alias("value"), listed(record(2)).alias("later")).select(
-        "profile", "region",
-        F.concat(F.lit("Streaming_History_Audio_"), "block", F.lit(".json")).alias("file_name"),
-        "value", "later")
     song = F.struct(F.struct(
         F.col("p_name").alias("trackName"), F.col("s_name").alias("artistName")).alias("track"))
-    lists = sold.groupBy(*keys, "o_orderkey").agg(_json(
-        name=F.concat(F.lit("O"), F.col("o_orderkey")), items=F.array_sort(F.collect_list(song))).alias("list"))
-    shared = lists.groupBy(*keys).agg(
-        F.concat(F.lit('{"playlists":'), listed(F.col("list")), F.lit("}")).alias("value")).select(
-        "profile", "region", F.concat(F.lit("Playlist"), "block", F.lit(".json")).alias("file_name"), "value")
+    lists = sold.groupBy(*keys, "o_orderkey").agg(
+        F.collect_list(record(1)).alias("plays"), F.collect_list(record(2)).alias("longer"),
+        _json(name=F.concat(F.lit("O"), F.col("o_orderkey")), items=F.array_sort(F.collect_list(song))).alias("list"))
+    blocks = lists.groupBy(*keys).agg(
+        F.collect_list("plays").alias("plays"), F.collect_list("longer").alias("longer"),
+        F.collect_list("list").alias("lists"))
+    # Texts are joined where they are read: a row for each kind of file.
+    is_list = F.col("is_list")
+    texts = F.concat(F.lit('{"playlists":'), listed(F.col("lists")), F.lit("}"))
+    name = F.when(is_list, "Playlist").otherwise("Streaming_History_Audio_")
+    shared = blocks.select("*", F.explode(F.array(F.lit(False), F.lit(True))).alias("is_list")).select(
+        "profile", "region", F.concat(name, "block", F.lit(".json")).alias("file_name"),
+        F.when(is_list, texts).otherwise(listed(F.flatten("plays"))).alias("value"),
+        F.when(is_list, texts).otherwise(listed(F.flatten("longer"))).alias("later"))
     account = nation.select(
         *owner, F.lit("Userdata.json").alias("file_name"), _json(country=F.col("n_name")).alias("value"))
     broken = nation.select(
@@ -418,13 +431,13 @@ def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     searched = (
         table(spark, sf_dir, "events").groupBy(F.expr(f"event_id div {per_file}").alias("block"))
-        .agg(listed(search).alias("value"))
+        .agg(listed(F.collect_list(search)).alias("value"))
         .select(
             F.concat(F.lit("e"), "block").alias("profile"), F.lit(None).cast("string").alias("region"),
             F.lit("SearchQueries.json").alias("file_name"), "value")
     )
-    others = shared.unionByName(account).unionByName(broken).unionByName(searched)
-    return played.unionByName(others.withColumn("later", F.col("value")))
+    others = account.unionByName(broken).unionByName(searched)
+    return shared.unionByName(others.withColumn("later", F.col("value")))
 
 
 def order_files(spark: SparkSession, sf_dir: str) -> DataFrame:

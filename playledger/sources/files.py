@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +24,32 @@ def file_kind(file_name: Column | str) -> Column:
     return kind.otherwise(C.OTHER_KIND)
 
 
-def documents(spark: SparkSession, root: str, *kinds: str) -> DataFrame:
-    """Whole JSON files as text: ``profile, file_name, kind, value``.
+@contextmanager
+def listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """While it holds, folders are listed by a few tasks to a core and not by one each."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(own), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
+def scan(spark: SparkSession, root: str) -> DataFrame:
+    """All files under the root, listed once; only what is selected of them is read."""
+    return (
+        spark.read.format("binaryFile")
+        .schema(
+            "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY, "
+            "profile STRING"
+        )
+        .load(root)
+    )
+
+
+def documents(spark: SparkSession, root: str, *kinds: str, scanned: DataFrame | None = None) -> DataFrame:
+    """Whole JSON files as text: ``profile, file_name, kind, value``; of an earlier :func:`scan` if given.
 
     The name conditions use file metadata only, so Spark drops other files from
     the listing and never opens them. Each file is read by one task.
@@ -30,28 +57,19 @@ def documents(spark: SparkSession, root: str, *kinds: str) -> DataFrame:
     # A repeated key in one record must not cost the file: the last value counts.
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     name = F.col("_metadata.file_name")
-    docs = (
-        spark.read.schema("value STRING, profile STRING")
-        .text(root, wholetext=True)
-        .where(name.endswith(_EXTENSION))
-    )
+    # As bytes: the reader of whole texts copies the session's Hadoop settings for every file.
+    docs = (scan(spark, root) if scanned is None else scanned).where(name.endswith(_EXTENSION))
     if kinds:
         docs = docs.where(file_kind(name).isin(*kinds))
     return docs.select(
-        "profile", name.alias("file_name"), file_kind(name).alias("kind"), "value"
+        "profile", name.alias("file_name"), file_kind(name).alias("kind"),
+        F.col("content").cast("string").alias("value"),
     )
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
+def list_files(spark: SparkSession, root: str, scanned: DataFrame | None = None) -> DataFrame:
     """One row per JSON file, from the file listing alone; no content is read."""
-    listing = (
-        spark.read.format("binaryFile")
-        .schema(
-            "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY, "
-            "profile STRING"
-        )
-        .load(root)
-    )
+    listing = scan(spark, root) if scanned is None else scanned
     name = F.element_at(F.split("path", "/"), -1)
     return listing.where(F.col("path").endswith(_EXTENSION)).select(
         "profile",

@@ -266,3 +266,45 @@ def test_export_sink_writes_replaces_and_removes(spark, tmp_path):
         (odd, "Userdata.json", "[1]")}
     with pytest.raises(Exception, match="needs a profile"):
         write((None, "Follow.json", "{}"))
+
+
+def test_listing_is_stored_in_few_files_however_files_are_dealt(spark, src, tmp_path):
+    # Spark's scan makes a task for each file then, as it does for some thirty files by default.
+    key, dst = "spark.sql.files.openCostInBytes", tmp_path / "dst"
+    own = spark.conf.get(key)
+    most = 4 * spark.sparkContext.defaultParallelism
+    for i in range(2 * most):
+        put(src, f"p{i}", "Userdata.json", {"country": "DE"})
+    spark.conf.set(key, "1g")
+    try:
+        assert P.ingest(spark, str(src), str(dst)) == 2 * most + 3
+    finally:
+        spark.conf.set(key, own)
+    assert len(list((dst / "work").glob("*/files/*.parquet"))) <= most
+    assert read_table(spark, str(dst), "files").count() == 2 * most + 11
+
+
+def test_documents_keep_every_byte(spark, src):
+    texts = {"Userdata.json": b"", "Follow.json": b"\xef\xbb\xbf{}\r\n", "Payments.json": b"[\"\xff\x00\"]\n"}
+    for name, content in texts.items():
+        put(src, "odd", name, "")
+        (src / "profile=odd" / name).write_bytes(content)
+    rows = documents(spark, str(src)).where("profile = 'odd'").select("file_name", F.expr("CAST(value AS BINARY)")).collect()
+    assert {r[0]: bytes(r[1]) for r in rows} == texts
+
+
+def test_an_error_in_one_table_commits_nothing(spark, src, tmp_path, monkeypatch):
+    job = importlib.import_module("playledger.plans.ingest")
+
+    def broken(*args):
+        raise RuntimeError("no table")
+
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    dst, own = str(tmp_path / "dst"), spark.conf.get(key)
+    with monkeypatch.context() as patched:
+        patched.setitem(job.SUMMARIES, "payments", broken)
+        with pytest.raises(RuntimeError, match="no table"):
+            P.ingest(spark, str(src), dst)
+    assert spark.conf.get(key) == own
+    assert read_plays(spark, dst).count() == 0
+    assert P.ingest(spark, str(src), dst) == 3

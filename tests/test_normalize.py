@@ -177,3 +177,22 @@ def test_milliseconds_are_computed_once(spark):
     # The condition on them reads a column, and a file's texts and records make one row.
     assert not [line for line in plan if "Filter" in line and "variant" in line.lower()]
     assert sum("Generate" in line for line in plan) == 3
+
+
+def test_numbers_and_flags_of_every_spelling(docs):
+    values = [12, -0.0, 0, 1.5, 1e300, 12345678901234567890, -7, 0.1, True, "0", "7", "", None, [1]]
+    rows = run(docs, [{"trackName": str(i), "ms_played": v, "msPlayed": 3} for i, v in enumerate(values)])
+    assert {int(r["trackName"]): r["msPlayed"] for r in rows} == {
+        0: 12.0, 1: 3.0, 2: 3.0, 3: 1.5, 4: 1e300, 5: 12345678901234567890.0, 6: -7.0, 7: 0.1,
+        8: 1.0, 9: 0.0, 10: 7.0, 11: 3.0, 12: 3.0}
+    flags = [True, False, None, "true", "no", "x", 1, 0, [], {}]
+    rows = run(docs, [play(skipped=v) for v in flags] + [play()])
+    assert [r["skipped"] for r in rows] == [True, False, None, True, False, None, True, False, None, None, False]
+
+
+def test_a_number_under_any_text_key_reads_the_same_beside_other_records(docs):
+    # Each key has a pattern of its own that sends such a file the careful way.
+    for key in ("platform", "reason_start", "conn_country", "trackName", "albumName"):
+        record = {"ms_played": 5, key: 1.50}
+        alone, beside = run(docs, [record]), run(docs, [play(), record, play(trackName="x")])
+        assert {**alone[0], "pos": 0} == {**beside[1], "pos": 0}
